@@ -1,29 +1,56 @@
-"""The corpus pipeline: documents go through STAGES in order; each stage's result is written as Parquet and read by the next."""
+"""The corpus pipeline: documents go through STAGES in order; each stage's result is written as Parquet and read by the next.
+
+Every stage works on all that its predecessor kept, and all but the last return the columns that they got. Null texts are empty
+texts. Language: documents without letters, or of which no decision is sure enough, go. Quality: documents that the classifier
+rejects go; it learns from the labels of its own input. Near duplicates: the document of the least doc_id of each class stays,
+and so do documents without words. Decontamination: documents that hold a benchmark item go. Packing: the rest is cut into
+sequences of token ids. Empty tables pass through empty.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from statloom.llm import language_id
+from statloom.llm import decontaminate, language_id, near_duplicates, packing, quality
 from statloom.llm.shared import stored, table
 
-#: Documents whose language is less certain than this are rejected.
-LEAST_LANGUAGE_SCORE = 0.35
+#: Documents of a less certain language, and of a lower quality score, are rejected.
+LEAST_LANGUAGE_SCORE, LEAST_QUALITY = 0.35, 0.3
+TOKENIZER = "word_bpe_49k.json"
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep documents with a language that the SVMs are sure enough of; ``und`` goes."""
-    model = language_id.fit(docs)
-    found = language_id.identify(docs.withColumnRenamed("score", "_score") if "score" in docs.columns else docs, model)
-    kept = found.where((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= LEAST_LANGUAGE_SCORE))
-    return kept.select(*docs.columns)
+    found = language_id.identify(docs, language_id.fit(docs), ("_lang", "_sure"))
+    return found.where((F.col("_lang") != language_id.UNKNOWN) & (F.col("_sure") >= LEAST_LANGUAGE_SCORE)).select(*docs.columns)
+
+
+def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    model = quality.fit(docs, table(spark, sf_dir, "labels"))
+    return quality.score(docs, model, "_quality").where(F.col("_quality") >= LEAST_QUALITY).select(*docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return near_duplicates.representatives(docs)
+
+
+def decontaminate_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack(docs, public_tokenizers.path(TOKENIZER))
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
     ("language_id", identify_language),
+    ("quality", classify_quality),
+    ("near_duplicates", drop_near_duplicates),
+    ("decontaminate", decontaminate_benchmark),
+    ("packing", pack_sequences),
 ]
 
 
@@ -34,5 +61,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
-#: The SVMs, the n-gram classifier and the packing by space-filling curve have no SQL form; tests hold the stages against brute force.
+#: The SVMs, the n-gram classifier, the SVD and the packing have no SQL form; tests hold the stages against brute force.
 ORACLE_SQL: str | None = None

@@ -197,15 +197,15 @@ def fit(docs: DataFrame, max_rows: int = 2000) -> LanguageModel:
     return model
 
 
-def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
-    """docs with lang_pred and score; every text is read whole."""
-    keep = [c for c in docs.columns if c not in ("lang_pred", "score")]
-    schema = docs.select(*keep).schema.add("lang_pred", "string").add("score", "double")
+def identify(docs: DataFrame, model: LanguageModel, columns: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """docs with the language and the score of every whole text, in columns of the given names."""
+    keep = [c for c in docs.columns if c not in columns]
+    schema = docs.select(*keep).schema.add(columns[0], "string").add(columns[1], "double")
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in text_parts(batch):
                 lang, score = model.predict(part.column("text"))
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(lang, pa.string()), pa.array(score, pa.float64())], [*keep, "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(lang, pa.string()), pa.array(score, pa.float64())], [*keep, *columns])
 
     return docs.select(*keep).mapInArrow(predict, schema)

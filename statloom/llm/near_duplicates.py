@@ -24,7 +24,7 @@ from math import lgamma
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from statloom.llm.components import components
@@ -294,6 +294,10 @@ def links(docs: DataFrame) -> DataFrame:
 
 
 def representatives(docs: DataFrame) -> DataFrame:
-    """docs without those that have a document of a lesser doc_id in their class; documents without words stay."""
+    """One document of each class, that of the least doc_id; of rows with one doc_id, that of the least text. Documents without
+    words or without a doc_id stay."""
     kept = links(docs).where("doc_id = class_id").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    rank = "_rank_of_doc_id"
+    first = Window.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_first())
+    chosen = docs.join(kept, "doc_id", "left_semi").withColumn(rank, F.row_number().over(first)).where(F.col(rank) == 1)
+    return chosen.select(*docs.columns).union(docs.where("doc_id is null"))

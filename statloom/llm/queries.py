@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from statloom.llm import chat, fingerprint, html_text, language_id, near_duplicates, quality, url_filter
+from statloom.llm import chat, decontaminate, fingerprint, html_text, language_id, licenses, near_duplicates, packing, quality, url_filter
 from statloom.llm.shared import table
 
 
@@ -23,10 +24,18 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract_column(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
 
 
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 #: The rules of op5, as host/path; the longest that fits decides.
 URL_RULES = {"com/en/": "block", "example.com/en/7": "allow", "net/de/": "allow", "example.net/de/8": "block", "org/es/": "block"}
 
@@ -49,6 +58,10 @@ def op8_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.edited(table(spark, sf_dir, "documents"))
 
 
+def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held = fold("doc_id", 4) == 2
@@ -58,11 +71,14 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
+    "op2_packing": op2_packing,
     "op3_html_text": op3_html_text,
+    "op4_decontaminate": op4_decontaminate,
     "op5_url_filter": op5_url_filter,
     "op6_chat_rotation": op6_chat_rotation,
     "op7_near_duplicates": op7_near_duplicates,
     "op8_fingerprint": op8_fingerprint,
+    "op9_licenses": op9_licenses,
     "op10_language_id": op10_language_id,
 }
 
