@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from statloom.llm.shared import partitions, text_parts
+from statloom.llm.shared import partitions, text_parts, utf8
 from statloom.llm.words import U64, mix, word_hashes
 
 VECTOR, DIMENSIONS, BITS = 256, 4, 12
@@ -179,7 +179,7 @@ def pack(docs: DataFrame, path: str, end_id: int = 2, size: int = 4096, sample:
     """Pieces of the documents of docs(doc_id, text): doc_id, start, length, ids_crc32, doc_tokens, sequence_id and offset.
 
     path: a tokenizer file that every executor has. size: ids in a sequence, a power of two. sample: how many documents, taken by a hash of
-    doc_id, set the ends of the ranges; these only balance the partitions.
+    doc_id, set the ends of the ranges, which have about as much text each; these only balance the partitions.
     """
     if size & (size - 1):
         raise ValueError("size must be a power of two")
@@ -193,10 +193,12 @@ def pack(docs: DataFrame, path: str, end_id: int = 2, size: int = 4096, sample:
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in text_parts(batch):
-                yield pa.RecordBatch.from_arrays([pa.array(curve_keys(part.column("text"), part.column("doc_id")))], ["key"])
+                yield pa.RecordBatch.from_arrays([pa.array(curve_keys(part.column("text"), part.column("doc_id"))), pa.array(np.diff(utf8(part.column("text"))[1]) + 64)], ["key", "bytes"])
 
-    seen = np.sort(some.mapInArrow(keys, "key long").toArrow()["key"].to_numpy())
-    ends = seen[(np.arange(1, n) * len(seen)) // n] if len(seen) else np.zeros(0, np.int64)
+    seen = some.mapInArrow(keys, "key long, bytes long").toArrow()
+    order = np.argsort(seen["key"].to_numpy())
+    upto = np.cumsum(seen["bytes"].to_numpy()[order])
+    ends = seen["key"].to_numpy()[order][np.searchsorted(upto, np.arange(1, n) * (upto[-1] / n))] if len(order) else np.zeros(0, np.int64)
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
