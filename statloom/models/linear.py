@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from statloom.functions.distributions import t_cdf, t_quantile
+from statloom.functions.distributions import incomplete_beta, t_quantile
 from statloom.functions.linalg import Singular, inverse
 from statloom.functions.vectors import as_doubles, literal
 from statloom.models.base import Classifier, Regressor
@@ -133,7 +133,7 @@ class LinearRegression(Regressor):
         se = error * np.sqrt(np.diag(_scaled_inverse(m.xx)))
         with np.errstate(divide="ignore", invalid="ignore"):
             t = w / se
-        p = [2 * (1 - t_cdf(abs(v), free)) if math.isfinite(v) else 0.0 for v in t]
+        p = [incomplete_beta(free / (free + v * v), free / 2, 0.5) if math.isfinite(v) else 0.0 for v in t.tolist()]
         half = t_quantile(1 - (1 - level) / 2, free) * se
         r2 = 1 - rest / all_ if all_ else 0.0
         return RegressionSummary(tuple(w.tolist()), tuple(se.tolist()), tuple(t.tolist()), tuple(p), tuple(zip((w - half).tolist(), (w + half).tolist())), r2, 1 - (1 - r2) * (m.n - 1) / free, error, free, level)

@@ -9,6 +9,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from statloom.core import BLOCK, double, over_blocks, prefix_sums, with_position, with_stats
 
@@ -61,7 +62,7 @@ def exponential_mean(df: DataFrame, x: str, order: str, alpha: float | None = No
         ordered = with_position(df, order, "_position")
     ordered = ordered.withColumn("_block", F.floor(F.col("_position") / BLOCK))
     key = [*by, "_block"]
-    schema = ordered.schema.add("_own", "double").add("_fade", "double")
+    schema = StructType([*ordered.schema.fields, StructField("_own", DoubleType()), StructField("_fade", DoubleType())])
 
     def smooth(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("_position")

@@ -1,17 +1,6 @@
 """All registered queries of the analytics operators, and the DuckDB SQL with the same rows."""
 
-from __future__ import annotations
+from statloom.plans import modelling, series, statistics, vectors  # noqa: F401  registers
+from statloom.plans.registry import ORACLES, QUERIES
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-
-def _event_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = spark.read.parquet(f"{sf_dir}/events.parquet")
-    return e.groupBy("event_type").agg(F.count("value").alias("n"), F.round(F.avg("value"), 6).alias("mean"))
-
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"event_summary": _event_summary}
-ORACLES: dict[str, str] = {"event_summary": "SELECT event_type, count(value) AS n, round(avg(value), 6) AS mean FROM events GROUP BY event_type"}
+__all__ = ["ORACLES", "QUERIES"]
