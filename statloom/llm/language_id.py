@@ -3,7 +3,7 @@
 Features are hashed byte 2-, 3- and 4-grams of the lower-cased letters of the whole text, every other run a single space; a
 document's vector holds their shares. All SVMs are linear, so scoring is one table look-up per n-gram and a mean per document.
 
-Rows: null text, or a text without a letter: ``und`` with score 0. Empty tables give empty results. Repeated rows are scored
+Rows: null text, or a text without a letter: ``und`` with score 0, and so is all if no language was learned. Empty tables give empty results. Repeated rows are scored
 alike. Further columns are kept by ``identify`` (names of the result replace columns of the same name).
 """
 
@@ -111,6 +111,8 @@ class LanguageModel:
     def predict(self, column: pa.Array) -> tuple[list[str], np.ndarray]:
         """Languages and scores of a text column: the product of the logistic margins of the decisions on the way."""
         grams, offsets, letters = gram_buckets(column)
+        if not self.langs:
+            return [UNKNOWN] * len(letters), np.zeros(len(letters))
         total, count = np.zeros((len(letters), len(self.pairs)), np.float64), np.zeros(len(letters))
         for g in grams:
             total += segment_sum(self.weights[g], offsets)
@@ -137,7 +139,7 @@ class LanguageModel:
                 wins[:, j] += (m <= 0) - np.tanh(m) / (4 * len(labels))
                 least[:, i] = np.minimum(least[:, i], sure)
                 least[:, j] = np.minimum(least[:, j], 1 - sure)
-        best = wins.argmax(1) if len(labels) else np.zeros(len(margin), int)
+        best = wins.argmax(1)
         return best, least[np.arange(len(margin)), best]
 
 
