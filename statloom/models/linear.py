@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -50,12 +51,19 @@ class Moments:
         xx = np.array([[got[f"s{min(i, j)}_{max(i, j)}"] for j in range(p)] for i in range(p)])
         return cls(got["n"], xx, np.array([got[f"t{i}"] for i in range(p)]), got["yy"], got["sy"])
 
+    @cached_property
+    def best(self) -> tuple[np.ndarray, float]:
+        """Weights of the least squares, and what they leave of y'y."""
+        w = np.linalg.lstsq(self.xx, self.xy, rcond=None)[0]
+        return w, max(0.0, float(self.yy - w @ self.xy))
+
     def loss(self, w: np.ndarray) -> float:
-        """Mean squared error of the weights."""
-        return float((w @ self.xx @ w - 2 * w @ self.xy + self.yy) / self.n)
+        """Mean squared error of the weights, as the distance from the best ones: large sums are subtracted once and for all."""
+        best, rest = self.best
+        return float(((w - best) @ self.xx @ (w - best) + rest) / self.n)
 
     def gradient(self, w: np.ndarray) -> np.ndarray:
-        return 2 / self.n * (self.xx @ w - self.xy)
+        return 2 / self.n * (self.xx @ (w - self.best[0]))
 
 
 def linear_column(features: list[str] | str, coefficients) -> Column:
