@@ -73,21 +73,22 @@ def gram_shares(column: pa.Array) -> np.ndarray:
     return out / np.maximum(out.sum(1, keepdims=True), 1)
 
 
-def fit_svm(x: np.ndarray, y: np.ndarray, cost: float = 10.0, rounds: int = 10) -> np.ndarray:
-    """Weights (the last is the bias) of an L2-regularised squared-hinge SVM, by dual coordinate descent; y is 1 or -1."""
-    n, d = x.shape
+def fit_svm(x: np.ndarray, rows: np.ndarray, y: np.ndarray, cost: float = 10.0, rounds: int = 10) -> np.ndarray:
+    """Weights (the last is the bias) of an L2-regularised squared-hinge SVM of some rows of x, by dual coordinate descent; y is 1 or -1."""
+    n, d = len(rows), x.shape[1]
     w, bias, dual = np.zeros(d, np.float32), 0.0, np.zeros(n)
     share = {s: n / (2 * max(1, (y == s).sum())) for s in (1, -1)}
     diagonal = np.array([1 / (2 * cost * share[s]) for s in y])
-    norm = np.einsum("ij,ij->i", x, x) + 1 + diagonal
+    norm = np.array([float(x[r] @ x[r]) for r in rows]) + 1 + diagonal
     order = np.random.default_rng(0)
     for _ in range(rounds):
         moved = 0.0
         for i in order.permutation(n):
-            slope = y[i] * (float(x[i] @ w) + bias) - 1 + diagonal[i] * dual[i]
+            v = x[rows[i]]
+            slope = y[i] * (float(v @ w) + bias) - 1 + diagonal[i] * dual[i]
             new = max(dual[i] - slope / norm[i], 0.0)
             if step := (new - dual[i]) * y[i]:
-                w += np.float32(step) * x[i]
+                w += np.float32(step) * v
                 bias += step
                 dual[i] = new
                 moved = max(moved, abs(step))
@@ -159,7 +160,7 @@ def _examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array([x.tobytes() for x in shares], pa.binary())], ["lang", "shares"])
 
 
-def fit(docs: DataFrame, max_rows: int = 2000) -> LanguageModel:
+def fit(docs: DataFrame, max_rows: int = 1200) -> LanguageModel:
     """A model of the languages in docs(doc_id, text, lang); rows with null text or lang teach nothing.
 
     max_rows bounds the sample that the SVMs see: about max_rows documents, as many of each language, taken by a hash of doc_id.
@@ -176,21 +177,23 @@ def fit(docs: DataFrame, max_rows: int = 2000) -> LanguageModel:
     sample = docs.where(F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("language")), F.lit(1_000_000)) < share)
     got = sample.select("lang", "text").mapInArrow(_examples, "lang string, shares binary").toArrow()
     lang = np.array(got["lang"].to_pylist(), object)
-    x = np.frombuffer(b"".join(got["shares"].to_pylist()), np.float32).reshape(-1, BUCKETS).copy()
+    x = np.empty((len(lang), BUCKETS), np.float32)
+    for k, raw in enumerate(got["shares"]):
+        x[k] = np.frombuffer(raw.as_buffer(), np.float32)
     del got
-    order = np.lexsort([x.argmax(1), x.max(1), lang.astype(str)])
-    x, lang = x[order], lang[order]
-    scale = np.float32(1 / max(1e-9, np.sqrt((x**2).sum(1)).mean()))
+    pa.default_memory_pool().release_unused()
+    order = np.lexsort([x.argmax(1), x.max(1), lang.astype(str)])  # the same whatever the partitions
+    scale = np.float32(1 / max(1e-9, np.mean([np.sqrt(v @ v) for v in x]) if len(x) else 1.0))
     x *= scale
     of = np.array([model.family(v) for v in lang], object)
     tasks = [(a, b, True, of) for a, b in combinations(sorted(set(of)), 2)]
     tasks += [(a, b, False, lang) for a, b in combinations(model.langs, 2) if model.family(a) == model.family(b)]
     columns, biases = [], []
     for a, b, families, y in tasks:
-        rows = np.flatnonzero((y == a) | (y == b))
+        rows = order[(y[order] == a) | (y[order] == b)]
         if len(set(y[rows])) < 2:
             continue
-        w = fit_svm(x[rows], np.where(y[rows] == a, 1, -1))
+        w = fit_svm(x, rows, np.where(y[rows] == a, 1, -1))
         columns.append(np.append(w[:-1] * scale, 0).astype(np.float32))
         biases.append(w[-1])
         model.pairs.append((a, b, families))

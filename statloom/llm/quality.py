@@ -126,7 +126,7 @@ def ftrl(index: list[np.ndarray], value: list[np.ndarray], label: np.ndarray, ep
     return QualityModel(float(w[end]), w[:end].astype(np.float32))
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 6000) -> QualityModel:
+def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 4000) -> QualityModel:
     """A model of labels(doc_id, quality) over docs(doc_id, text).
 
     max_rows bounds the sample that is learned from: about that many labelled rows, taken by a hash of doc_id.
@@ -145,7 +145,10 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 6000) -> QualityMode
     order = np.lexsort([label, key])
     index = [np.frombuffer(x.as_buffer(), np.int32) for x in got["index"]]
     value = [np.frombuffer(x.as_buffer(), np.float32) for x in got["value"]]
-    return ftrl([index[k] for k in order], [value[k] for k in order], label[order])
+    model = ftrl([index[k] for k in order], [value[k] for k in order], label[order])
+    del got, index, value
+    pa.default_memory_pool().release_unused()
+    return model
 
 
 def score(docs: DataFrame, model: QualityModel, column: str = "score") -> DataFrame:
