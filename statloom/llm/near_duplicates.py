@@ -301,3 +301,16 @@ def representatives(docs: DataFrame) -> DataFrame:
     first = Window.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_first())
     chosen = docs.join(kept, "doc_id", "left_semi").withColumn(rank, F.row_number().over(first)).where(F.col(rank) == 1)
     return chosen.select(*docs.columns).union(docs.where("doc_id is null"))
+
+
+#: The same rows in DuckDB SQL, for tables whose pairs of documents that share a 5-gram are few enough.
+SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9\x{80}-\x{10FFFF}]+') AS w FROM documents),
+g AS (SELECT DISTINCT doc_id, CASE WHEN len(w) < 5 THEN w ELSE w[i:i + 4] END AS g FROM w, LATERAL (SELECT unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i) WHERE len(w) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM g a JOIN g b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b, c = x.n AND c = y.n AS same FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 10 * c >= 8 * (x.n + y.n - c)),
+r(id, root) AS (SELECT doc_id, doc_id FROM documents UNION SELECT l.b, r.root FROM r JOIN l ON l.a = r.id WHERE r.root < l.b)
+SELECT d.doc_id, (SELECT min(root) FROM r WHERE r.id = d.doc_id) AS class_id, coalesce(m.links, 0) AS n_links, 1 + coalesce(m.same, 0) AS copies
+FROM documents d LEFT JOIN (SELECT a, count(*) AS links, count(*) FILTER (same) AS same FROM l GROUP BY a) m ON m.a = d.doc_id
+"""

@@ -85,4 +85,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 #: DuckDB SQL for the queries that SQL can express.
 ORACLES: dict[str, str] = {
     "op6_chat_rotation": chat.SQL,
+    "op7_near_duplicates": near_duplicates.SQL,
 }
