@@ -139,10 +139,23 @@ def test_html_of_pages(spark, data):
 
 def test_surge_and_dive():
     """Without a named main part, the region of long lines is kept, with the short lines inside it."""
-    lines = [("Menu", False), ("", False), ("", False), ("", False), ("A long line of text " * 8, False), ("Short.", False), ("Another long line of text " * 8, False), ("", False), ("", False), ("", False), ("Legal", False)]
+    lines = [("Menu", 0), ("", 0), ("", 0), ("", 0), ("A long line of text " * 8, 0), ("Short.", 0), ("Another long line of text " * 8, 0), ("", 0), ("", 0), ("", 0), ("Legal", 0)]
     assert html_text.main_lines(lines) == [lines[4][0], "Short.", lines[6][0]]
 
 
+def test_content_named_by_class():
+    page = '<body><div class="site-title">Site</div><div id="content"><h1>Head</h1><p>Text.</p><div class="share-buttons">Share</div></div><div class="rail">More</div></body>'
+    assert html_text.extract(page) == "Head\n\nText."
+
+
+def test_near_duplicates_against_sql(spark, data):
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{data}/documents.parquet'")
+    want = sorted(con.execute(near_duplicates.SQL).fetchall())
+    got = sorted(tuple(r) for r in queries.op7_near_duplicates(spark, data).select("doc_id", "class_id", "n_links", "copies").collect())
+    assert got == want
+
+
 def test_decontamination(spark, data, docs):
     items = {r["item_id"]: r["text"] for r in spark.read.parquet(f"{data}/benchmark.parquet").collect()}
     found = {(r["item_id"], r["doc_id"]) for r in queries.op4_decontaminate(spark, data).collect()}
