@@ -17,6 +17,11 @@ from statloom.core import INF, col, ieee_divide, ieee_log, ieee_log10
 Vector = Column | str
 
 
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is computed once, however often f uses it: what a lambda refers to is else computed for every element."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def as_doubles(v: Vector) -> Column:
     return F.transform(col(v), lambda x: x.cast("double"))
 
@@ -130,8 +135,7 @@ def magnitude(v: Vector) -> Column:
 
 def normalized(v: Vector) -> Column:
     """The unit vector; zeros for a zero vector."""
-    n = magnitude(v)
-    return F.transform(as_doubles(v), lambda x: F.when(n > 0, F.try_divide(x, n)).otherwise(F.lit(0.0)))
+    return let(magnitude(v), lambda n: F.transform(as_doubles(v), lambda x: F.when(n > 0, F.try_divide(x, n)).otherwise(F.lit(0.0))))
 
 
 def distance(a: Vector, b: Vector) -> Column:
@@ -162,9 +166,8 @@ def scalar_projection(a: Vector, onto: Vector) -> Column:
 
 
 def vector_projection(a: Vector, onto: Vector) -> Column:
-    n = dot(onto, onto)
-    share = _target(n, F.try_divide(dot(a, onto), n))
-    return F.transform(as_doubles(onto), lambda x: x * share)
+    share = let(dot(onto, onto), lambda n: _target(n, F.try_divide(dot(a, onto), n)))
+    return let(share, lambda k: F.transform(as_doubles(onto), lambda x: x * k))
 
 
 def orthogonal_component(a: Vector, to: Vector) -> Column:
@@ -180,16 +183,17 @@ def matrix_column(m: Vector, index: int) -> Column:
 
 
 def transpose(m: Vector) -> Column:
-    x = as_matrix(m)
-    width = F.size(F.get(x, F.lit(0)))
-    even = F.forall(x, lambda r: F.size(r) == width)
-    flipped = F.transform(F.sequence(F.lit(0), width - 1), lambda j: F.transform(x, lambda r: F.get(r, j)))
-    return F.when(even, flipped).otherwise(F.raise_error(F.lit("rows differ in length")))
+    def flip(x: Column) -> Column:
+        width = F.size(F.get(x, F.lit(0)))
+        even = F.array_min(F.transform(x, F.size)) == F.array_max(F.transform(x, F.size))
+        flipped = F.transform(F.sequence(F.lit(0), width - 1), lambda j: F.transform(x, lambda r: F.get(r, j)))
+        return F.when(even, flipped).otherwise(F.raise_error(F.lit("rows differ in length")))
+
+    return let(as_matrix(m), flip)
 
 
 def matrix_product(a: Vector, b: Vector) -> Column:
-    x, y = as_matrix(a), transpose(b)
-    return F.transform(x, lambda r: F.transform(y, lambda c: dot(r, c)))
+    return let(transpose(b), lambda y: F.transform(as_matrix(a), lambda r: F.transform(y, lambda c: dot(r, c))))
 
 
 def shape(m: Vector) -> Column:
@@ -231,9 +235,11 @@ def full_matrix(rows: int, columns: int, value: float) -> Column:
 
 
 def diagonal(v: Vector) -> Column:
-    x = as_doubles(v)
-    side = F.sequence(F.lit(0), F.size(x) - 1)
-    return F.transform(side, lambda i: F.transform(side, lambda j: F.when(i == j, F.get(x, i)).otherwise(F.lit(0.0))))
+    def spread(x: Column) -> Column:
+        side = F.sequence(F.lit(0), F.size(x) - 1)
+        return F.transform(x, lambda e, i: F.transform(side, lambda j: F.when(i == j, e).otherwise(F.lit(0.0))))
+
+    return let(as_doubles(v), spread)
 
 
 def identity(n: int) -> Column:
@@ -344,11 +350,18 @@ def rounded(x: Column | str, places: int) -> Column:
 
 def softmax(v: Vector) -> Column:
     """exp(x - max) over its sum; an empty vector stays empty; all equal if the sum is not finite."""
-    x = as_doubles(v)
-    raised = F.transform(x, lambda e: F.exp(e - F.array_max(x)))
-    total = _fold(raised)
-    fine = ~F.isnan(total) & (total != INF) & (total > 0)
-    return F.transform(raised, lambda e: F.when(fine, F.try_divide(e, total)).otherwise(F.lit(1.0) / F.size(x)))
+
+    def shares(raised: Column) -> Column:
+        def over(total: Column) -> Column:
+            fine = ~F.isnan(total) & (total != INF) & (total > 0)
+            return F.transform(raised, lambda e: F.when(fine, F.try_divide(e, total)).otherwise(F.lit(1.0) / F.size(raised)))
+
+        return let(_fold(raised), over)
+
+    def raise_all(x: Column) -> Column:
+        return let(F.array_max(x), lambda top: F.transform(x, lambda e: F.exp(e - top)))
+
+    return let(let(as_doubles(v), raise_all), shares)
 
 
 def sigmoid(v: Vector) -> Column:

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from statloom.functions.vectors import as_doubles, literal, softmax
+from statloom.functions.vectors import as_doubles, let, literal, softmax
 from statloom.models.base import Classifier
 from statloom.models.scaling import vector_stats
 
@@ -51,8 +51,8 @@ class GaussianNaiveBayes(Classifier):
         return softmax(self.log_joint(features))
 
     def column(self, features: str) -> Column:
-        joint = self.log_joint(features)
-        return F.get(F.array(*map(F.lit, self.labels)), F.array_position(joint, F.array_max(joint)).cast("int") - 1)
+        best = let(self.log_joint(features), lambda joint: F.array_position(joint, F.array_max(joint)).cast("int") - 1)
+        return F.get(F.array(*map(F.lit, self.labels)), best)
 
     def predict(self, df: DataFrame, features: str, name: str = "predicted") -> DataFrame:
         """The likeliest class, the least label of equals."""

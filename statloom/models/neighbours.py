@@ -54,8 +54,8 @@ class KNearestNeighbours:
         return found.withColumn("_rank", rank).where(F.col("_rank") <= self.k).drop("_rank")
 
     def _distance(self):
-        if self.metric == "cosine":  # of unit vectors; a zero vector is at distance 1
-            return 1 - dot("a", "b")
+        if self.metric == "cosine":  # of unit vectors; a zero vector is at distance 1, and rounding errors are none
+            return F.when(1 - dot("a", "b") < 1e-12, 0.0).otherwise(1 - dot("a", "b"))
         difference = F.zip_with("a", "b", lambda x, y: (x - y) * (x - y))
         return F.sqrt(F.aggregate(difference, F.lit(0.0), lambda s, x: s + x))
 

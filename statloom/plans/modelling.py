@@ -193,24 +193,25 @@ def nb_predict(spark, d):
     return GaussianNaiveBayes.fit(df, "embedding", "label").predict(df, "embedding").select("vec_id", "predicted")
 
 
-@query(NB + ", t AS (SELECT *, max(lj) OVER (PARTITION BY vec_id) AS top FROM j) SELECT vec_id, CAST(label AS INTEGER) AS label, round(exp(lj - top) / sum(exp(lj - top)) OVER (PARTITION BY vec_id), 5) + 0.0 AS probability FROM t WHERE vec_id < 100")
+@query(NB + ", t AS (SELECT *, max(lj) OVER (PARTITION BY vec_id) AS top FROM j) SELECT vec_id, CAST(label AS INTEGER) AS label, round(exp(lj - top) / sum(exp(lj - top)) OVER (PARTITION BY vec_id), 5) + 0.0 AS probability FROM t")
 def nb_posteriors(spark, d):
     df = _embeddings(spark, d)
     m = GaussianNaiveBayes.fit(df, "embedding", "label")
-    made = df.where("vec_id < 100").select("vec_id", F.posexplode(m.probabilities("embedding")).alias("k", "probability"))
+    made = df.select("vec_id", F.posexplode(m.probabilities("embedding")).alias("k", "probability"))
     return rounded(made.select("vec_id", F.get(F.array(*map(F.lit, m.labels)), "k").alias("label"), "probability"), 5)
 
 
-NEAR = """WITH q AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id % 5 = 0), t AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id % 5 <> 0),
+NEAR = """WITH q AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id % 20 = 0), t AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings),
 n AS (SELECT q.vec_id AS query, t.vec_id AS neighbour, t.label, {dist} AS distance, row_number() OVER (PARTITION BY q.vec_id ORDER BY {dist}, t.vec_id) AS rank FROM q CROSS JOIN t QUALIFY rank <= {k})
 """
 EUCLID = "sqrt(list_sum([(z[1] - z[2]) ** 2 for z in list_zip(q.e, t.e)]))"
-COS = "1 - list_inner_product(q.e, t.e) / sqrt(list_inner_product(q.e, q.e) * list_inner_product(t.e, t.e))"
+COS = "greatest(round(1 - list_inner_product(q.e, t.e) / sqrt(list_inner_product(q.e, q.e) * list_inner_product(t.e, t.e)), 12), 0)"
 
 
 def _knn(spark, d, **options):
+    """A model of all rows, and the queries: every row whose id is divisible by 20."""
     df = _embeddings(spark, d)
-    return KNearestNeighbours.fit(df.where("vec_id % 5 <> 0"), "vec_id", "embedding", "label", **options), df.where("vec_id % 5 = 0")
+    return KNearestNeighbours.fit(df, "vec_id", "embedding", "label", **options), df.where("vec_id % 20 = 0")
 
 
 @query(NEAR.format(dist=EUCLID, k=5) + ", v AS (SELECT query, label, count(*) AS n FROM n GROUP BY 1, 2) SELECT query, CAST(label AS INTEGER) AS predicted FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY n DESC, label) AS place FROM v) WHERE place = 1")
@@ -219,7 +220,7 @@ def knn_predict(spark, d):
     return model.predict(queries, "vec_id", "embedding")
 
 
-@query(NEAR.format(dist=COS, k=7) + ", v AS (SELECT query, label, sum(1 / distance) AS n FROM n GROUP BY 1, 2) SELECT query, CAST(label AS INTEGER) AS predicted FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY n DESC, label) AS place FROM v) WHERE place = 1")
+@query(NEAR.format(dist=COS, k=7) + ", z AS (SELECT query, max(CASE WHEN distance < 1e-12 THEN 1 ELSE 0 END) AS exact FROM n GROUP BY 1), v AS (SELECT query, label, sum(CASE WHEN exact = 1 THEN CASE WHEN distance < 1e-12 THEN 1.0 ELSE 0 END ELSE 1 / distance END) AS n FROM n JOIN z USING (query) GROUP BY 1, 2) SELECT query, CAST(label AS INTEGER) AS predicted FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY n DESC, label) AS place FROM v) WHERE place = 1")
 def knn_weighted_cosine(spark, d):
     model, queries = _knn(spark, d, k=7, metric="cosine", weight="distance")
     return model.predict(queries, "vec_id", "embedding")

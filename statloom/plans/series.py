@@ -196,57 +196,64 @@ def heatmap(spark, d):
     return rounded(correlation.heatmap(T(spark, d, "lineitem"), ["l_discount", "l_tax"], ["Discount", "Tax"]))
 
 
-# Signals
-
-
-def _first(spark, d, n):
-    return with_position(_events(spark, d), "event_id").where(F.col("position") < n).select("position", "value")
+# Signals: one series for each user, and all events as one
 
 
 DFT = """
-WITH e AS (SELECT value, row_number() OVER (ORDER BY event_id) - 1 AS n FROM events), x AS (SELECT * FROM e WHERE n < 64),
-f AS (SELECT k, sum(value * cos(2 * pi() * k * n / 64)) AS re, -sum(value * sin(2 * pi() * k * n / 64)) AS im FROM x, (SELECT unnest(range(0, 64)) AS k) GROUP BY k)
+WITH e AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS n, count(*) OVER (PARTITION BY user_id) AS m FROM events),
+s AS (SELECT user_id, any_value(m) AS m, CAST(pow(2, ceil(log2(any_value(m)))) AS BIGINT) AS size FROM e GROUP BY user_id),
+k AS (SELECT user_id, m, size, unnest(range(0, size)) AS k FROM s),
+f AS (SELECT user_id, k.m, size, k, sum(value * cos(2 * pi() * k * n / size)) AS re, -sum(value * sin(2 * pi() * k * n / size)) AS im FROM k JOIN e USING (user_id) GROUP BY user_id, k.m, size, k)
 """
 
 
-@query(DFT + "SELECT k AS bin, round(sqrt(re * re + im * im), 4) + 0.0 AS magnitude, round(re, 4) + 0.0 AS re, round(im, 4) + 0.0 AS im FROM f")
-def dft_magnitude_64(spark, d):
-    made = signal.fourier(_first(spark, d, 64), "value", "position")
-    return rounded(made.select("bin", "magnitude", (F.col("magnitude") * F.cos("phase")).alias("re"), (F.col("magnitude") * F.sin("phase")).alias("im")), 4)
+def _users(spark, d):
+    return T(spark, d, "events").select("user_id", "event_id", "value")
 
 
-@query(DFT + "SELECT round(k * 100.0 / 64, 6) + 0.0 AS frequency, round(sqrt(re * re + im * im), 4) + 0.0 AS magnitude FROM f WHERE k < 32")
+@query(DFT + "SELECT user_id, round(k * 100.0 / size, 6) + 0.0 AS frequency, round(sqrt(re * re + im * im), 4) + 0.0 AS magnitude FROM f WHERE k < size // 2")
 def fourier_spectrum(spark, d):
-    return rounded(signal.fourier_spectrum(_first(spark, d, 64), "value", "position", 100.0), 4, frequency=6)
+    return rounded(signal.fourier_spectrum(_users(spark, d), "value", "event_id", 100.0, by=("user_id",)), 4, frequency=6)
 
 
-PSD = DFT + ", p AS (SELECT k AS bin, k * 100.0 / 64 AS frequency, (re * re + im * im) / (100.0 * 64) * CASE WHEN k IN (0, 32) THEN 1 ELSE 2 END AS density FROM f WHERE k <= 32)"
+PSD = DFT + ", p AS (SELECT user_id, size, k AS bin, k * 100.0 / size AS frequency, (re * re + im * im) / (100.0 * size) * CASE WHEN k = 0 OR k = size // 2 THEN 1 ELSE 2 END AS density FROM f WHERE k <= size // 2 AND m > 1)"
 
 
-@query(PSD + "SELECT bin, round(frequency, 6) + 0.0 AS frequency, round(density, 4) + 0.0 AS density FROM p")
+@query(PSD + "SELECT user_id, bin, round(frequency, 6) + 0.0 AS frequency, round(density, 4) + 0.0 AS density FROM p")
 def psd_one_sided(spark, d):
-    return rounded(signal.density(_first(spark, d, 64), "value", "position", 100.0), 4, frequency=6)
+    return rounded(signal.density(_users(spark, d), "value", "event_id", 100.0, by=("user_id",)), 4, frequency=6)
 
 
-@query(PSD + "SELECT round(sum(density) FILTER (frequency BETWEEN 5 AND 20) * 100.0 / 64, 4) + 0.0 AS energy, round(max_by(frequency, density) FILTER (bin > 0), 6) + 0.0 AS dominant FROM p")
+@query(PSD + "SELECT user_id, round(coalesce(sum(density) FILTER (frequency BETWEEN 5 AND 20), 0) * 100.0 / any_value(size), 4) + 0.0 AS energy, round(max_by(frequency, density) FILTER (bin > 0), 6) + 0.0 AS dominant FROM p GROUP BY user_id")
 def band_energy(spark, d):
-    p = signal.density(_first(spark, d, 64), "value", "position", 100.0)
-    return rounded(signal.band_energy(p, 5, 20).crossJoin(signal.dominant(p)), 4, dominant=6)
+    p = signal.density(_users(spark, d), "value", "event_id", 100.0, by=("user_id",))
+    return rounded(signal.band_energy(p, 5, 20, ("user_id",)).join(signal.dominant(p, ("user_id",)), "user_id"), 4, dominant=6)
+
+
+def _all(spark, d):
+    return with_position(_events(spark, d), "event_id").select("position", "value")
 
 
-@query("WITH e AS (SELECT value, row_number() OVER (ORDER BY event_id) - 1 AS position FROM events), x AS (SELECT * FROM e WHERE position < 50) SELECT position, round(value * 0.5 * (1 - cos(2 * pi() * position / 49)), 6) + 0.0 AS windowed FROM x")
+@query("SELECT n AS position, round(value * 0.5 * (1 - cos(2 * pi() * n / (m - 1))), 6) + 0.0 AS windowed FROM (SELECT value, row_number() OVER (ORDER BY event_id) - 1 AS n, count(*) OVER () AS m FROM events)")
 def hann_window(spark, d):
-    return rounded(signal.hann_windowed(_first(spark, d, 50), "value", "position").select("position", "windowed"))
+    return rounded(signal.hann_windowed(_all(spark, d), "value", "position").select("position", "windowed"))
 
 
-@query("WITH e AS (SELECT value, row_number() OVER (ORDER BY event_id) - 1 AS position FROM events) SELECT p AS position, round(coalesce(value, 0), 6) + 0.0 AS value FROM (SELECT unnest(range(0, 64)) AS p) LEFT JOIN (SELECT * FROM e WHERE position < 50) ON p = position")
+@query("""WITH e AS (SELECT value, row_number() OVER (ORDER BY event_id) - 1 AS position FROM events)
+SELECT p AS position, round(coalesce(value, 0), 6) + 0.0 AS value FROM (SELECT unnest(range(0, (SELECT CAST(pow(2, ceil(log2(count(*)))) AS BIGINT) FROM events))) AS p) LEFT JOIN e ON p = position""")
 def padded_power_of_two(spark, d):
-    return rounded(signal.padded_rows(_first(spark, d, 50), "value", "position"))
+    return rounded(signal.padded_rows(_all(spark, d), "value", "position"))
 
 
-@query(DFT.replace("-sum", "sum") + "SELECT k AS position, round(re / 64, 6) + 0.0 AS value FROM f")
+@query()
+def fourier_whole(spark, d):
+    """Magnitude and phase of all events as one padded series; SQL's sums over all pairs of samples and bins are too slow."""
+    return rounded(signal.fourier(signal.padded_rows(_all(spark, d), "value", "position"), "value", "position"), 3)
+
+
+@query()
 def fourier_inverse(spark, d):
-    return rounded(signal.fourier_inverse(_first(spark, d, 64), "value", "position"))
+    return rounded(signal.fourier_inverse(signal.padded_rows(_all(spark, d), "value", "position"), "value", "position"), 5)
 
 
 @query("SELECT i AS position, round(1.5 + 2 * sin(2 * pi() * 5 * i / 100), 6) + 0.0 AS x FROM (SELECT unnest(range(0, 200)) AS i)")

@@ -43,9 +43,9 @@ def cosine_topk(spark, d):
 
 
 def _elementwise(name: str, op: str, f) -> None:
-    @query(f"SELECT vec_id, CAST(g.i - 1 AS INTEGER) AS position, round(CAST(embedding[g.i] AS DOUBLE) {op} ({SQL_QUERY})[g.i], 5) + 0.0 AS x FROM embeddings, (SELECT unnest(range(1, 65)) AS i) g WHERE vec_id < 20", name=f"elementwise_{name}")
+    @query(f"SELECT vec_id, CAST(g.i - 1 AS INTEGER) AS position, round(CAST(embedding[g.i] AS DOUBLE) {op} ({SQL_QUERY})[g.i], 5) + 0.0 AS x FROM embeddings, (SELECT unnest(range(1, 65)) AS i) g", name=f"elementwise_{name}")
     def elementwise(spark, d):
-        df = _vectors(spark, d).where("vec_id < 20").select("vec_id", F.posexplode(f(F.col("embedding"), _q())).alias("position", "x"))
+        df = _vectors(spark, d).select("vec_id", F.posexplode(f(F.col("embedding"), _q())).alias("position", "x"))
         return rounded(df, 5)
 
 
@@ -53,33 +53,33 @@ for _n, _op, _f in (("add", "+", V.add), ("subtract", "-", V.subtract), ("multip
     _elementwise(_n, _op, _f)
 
 
-@query(f"SELECT vec_id, CAST(g.i - 1 AS INTEGER) AS position, round(({SQL_QUERY})[g.i] / (2 + CAST(embedding[g.i] AS DOUBLE)), 5) + 0.0 AS x FROM embeddings, (SELECT unnest(range(1, 65)) AS i) g WHERE vec_id < 20")
+@query(f"SELECT vec_id, CAST(g.i - 1 AS INTEGER) AS position, round(({SQL_QUERY})[g.i] / (2 + CAST(embedding[g.i] AS DOUBLE)), 5) + 0.0 AS x FROM embeddings, (SELECT unnest(range(1, 65)) AS i) g")
 def elementwise_divide(spark, d):
     below = V.broadcast_add("embedding", 2.0)
-    return rounded(_vectors(spark, d).where("vec_id < 20").select("vec_id", F.posexplode(V.divide(_q(), below)).alias("position", "x")), 5)
+    return rounded(_vectors(spark, d).select("vec_id", F.posexplode(V.divide(_q(), below)).alias("position", "x")), 5)
 
 
 @query(f"""SELECT vec_id, CAST(g.i - 1 AS INTEGER) AS position, round(2 * CAST(embedding[g.i] AS DOUBLE) + 1, 5) + 0.0 AS scaled, round((1 - CAST(embedding[g.i] AS DOUBLE)) / 4, 5) + 0.0 AS shifted, round(CAST(embedding[g.i] AS DOUBLE) / {NORM}, 5) + 0.0 AS unit
-FROM embeddings, (SELECT unnest(range(1, 65)) AS i) g WHERE vec_id < 20""")
+FROM embeddings, (SELECT unnest(range(1, 65)) AS i) g""")
 def broadcast_and_normalized(spark, d):
     x = F.col("embedding")
     parts = F.arrays_zip(V.broadcast_add(V.broadcast_multiply(x, 2), 1).alias("scaled"), V.broadcast_divide(V.scalar_subtract(1, x), 4).alias("shifted"), V.normalized(x).alias("unit"))
-    return rounded(_vectors(spark, d).where("vec_id < 20").select("vec_id", F.posexplode(parts).alias("position", "p")).select("vec_id", "position", "p.*"), 5)
+    return rounded(_vectors(spark, d).select("vec_id", F.posexplode(parts).alias("position", "p")).select("vec_id", "position", "p.*"), 5)
 
 
-@query(f"""WITH s AS (SELECT vec_id, embedding, list_inner_product({E_}, {SQL_QUERY}) AS d, {QNORM} AS n FROM embeddings WHERE vec_id < 20)
+@query(f"""WITH s AS (SELECT vec_id, embedding, list_inner_product({E_}, {SQL_QUERY}) AS d, {QNORM} AS n FROM embeddings)
 SELECT vec_id, CAST(g.i - 1 AS INTEGER) AS position, round(d / n, 5) + 0.0 AS scalar, round(({SQL_QUERY})[g.i] * d / (n * n), 5) + 0.0 AS projection, round(CAST(embedding[g.i] AS DOUBLE) - ({SQL_QUERY})[g.i] * d / (n * n), 5) + 0.0 AS orthogonal
 FROM s, (SELECT unnest(range(1, 65)) AS i) g""")
 def projections(spark, d):
     parts = F.arrays_zip(V.vector_projection("embedding", _q()).alias("projection"), V.orthogonal_component("embedding", _q()).alias("orthogonal"))
-    df = _vectors(spark, d).where("vec_id < 20").select("vec_id", V.scalar_projection("embedding", _q()).alias("scalar"), F.posexplode(parts).alias("position", "p"))
+    df = _vectors(spark, d).select("vec_id", V.scalar_projection("embedding", _q()).alias("scalar"), F.posexplode(parts).alias("position", "p"))
     return rounded(df.select("vec_id", "position", "scalar", "p.*"), 5)
 
 
 @query(f"""WITH n AS (SELECT vec_id, {E_} AS e, {NORM} AS n FROM embeddings WHERE {NORM} > 0)
-SELECT a.vec_id AS id1, b.vec_id AS id2, round(list_inner_product(a.e, b.e) / (a.n * b.n), 5) + 0.0 AS similarity FROM n a JOIN n b ON a.vec_id < b.vec_id WHERE list_inner_product(a.e, b.e) / (a.n * b.n) >= 0.9""")
+SELECT a.vec_id AS id1, b.vec_id AS id2, round(list_inner_product(a.e, b.e) / (a.n * b.n), 5) + 0.0 AS similarity FROM n a JOIN n b ON a.vec_id < b.vec_id WHERE list_inner_product(a.e, b.e) / (a.n * b.n) >= 0.45""")
 def near_duplicate_vectors(spark, d):
-    return rounded(similarity.find_duplicates(_vectors(spark, d), "embedding", "vec_id", 0.9), 5)
+    return rounded(similarity.find_duplicates(_vectors(spark, d), "embedding", "vec_id", 0.45), 5)
 
 
 @query(f"""WITH n AS (SELECT vec_id, label, {E_} AS e, {NORM} AS n FROM embeddings)
@@ -101,11 +101,11 @@ def retrieval_gate(spark, d):
     return rounded(made, 5, top_z=4)
 
 
-@query("""WITH x AS (SELECT vec_id, CAST(g.i - 1 AS INTEGER) AS position, CAST(embedding[g.i] AS DOUBLE) AS v FROM embeddings, (SELECT unnest(range(1, 65)) AS i) g WHERE vec_id < 50), m AS (SELECT *, max(v) OVER (PARTITION BY vec_id) AS top FROM x)
+@query("""WITH x AS (SELECT vec_id, CAST(g.i - 1 AS INTEGER) AS position, CAST(embedding[g.i] AS DOUBLE) AS v FROM embeddings, (SELECT unnest(range(1, 65)) AS i) g), m AS (SELECT *, max(v) OVER (PARTITION BY vec_id) AS top FROM x)
 SELECT vec_id, position, round(exp(v - top) / sum(exp(v - top)) OVER (PARTITION BY vec_id), 6) + 0.0 AS softmax, round(1 / (1 + exp(-v)), 6) + 0.0 AS sigmoid FROM m""")
 def softmax_sigmoid(spark, d):
     parts = F.arrays_zip(V.softmax("embedding").alias("softmax"), V.sigmoid("embedding").alias("sigmoid"))
-    return rounded(_vectors(spark, d).where("vec_id < 50").select("vec_id", F.posexplode(parts).alias("position", "p")).select("vec_id", "position", "p.*"))
+    return rounded(_vectors(spark, d).select("vec_id", F.posexplode(parts).alias("position", "p")).select("vec_id", "position", "p.*"))
 
 
 @query("SELECT vec_id, CAST(n AS INTEGER) AS above, CAST(first AS INTEGER) AS first, round(total, 5) + 0.0 AS total FROM (SELECT vec_id, len(list_filter(e, lambda x: x > 0.1)) AS n, list_position([x > 0.1 for x in e], true) - 1 AS first, coalesce(list_sum(list_filter(e, lambda x: x > 0.1)), 0) AS total FROM (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings))")

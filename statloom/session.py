@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import zipfile
 from pathlib import Path
@@ -20,6 +22,7 @@ def ship(spark: SparkSession) -> None:
     if context.applicationId in _shipped or str(root.parent) in known:
         return
     archive = Path(tempfile.mkdtemp(prefix="statloom-")) / "statloom.zip"
+    atexit.register(shutil.rmtree, archive.parent, ignore_errors=True)
     with zipfile.ZipFile(archive, "w") as out:
         for path in sorted(root.rglob("*.py")):
             out.write(path, path.relative_to(root.parent))
