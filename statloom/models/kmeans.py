@@ -58,7 +58,10 @@ class KMeans(Classifier):
             wanted = initial_rows(n, k, seed)
             picked = {r["p"]: r["x"] for r in with_position(rows, "_o", "p").where(F.col("p").isin(*wanted)).select("p", "x").collect()}
             start = [picked[p] for p in wanted]
-        rows = rows.select("x").persist()
+        rows = rows.select("x")
+        if rows.rdd.getNumPartitions() < rows.sparkSession.sparkContext.defaultParallelism:
+            rows = rows.repartition(rows.sparkSession.sparkContext.defaultParallelism)
+        rows = rows.persist()
         try:
             centroids, done = [list(map(float, c)) for c in start], 0
             for done in range(1, iterations + 1):
@@ -74,11 +77,11 @@ class KMeans(Classifier):
 
     @staticmethod
     def _step(rows: DataFrame, centroids: list[list[float]]) -> list[list[float]]:
-        size = len(centroids[0])
-        placed = rows.select("x", nearest(F.col("x"), centroids)["cluster"].alias("c"))
-        sums = placed.groupBy("c").agg(*(F.avg(F.get("x", F.lit(j))).alias(f"m{j}") for j in range(size))).collect()
-        means = {r["c"]: [r[f"m{j}"] for j in range(size)] for r in sums}
-        return [means.get(k, [0.0] * size) for k in range(len(centroids))]
+        placed = rows.select("x", nearest(F.col("x"), centroids)["cluster"].alias("c")).select("c", F.posexplode("x").alias("j", "v"))
+        moved = [[0.0] * len(centroids[0]) for _ in centroids]
+        for r in placed.groupBy("c", "j").agg(F.avg("v").alias("m")).collect():
+            moved[r["c"]][r["j"]] = r["m"]
+        return moved
 
     @classmethod
     def best_fit(cls, df: DataFrame, features: str, k: int, order: str, iterations: int = 100, attempts: int = 10) -> KMeans:
