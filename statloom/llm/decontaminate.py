@@ -7,8 +7,8 @@ being compared with those of the least size that holds it, and overlap by three
 subsequence of its words and the passage's, and by an answer check: at least half of the answer's words (those of ``answer`` if the items have
 one, else the passage's rarest fifth) are in the matched text. Paraphrases that keep most words in order are found as well as copies.
 
-A window of which less than LEAST_ENERGY of the TF-IDF energy (the sum of squares) is in words of the benchmark is no candidate and isn't
-projected: the latent space knows these words alone, so most of such a window would go unseen. The benchmark is taken in blocks of ITEMS_IN_BLOCK passages, so what is sent to the
+A window and a passage are compared unless the text that they would be verified on has too few words of the passage or of its answer to pass,
+which loses nothing. The benchmark is taken in blocks of ITEMS_IN_BLOCK passages, so what is sent to the
 executors is bounded (their words and RANK numbers for each); the documents are read once for the frequencies and once for
 the search, for each block.
 
@@ -21,6 +21,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -28,12 +29,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from statloom.llm.shared import segment_sum, stored, text_parts
-from statloom.llm.words import U64, mix, word_hashes
+from statloom.llm.words import U64, word_hashes
 
 PASSAGE, SHORT, LEAST_WINDOW = 64, 8, 16
 RANK, OVERSAMPLE, POWER_STEPS = 64, 8, 2
 ITEMS_IN_BLOCK = 2000
-LEAST_ENERGY, CANDIDATE, LEAST_LCS, LEAST_ANSWER = 0.2, 0.4, 0.6, 0.5
+CANDIDATE, LEAST_LCS, LEAST_ANSWER = 0.4, 0.6, 0.5
+#: Windows that are looked at at once.
+WINDOWS = 4096
 SCHEMA = "item_id long, doc_id long, passage int, start_word long, cosine double, lcs double, answer double"
 
 
@@ -156,13 +159,23 @@ def randomised_svd(passages: DataFrame, vocabulary: Vocabulary, idf: np.ndarray,
     return basis @ vector[:, order]
 
 
+def _least_order(words: int) -> int:
+    """How many words in order a passage of so many words accepts."""
+    return int(np.ceil(LEAST_LCS * words - 1e-9)) if words >= SHORT else words
+
+
+def _ranges(first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All numbers of the ranges from first to last, one after the other, and where each range starts in these."""
+    offsets = np.concatenate([[0], np.cumsum(last - first)])
+    return np.repeat(first - offsets[:-1], last - first) + np.arange(offsets[-1]), offsets
+
+
 @dataclass
 class Index:
     """What the search needs of a block of passages; everything is as large as the block, whatever the documents."""
 
     vocabulary: Vocabulary
     idf: np.ndarray
-    unseen: float  # idf of a word that the benchmark doesn't have
     latent: np.ndarray  # terms x rank
     items: np.ndarray
     numbers: np.ndarray
@@ -180,47 +193,82 @@ class Index:
         size = np.array([len(w) for w in self.words])
         window = np.maximum(LEAST_WINDOW, 1 << np.ceil(np.log2(np.maximum(size, 1))).astype(int))
         self.weighted = (self.idf[:, None] * self.latent).astype(np.float32)
+        self.need = np.array([_least_order(int(n)) for n in size])  # words in order that each passage accepts
+        # words of the answer that a text must have, beside those that no passage has, which are not counted
+        self.answer_need = np.array([int(np.ceil(LEAST_ANSWER * len(a) - 1e-9)) - int((self.vocabulary.find(a) < 0).sum()) for a in self.answers])
         self.by_window = {int(w): (np.flatnonzero(window == w), vectors[window == w].T.astype(np.float32)) for w in np.unique(window)}
 
     def search(self, words: np.ndarray, at: np.ndarray) -> Iterator[tuple[int, int, int, float, float, float]]:
         """Row, passage, first word, cosine, share of the passage in order, share of the answer, of all that is verified."""
         term = self.vocabulary.find(words)
         known = term >= 0
-        energy = np.where(known, self.idf[term] ** 2, self.unseen**2)
-        inside = np.concatenate([[0.0], np.cumsum(np.where(known, energy, 0.0))])
-        whole = np.concatenate([[0.0], np.cumsum(energy)])
-        position = np.flatnonzero(known)  # the words that the latent space knows, and how many there are before each word
+        found = term[known]  # the words that the latent space knows, and how many there are before each word
         before = np.concatenate([[0], np.cumsum(known)])
         length = np.diff(at)
-        for size, (passages, vectors) in self.by_window.items():
+        for size, (passages, _) in self.by_window.items():
             step = size // 4
             count = np.where(length > 0, 1 + np.maximum(0, -(-(length - size) // step)), 0)
             row = np.repeat(np.arange(len(length)), count)
             k = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
             start = at[row] + np.minimum(k * step, np.maximum(0, length[row] - size))
             end = np.minimum(start + size, at[row + 1])
-            part, total = inside[end] - inside[start], whole[end] - whole[start]
-            rich = np.flatnonzero((part > 0) & (part >= LEAST_ENERGY * total))
-            for k in range(0, len(rich), 1024):
-                some = rich[k : k + 1024]
-                first, sizes = before[start[some]], before[end[some]] - before[start[some]]
-                offsets = np.concatenate([[0], np.cumsum(sizes)])
-                found = term[position[np.repeat(first - offsets[:-1], sizes) + np.arange(offsets[-1])]]
-                projected = segment_sum(self.weighted[found], offsets)
-                cosine = (projected @ vectors) / np.maximum(np.sqrt((projected**2).sum(1, keepdims=True)), 1e-12)
-                for i, j in zip(*np.nonzero(cosine >= CANDIDATE)):
-                    w, p, r = some[i], passages[j], row[some[i]]
-                    low, high = max(at[r], start[w] - size // 2), min(at[r + 1], end[w] + size // 2)
-                    if checked := self.verify(p, words[low:high]):
-                        yield r, p, start[w] - at[r], float(cosine[i, j]), *checked
+            low, high = np.maximum(at[row], start - size // 2), np.minimum(at[row + 1], end + size // 2)
+            rich = np.flatnonzero((before[high] - before[low] >= self.need[passages].min()) & (before[end] > before[start]))
+            for some in np.split(rich, range(WINDOWS, len(rich), WINDOWS)):
+                for i, j, cosine in self._candidates(size, found, *(before[x[some]] for x in (start, end, low, high))):
+                    w, p = some[i], passages[j]
+                    if checked := self.verify(p, words[low[w] : high[w]]):
+                        yield row[w], p, start[w] - at[row[w]], cosine, *checked
+
+    @cached_property
+    def counts(self) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+        """By window size: how often each term is in each passage's answer, and whether it is in the passage. Each executor makes its own."""
+        out = {}
+        for size, (passages, _) in self.by_window.items():
+            out[size] = (np.zeros((len(self.vocabulary.terms), len(passages)), np.uint16), np.zeros((len(self.vocabulary.terms), len(passages)), bool))
+            for j, p in enumerate(passages):
+                term = self.vocabulary.find(self.answers[p])
+                np.add.at(out[size][0][:, j], term[term >= 0], 1)
+                out[size][1][self.vocabulary.find(self.words[p]), j] = True
+        return out
+
+    def _candidates(self, size: int, found: np.ndarray, first: np.ndarray, last: np.ndarray, low: np.ndarray, high: np.ndarray) -> Iterator[tuple[int, int, float]]:
+        """Window, passage and cosine of those that reach CANDIDATE and whose text has as many words of the passage and its answer as it needs.
+
+        Windows, and the texts around them, are ranges of the known words found.
+        """
+        if not len(first):
+            return
+        (passages, vectors), (answers, members) = self.by_window[size], self.counts[size]
+        some = np.unique(_ranges(low, high)[0])
+        some = some[answers.any(1)[found[some]]]  # the words of answers: sums over texts are differences of running sums
+        total = np.zeros((len(some) + 1, len(passages)), np.int32)
+        np.cumsum(answers[found[some]], axis=0, out=total[1:])
+        window, passage = np.nonzero(total[np.searchsorted(some, high)] - total[np.searchsorted(some, low)] >= self.answer_need[passages])
+        enough = np.zeros(len(window), bool)
+        for k in range(0, len(window), WINDOWS):
+            w, j = window[k : k + WINDOWS], passage[k : k + WINDOWS]
+            at, offsets = _ranges(low[w], high[w])
+            inside = members[found[at], np.repeat(j, np.diff(offsets))]
+            enough[k : k + WINDOWS] = segment_sum(inside.astype(np.int32), offsets) >= self.need[passages[j]]
+        window, passage = window[enough], passage[enough]
+        kept, of = np.unique(window, return_inverse=True)
+        for k in range(0, len(kept), 1024):
+            at, offsets = _ranges(first[kept[k : k + 1024]], last[kept[k : k + 1024]])
+            projected = segment_sum(self.weighted[found[at]], offsets)
+            cosine = (projected @ vectors) / np.maximum(np.sqrt((projected**2).sum(1, keepdims=True)), 1e-12)
+            pairs = slice(np.searchsorted(of, k), np.searchsorted(of, k + 1024))
+            for i, j, c in zip(window[pairs], passage[pairs], cosine[of[pairs] - k, passage[pairs]].tolist()):
+                if c >= CANDIDATE:
+                    yield i, j, c
 
     def verify(self, passage: int, text: np.ndarray) -> tuple[float, float] | None:
         words, answer = self.words[passage], self.answers[passage]
         share = float(np.isin(answer, text).mean()) if len(answer) else 1.0
         if share < LEAST_ANSWER:
             return None
-        order = lcs(words, text) / len(words)
-        return (order, share) if order >= (LEAST_LCS if len(words) >= SHORT else 1.0) else None
+        order = lcs(words, text)
+        return (order / len(words), share) if order >= self.need[passage] else None
 
 
 def _blocks(passages: DataFrame, docs: DataFrame) -> Iterator[Index]:
@@ -244,7 +292,7 @@ def _blocks(passages: DataFrame, docs: DataFrame) -> Iterator[Index]:
                 rare = idf[vocabulary.find(own)]
                 given = own[np.lexsort([own, -rare])][: -(-len(own) // 5)]
             answers.append(given)
-        yield Index(vocabulary, idf, float(np.log(total + 2)), latent, np.array([r["item_id"] for r in rows]), np.array([r["passage"] for r in rows]), words, answers)
+        yield Index(vocabulary, idf, latent, np.array([r["item_id"] for r in rows]), np.array([r["passage"] for r in rows]), words, answers)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

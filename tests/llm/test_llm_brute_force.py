@@ -184,6 +184,26 @@ def test_decontamination_of_paraphrases(spark):
     assert len(got & planted) >= 0.9 * len(planted) and not {k for _, k in got} & {k for k, _ in rows if k >= 1000}
 
 
+def test_decontamination_in_tens_of_millions_of_documents():
+    """Passages of common words between words that no item has, as rare as the size of the corpus makes them, or beside words of other items."""
+    random = np.random.default_rng(8)
+    documents, common = 30_000_000, [f"c{k}" for k in range(300)]
+    passages = [word_hashes(pa.array([" ".join(random.choice(common, int(n)))]))[0] for n in random.integers(9, 60, 60)]
+    terms = np.unique(np.concatenate(passages))
+    idf = np.log((documents + 2) / (documents * random.uniform(0.2, 0.9, len(terms)) + 1))
+    vocabulary = decontaminate.Vocabulary(terms)
+    rows = np.zeros((len(passages), len(terms)))
+    for k, p in enumerate(passages):
+        np.add.at(rows[k], vocabulary.find(p), idf[vocabulary.find(p)])
+    latent = np.linalg.svd(rows / np.linalg.norm(rows, axis=1, keepdims=True), full_matrices=False)[2][:64].T
+    answers = [np.unique(p)[: -(-len(np.unique(p)) // 5)] for p in passages]
+    index = decontaminate.Index(vocabulary, idf, latent, np.arange(len(passages)), np.zeros(len(passages), int), passages, answers)
+    other = word_hashes(pa.array([" ".join(f"x{k}" for k in range(40))]))[0]
+    texts = [np.concatenate([other, p, other]) for p in passages] + [np.concatenate([other, passages[k - 1][:5], p, passages[k - 2][:5], other]) for k, p in enumerate(passages)]
+    found = {(r, p) for r, p, *_ in index.search(np.concatenate(texts), np.concatenate([[0], np.cumsum([len(t) for t in texts])]))}
+    assert {(k, k % len(passages)) for k in range(len(texts))} <= found
+
+
 @settings(max_examples=80, deadline=None)
 @given(st.lists(st.integers(0, 5), max_size=30), st.lists(st.integers(0, 5), max_size=30))
 def test_lcs(a, b):
