@@ -84,6 +84,13 @@ def near_duplicate_vectors(spark, d):
     return rounded(similarity.find_duplicates(df, "v", "vec_id", 0.9995))
 
 
+@query(f"""WITH n AS (SELECT vec_id, {E_} AS e, {NORM} AS n FROM embeddings WHERE {NORM} > 0)
+SELECT a.vec_id AS id1, b.vec_id AS id2, round(list_inner_product(a.e, b.e) / (a.n * b.n), 6) + 0.0 AS similarity FROM n a JOIN n b ON a.vec_id < b.vec_id WHERE list_inner_product(a.e, b.e) / (a.n * b.n) >= 0.95""")
+def near_duplicate_embeddings(spark, d):
+    """Of whole vectors, at the default threshold."""
+    return rounded(similarity.find_duplicates(_vectors(spark, d), "embedding", "vec_id"))
+
+
 @query(f"""WITH n AS (SELECT vec_id, label, {E_} AS e, {NORM} AS n FROM embeddings)
 SELECT a.label, round(avg(list_inner_product(a.e, b.e) / (a.n * b.n)), 6) + 0.0 AS cohesion FROM n a JOIN n b ON a.vec_id < b.vec_id AND a.label = b.label GROUP BY a.label""")
 def cluster_cohesion_by_label(spark, d):

@@ -231,6 +231,22 @@ class TestVectors:
         want = {(i, j) for i in range(40) for j in range(i + 1, 40) if 7 not in (i, j) and abs(u[i] @ u[j] - threshold) > 1e-9 and u[i] @ u[j] >= threshold}
         assert want <= got and all(u[i] @ u[j] > threshold - 1e-9 for i, j in got)
 
+    @pytest.mark.parametrize("threshold", [0.95, 0.6])
+    def test_duplicates_of_many_components(self, spark, monkeypatch, threshold):
+        """Two directions would compare nearly all pairs of these vectors: they are compared in blocks, without a join of pairs."""
+        monkeypatch.setattr(similarity, "BLOCK_BYTES", 40_000)
+        random = np.random.default_rng(5)
+        x = random.standard_normal((300, 64))
+        x[150:] = x[:150] + random.uniform(0, 1, (150, 1)) * random.standard_normal((150, 64))
+        x[7] = 0
+        df = spark.createDataFrame([(f"v{k:03}", v.tolist()) for k, v in enumerate(x)], "id string, v array<double>")
+        made = similarity.find_duplicates(df, "v", "id", threshold)
+        assert "Join" not in made._jdf.queryExecution().executedPlan().toString()
+        u = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+        want = {(f"v{i:03}", f"v{j:03}"): u[i] @ u[j] for i in range(300) for j in range(i + 1, 300) if u[i] @ u[j] >= threshold}
+        got = {(r["id1"], r["id2"]): r["similarity"] for r in made.collect()}
+        assert got.keys() == want.keys() and len(got) > 30 and all(got[k] == pytest.approx(want[k]) for k in got)
+
     def test_cohesion(self, spark):
         x = np.random.default_rng(1).standard_normal((30, 4))
         df = spark.createDataFrame([(v.tolist(),) for v in x], "v array<double>")
