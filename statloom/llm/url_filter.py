@@ -2,7 +2,8 @@
 
 Two smoothed variable-order Markov models (orders 0 to ORDER, interpolated by Witten and Bell's method) are trained on accepted
 and on rejected URLs; a URL is allowed if the difference of its log-likelihoods, divided by its length, reaches a threshold that
-was calibrated on URLs held out of the training.
+was calibrated on URLs held out of the training. All labelled URLs count: n-grams are counted in each task and summed, and the
+tables of the models grow with the number of different n-grams.
 
 Rules: (host, path) pairs written ``host/path``. A rule fits its host and all its subdomains, if the URL's path starts with the
 rule's; of the rules that fit, the longest decides. Host: from after the first ``://`` up to ``/``, ``?``, ``#`` or the end, A-Z
@@ -23,10 +24,13 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from statloom.llm.shared import segment_sum, text_parts, utf8
+from statloom.llm.shared import segment_sum, stored, text_parts, utf8
 from statloom.llm.words import U64, mix
 
+#: The highest order, and the least bits of a table's index.
 ORDER, BITS = 5, 16
+#: n-grams that a task holds before it hands on their counts; the width of a bin of ratios.
+HELD, BIN = 1 << 20, 1 / (1 << 14)
 #: Terms in a host that list keepers block, the seed of the rejected URLs beside what rules block.
 REJECTED_TERMS = ("ads", "adserver", "bets", "betting", "casino", "clickbait", "doorway", "jackpot", "lottery", "malware", "payday", "phish", "pills", "poker", "porn", "replica", "slots", "spam", "tracker", "track", "viagra", "warez", "xxx")
 
@@ -54,8 +58,8 @@ def rule_verdict(rules: dict[str, str]) -> Column:
     return verdict
 
 
-def _codes(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each order, the hashed context of every character and the hashed context with the character; and the row offsets.
+def _hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each order, the hash of the context of every character and that of the context with the character; and the row offsets.
 
     Texts are lower-cased, digits are one character, and each ends with a 0.
     """
@@ -73,30 +77,41 @@ def _codes(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             past[k:] = wide[:-k]
             context = context * U64(0x100000001B3) + np.where(position >= k, past + U64(1), U64(0))
         salted = mix(context + U64(k << 56))
-        contexts.append((salted >> U64(64 - BITS)).astype(np.int32))
-        joined.append((mix(salted + wide + U64(1)) >> U64(64 - BITS)).astype(np.int32))
+        contexts.append(salted)
+        joined.append(mix(salted + wide + U64(1)))
     return np.array(contexts), np.array(joined), at
 
 
+def _codes(column: pa.Array, bits: tuple[int, ...] = (BITS,) * (ORDER + 1)) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """_hashes cut to so many bits for each order, the places in the tables."""
+    contexts, joined, at = _hashes(column)
+    down = np.array([64 - b for b in bits], U64)[:, None]
+    return (contexts >> down).astype(np.int32), (joined >> down).astype(np.int32), at
+
+
 @dataclass
 class MarkovModel:
     """Counts by order and hash: of contexts, of their different continuations, and of contexts with a character."""
 
-    contexts: np.ndarray = field(default_factory=lambda: np.zeros((ORDER + 1, 1 << BITS), np.float32))
-    kinds: np.ndarray = field(default_factory=lambda: np.zeros((ORDER + 1, 1 << BITS), np.float32))
-    joined: np.ndarray = field(default_factory=lambda: np.zeros((ORDER + 1, 1 << BITS), np.float32))
+    contexts: list[np.ndarray] = field(default_factory=lambda: [np.zeros(1 << BITS, np.float32) for _ in range(ORDER + 1)])
+    kinds: list[np.ndarray] = field(default_factory=lambda: [np.zeros(1 << BITS, np.float32) for _ in range(ORDER + 1)])
+    joined: list[np.ndarray] = field(default_factory=lambda: [np.zeros(1 << BITS, np.float32) for _ in range(ORDER + 1)])
 
     @classmethod
     def train(cls, column: pa.Array) -> MarkovModel:
         model = cls()
-        contexts, joined, _ = _codes(column)
+        contexts, joined, _ = _hashes(column)
         for k in range(ORDER + 1):
-            model.contexts[k] = np.bincount(contexts[k], minlength=1 << BITS)
-            model.joined[k] = np.bincount(joined[k], minlength=1 << BITS)
-            pairs = np.unique(contexts[k].astype(np.int64) << BITS | joined[k])
-            model.kinds[k] = np.bincount(pairs >> BITS, minlength=1 << BITS)
+            model.put(k, BITS, contexts[k], joined[k], np.ones(len(contexts[k]), np.int64))
         return model
 
+    def put(self, k: int, bits: int, contexts: np.ndarray, joined: np.ndarray, n: np.ndarray) -> None:
+        """The tables of order k, of 2 ** bits places, from the counts of n-grams by their hashes."""
+        a, b = (contexts >> U64(64 - bits)).astype(np.int64), (joined >> U64(64 - bits)).astype(np.int64)
+        self.contexts[k] = np.bincount(a, n, 1 << bits).astype(np.float32)
+        self.joined[k] = np.bincount(b, n, 1 << bits).astype(np.float32)
+        self.kinds[k] = np.bincount(np.unique(a << bits | b) >> bits, minlength=1 << bits).astype(np.float32)
+
     def log_likelihood(self, contexts: np.ndarray, joined: np.ndarray, at: np.ndarray) -> np.ndarray:
         p = np.full(contexts.shape[1], 1 / 257)
         for k in range(ORDER + 1):
@@ -110,42 +125,103 @@ class UrlModel:
     accepted: MarkovModel | None = None
     rejected: MarkovModel | None = None
     threshold: float = 0.0
+    bits: tuple[int, ...] = (BITS,) * (ORDER + 1)
 
     def ratio(self, column: pa.Array) -> np.ndarray:
         if self.accepted is None or self.rejected is None:
             return np.zeros(len(column))
-        contexts, joined, at = _codes(column)
+        contexts, joined, at = _codes(column, self.bits)
         size = np.diff(at)
         difference = (self.accepted.log_likelihood(contexts, joined, at) - self.rejected.log_likelihood(contexts, joined, at)) / size
         return np.where(size > 1, difference, 0.0)
 
 
-def fit(labelled: DataFrame, max_rows: int = 20000) -> UrlModel:
-    """A model of labelled(url, accepted boolean). max_rows bounds the sample of each label, taken by a hash of the URL; a fifth
-    of it sets the threshold: the least ratio that rejects at most one in a hundred of the held-out accepted URLs and, above
-    that, parts the two labels with the fewest errors, each label weighing the same."""
+def _summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct rows of keys (part, context, joined), and the sums of n for each."""
+    order = np.lexsort((keys[0], keys[1], keys[2]))
+    keys, n = keys[:, order], n[order]
+    start = np.flatnonzero(np.concatenate([[True], (keys[:, 1:] != keys[:, :-1]).any(0)]))
+    return keys[:, start], np.add.reduceat(n, start)
+
+
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How often each n-gram is in the URLs of each label; part is twice the order, and one more for accepted URLs."""
+    kinds = ["part", "context", "joined", "n"]
+    keys, n = np.zeros((3, 0), np.int64), np.zeros(0, np.int64)
+    for batch in batches:
+        for part in text_parts(batch, "url"):
+            for label in (False, True):
+                contexts, joined, _ = _hashes(part.column("url").filter(pc.equal(part.column("accepted"), label)))
+                if not contexts.shape[1]:
+                    continue
+                for k in range(ORDER + 1):
+                    own = np.array([np.full(contexts.shape[1], 2 * k + label), contexts[k].view(np.int64), joined[k].view(np.int64)])
+                    own, m = _summed(own, np.ones(own.shape[1], np.int64))
+                    keys, n = np.concatenate([keys, own], 1), np.concatenate([n, m])
+            if len(n) > HELD:
+                keys, n = _summed(keys, n)
+                if len(n) > HELD // 2:
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in (*keys, n)], kinds)
+                    keys, n = keys[:, :0], n[:0]
+    if len(n):
+        keys, n = _summed(keys, n)
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in (*keys, n)], kinds)
+
+
+def fit(labelled: DataFrame) -> UrlModel:
+    """A model of labelled(url, accepted boolean), of all its rows. A fifth of the URLs, by their hash, sets the threshold: the least ratio that
+    rejects at most one in a hundred of the held-out accepted URLs and, above that, parts the two labels with the fewest errors,
+    each label weighing the same."""
     labelled = labelled.where("url is not null and accepted is not null").select("url", "accepted")
-    counts = {r["accepted"]: r["n"] for r in labelled.groupBy("accepted").agg(F.count("*").alias("n")).collect()}
-    if len(counts) < 2:
+    if len(labelled.groupBy("accepted").agg(F.count("*")).collect()) < 2:
         return UrlModel()
-    share = F.when(F.col("accepted"), min(1_000_000, max_rows * 1_000_000 // counts[True])).otherwise(min(1_000_000, max_rows * 1_000_000 // counts[False]))
-    got = labelled.where(F.pmod(F.xxhash64("url", F.lit("fit")), F.lit(1_000_000)) < share).withColumn("held", F.pmod(F.xxhash64("url", F.lit("held")), F.lit(5)) == 0).toArrow().combine_chunks()
-    accepted, held = got["accepted"], got["held"]
-    pick = lambda a, h: got["url"].filter(pc.and_(pc.equal(accepted, a), pc.equal(held, h))).combine_chunks()
-    model = UrlModel(MarkovModel.train(_one(pick(True, False))), MarkovModel.train(_one(pick(False, False))))
-    good, bad = np.sort(model.ratio(_one(pick(True, True)))), np.sort(model.ratio(_one(pick(False, True))))
-    if len(good) and len(bad):
-        at = np.unique(np.concatenate([good, bad, [0.0]]))
-        errors = np.searchsorted(good, at) / len(good) + 1 - np.searchsorted(bad, at) / len(bad)
-        errors[np.searchsorted(good, at) > 0.01 * len(good)] = np.inf
-        best = np.flatnonzero(errors == errors.min())
-        below = bad[bad < at[best[-1]]]
-        model.threshold = float((at[best[-1]] + (below.max() if len(below) else at[best[-1]])) / 2)
+    held = F.pmod(F.xxhash64("url", F.lit("held")), F.lit(5)) == 0
+    grams = labelled.where(~held).mapInArrow(_count, "part long, context long, joined long, n long").groupBy("part", "context", "joined").agg(F.sum("n").alias("n"))
+    grams = stored(grams, "url-grams")
+    model = UrlModel(MarkovModel(), MarkovModel())
+    bits = []
+    for k in range(ORDER + 1):
+        got = grams.where(F.col("part").isin(2 * k, 2 * k + 1)).toArrow()
+        part, context, joined, n = (got[c].to_numpy() for c in ("part", "context", "joined", "n"))
+        bits.append(max(BITS, int(np.ceil(np.log2(max(1, len(n))))) + 2))
+        for label, own in ((1, model.accepted), (0, model.rejected)):
+            some = part == 2 * k + label
+            own.put(k, bits[k], context[some].view(U64), joined[some].view(U64), n[some])
+    model.bits = tuple(bits)
+    model.threshold = _threshold(labelled.where(held), model)
     return model
 
 
-def _one(column: pa.Array | pa.ChunkedArray) -> pa.Array:
-    return pa.concat_arrays(column.chunks) if isinstance(column, pa.ChunkedArray) and column.num_chunks else column if isinstance(column, pa.Array) else pa.array([], pa.string())
+def _threshold(held: DataFrame, model: UrlModel) -> float:
+    """The threshold of all held-out URLs, from counts and extremes of their ratios in bins: all that is counted is exact, of the
+    ratios in one bin of a label the least is tried."""
+    shipped = held.sparkSession.sparkContext.broadcast(model)
+
+    def ratios(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in text_parts(batch, "url"):
+                yield pa.RecordBatch.from_arrays([part.column("accepted"), pa.array(shipped.value.ratio(part.column("url")))], ["accepted", "ratio"])
+
+    bins = held.mapInArrow(ratios, "accepted boolean, ratio double").groupBy("accepted", F.floor(F.col("ratio") / BIN).alias("bin"))
+    got = bins.agg(F.count("*").alias("n"), F.min("ratio").alias("low"), F.max("ratio").alias("high")).toArrow()
+    accepted, bin, n, low, high = (got[c].to_numpy() for c in ("accepted", "bin", "n", "low", "high"))
+    if accepted.all() or not accepted.any():
+        return 0.0
+    at = np.unique(np.concatenate([[0.0], low]))
+    # a bin counts as below if all of it is; the least ratio of one label can split the bin of the other, which then counts as not below
+    below = lambda label: np.concatenate([[0], np.cumsum(n[accepted == label][np.argsort(high[accepted == label])])])[np.searchsorted(np.sort(high[accepted == label]), at)]
+    good, bad = below(True), below(False)
+    errors = good / n[accepted].sum() + 1 - bad / n[~accepted].sum()
+    errors[_most_below(low[accepted], n[accepted], at) > 0.01 * n[accepted].sum()] = np.inf
+    best = at[np.flatnonzero(errors == errors.min())[-1]]
+    under = high[~accepted][high[~accepted] < best]
+    return float((best + (under.max() if len(under) else best)) / 2)
+
+
+def _most_below(low: np.ndarray, n: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """How many ratios may be below each of at: those of all bins that begin below."""
+    order = np.argsort(low)
+    return np.concatenate([[0], np.cumsum(n[order])])[np.searchsorted(low[order], at)]
 
 
 def labelled_by(pages: DataFrame, rules: dict[str, str], terms: tuple[str, ...] = REJECTED_TERMS) -> DataFrame:
@@ -161,8 +237,10 @@ def judge(pages: DataFrame, rules: dict[str, str], model: UrlModel) -> DataFrame
     judged = with_host_path(pages).withColumn("rule", rule_column(rules)).withColumn("verdict", rule_verdict(rules))
     keep = [c for c in judged.columns if c not in ("ratio", "verdict")]
     schema = judged.select(*keep).schema.add("ratio", "double").add("verdict", "string")
+    shipped = pages.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shipped.value
         for batch in batches:
             for part in text_parts(batch, "url"):
                 ratio = model.ratio(part.column("url"))

@@ -243,6 +243,23 @@ def test_url_rules(spark, data):
         assert rule is None or r["verdict"] == queries.URL_RULES[rule]
 
 
+def test_url_model_counts_all_urls(spark, monkeypatch):
+    """30,000 URLs of a label, each with a mark of its own: every one that isn't held out counts, in several parts of a task's counts."""
+    monkeypatch.setattr(url_filter, "HELD", 20_000)
+    mark = F.translate(F.conv((F.col("id") % 30_000).cast("string"), 10, 26), "0123456789ABCDEFGHIJKLMNOP", "abcdefghijklmnopqrstuvwxyz")
+    rows = spark.range(60_000, numPartitions=3).select(F.concat(F.lit("https://x.org/"), mark).alias("url"), (F.col("id") < 30_000).alias("accepted"))
+    rows = rows.union(spark.range(500).select(F.lit("https://hot.org/a").alias("url"), F.lit(True).alias("accepted")))
+    model = url_filter.fit(rows)
+    urls = [(r["url"], r["accepted"]) for r in rows.where(F.pmod(F.xxhash64("url", F.lit("held")), F.lit(5)) != 0).collect()]
+    assert model.bits[url_filter.ORDER] > url_filter.BITS
+    for own, label in ((model.accepted, True), (model.rejected, False)):
+        text = pa.array([u for u, a in urls if a == label])
+        contexts, joined, _ = url_filter._codes(text, model.bits)
+        for k in range(url_filter.ORDER + 1):
+            assert np.array_equal(own.contexts[k], np.bincount(contexts[k], minlength=1 << model.bits[k]))
+            assert np.array_equal(own.joined[k], np.bincount(joined[k], minlength=1 << model.bits[k]))
+
+
 def test_url_model(spark):
     good = [f"https://news{k}.example.org/story/{k * 7}" for k in range(300)]
     bad = [f"http://win-casino{k % 9}.example.org/bonus/{k}" for k in range(300)]
