@@ -143,6 +143,14 @@ def test_surge_and_dive():
     assert html_text.main_lines(lines) == [lines[4][0], "Short.", lines[6][0]]
 
 
+@pytest.mark.parametrize("longest", [400, 20_000, 2_000_000])
+def test_surge_beside_a_very_long_block(longest):
+    """Ordinary paragraphs stay, however long one block of the page is."""
+    sizes = [400] * 5 + [longest] + [400] * 5
+    blocks = [("Menu", 0), *[("", 0)] * 3, *((chr(97 + k) * n, 0) for k, n in enumerate(sizes)), *[("", 0)] * 3, ("Legal", 0)]
+    assert [len(x) for x in html_text.main_lines(blocks)] == sizes
+
+
 def test_content_named_by_class():
     page = '<body><div class="site-title">Site</div><div id="content"><h1>Head</h1><p>Text.</p><div class="share-buttons">Share</div></div><div class="rail">More</div></body>'
     assert html_text.extract(page) == "Head\n\nText."
