@@ -12,8 +12,8 @@ Rows: null text is an empty text. A text without words links to nothing, not eve
 one n-gram, all their words. Of rows with one doc_id, that with the greatest key of its 5-gram set counts, once. Rows with a null
 doc_id are left out. Empty tables give empty results; further columns are ignored by ``links`` and kept by ``representatives``.
 
-A pair at exactly the threshold meets in a band with probability 1 - (1 - 0.8**4)**32 > 1 - 5e-8; pruning drops it with less than
-TOLERANCE.
+A pair at exactly the threshold meets in a band with probability 1 - (1 - 0.8**4)**32 > 1 - 5e-8; the steps of
+pruning together drop it with less than 9.2e-7 (TOLERANCE bounds the posterior at each step).
 """
 
 from __future__ import annotations
@@ -36,7 +36,8 @@ THRESHOLD = 0.8
 VALUES, ROWS = 128, 4
 BANDS = VALUES // ROWS
 STEP = 16
-TOLERANCE = 1e-6
+#: The bound of the posterior at each step; over all steps a pair at THRESHOLD is lost with probability 9.1e-7.
+TOLERANCE = 1e-7
 #: Members and shingles of a block: two blocks are one task's work.
 BLOCK = 1024
 BLOCK_SHINGLES = 1 << 19

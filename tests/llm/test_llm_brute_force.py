@@ -371,6 +371,20 @@ def test_pruning_keeps_what_may_reach_the_threshold():
     assert len(near_duplicates.prune(a, c, i, i)[0]) < 0.01 * len(a)
 
 
+def test_pruning_loses_less_than_one_in_a_million():
+    """The exact chance that a pair at the threshold fails some step, or meets in no band."""
+    t, n = near_duplicates.THRESHOLD, near_duplicates.STEP
+    alive, lost = {0: 1.0}, 0.0
+    for least in near_duplicates.least_matches():
+        after = {}
+        for k, p in alive.items():
+            for x in range(n + 1):
+                after[k + x] = after.get(k + x, 0.0) + p * math.comb(n, x) * t**x * (1 - t) ** (n - x)
+        lost += sum(p for k, p in after.items() if k < least)
+        alive = {k: p for k, p in after.items() if k >= least}
+    assert lost + (1 - t**near_duplicates.ROWS) ** near_duplicates.BANDS < 1e-6
+
+
 @settings(max_examples=4, deadline=None)
 @given(st.integers(0, 1000))
 def test_components(spark, seed):
