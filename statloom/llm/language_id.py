@@ -4,7 +4,8 @@ Features are hashed byte 2-, 3- and 4-grams of the lower-cased letters of the wh
 document's vector holds their shares. All SVMs are linear, so scoring is one table look-up per n-gram and a mean per document.
 
 Rows: null text, or a text without a letter: ``und`` with score 0, and so is all if no language was learned. Empty tables give empty results. Repeated rows are scored
-alike. Further columns are kept by ``identify`` (names of the result replace columns of the same name).
+alike, and rows of one doc_id and language teach once. Ties of wins go to the larger sum of margins, then the first label. Further columns are kept by
+``identify`` (names of the result replace columns of the same name). Long texts are summed in strips.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from statloom.llm.shared import segment_sum, text_parts, utf8
+from statloom.llm.shared import hashed_below, segment_sum, text_parts, utf8
 
 #: Families by ISO 639-1 code. A language that is not listed is a family of its own.
 FAMILIES = {
@@ -32,6 +33,8 @@ FAMILIES = {
 FAMILY_OF = {lang: family for family, langs in FAMILIES.items() for lang in langs}
 
 BUCKETS = 4096
+#: Weights that a scoring pass gathers at once.
+STRIP = 1 << 22
 GRAMS = (2, 3, 4)
 UNKNOWN = "und"
 _SPACE = 32
@@ -115,8 +118,11 @@ class LanguageModel:
         if not self.langs:
             return [UNKNOWN] * len(letters), np.zeros(len(letters))
         total, count = np.zeros((len(letters), len(self.pairs)), np.float64), np.zeros(len(letters))
+        strip = max(4096, STRIP // max(1, len(self.pairs)))
         for g in grams:
-            total += segment_sum(self.weights[g], offsets)
+            for k in range(0, len(g), strip):
+                inside = np.clip(offsets - k, 0, min(strip, len(g) - k))
+                total += segment_sum(self.weights[g[k : k + strip]], inside)
             count += segment_sum((g < BUCKETS).astype(np.int64), offsets)
         margin = total / np.maximum(count, 1)[:, None] + self.biases
         families = sorted({self.family(x) for x in self.langs})
@@ -160,22 +166,30 @@ def _examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array([x.tobytes() for x in shares], pa.binary())], ["lang", "shares"])
 
 
+def sampled(docs: DataFrame, counts: dict[str, int], max_rows: int) -> DataFrame:
+    """lang and text of about max_rows documents, as many of each language of counts, taken by a hash of doc_id (of the text where that is
+    null); repeated rows come once, so that the sample is bounded whatever key holds most rows."""
+    each = max(1, max_rows // len(counts))
+    key = F.coalesce(F.col("doc_id").cast("string"), "text")
+    shares = docs.sparkSession.createDataFrame([(lang, min(1.0, each / n)) for lang, n in counts.items()], "lang string, share double")
+    some = docs.select("lang", "text", key.alias("key")).join(F.broadcast(shares), "lang").where(hashed_below(F.col("share"), F.col("key"), F.lit("language")))
+    return some.groupBy("lang", "key").agg(F.max("text").alias("text")).select("lang", "text")
+
+
 def fit(docs: DataFrame, max_rows: int = 1200) -> LanguageModel:
     """A model of the languages in docs(doc_id, text, lang); rows with null text or lang teach nothing.
 
     max_rows bounds the sample that the SVMs see: about max_rows documents, as many of each language, taken by a hash of doc_id.
     """
     docs = docs.where("lang is not null and text is not null")
-    counts = {r["lang"]: r["n"] for r in docs.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    documents = F.approx_count_distinct(F.coalesce(F.col("doc_id").cast("string"), F.col("text")), 0.02)
+    # a row for each language
+    counts = {r["lang"]: max(1, r["n"]) for r in docs.groupBy("lang").agg(documents.alias("n")).collect()}
     model = LanguageModel(sorted(counts))
     if len(counts) < 2:
         return model
-    each = max(1, max_rows // len(counts))
-    share = F.lit(0)
-    for lang, n in counts.items():
-        share = F.when(F.col("lang") == lang, F.lit(min(1_000_000, each * 1_000_000 // n))).otherwise(share)
-    sample = docs.where(F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("language")), F.lit(1_000_000)) < share)
-    got = sample.select("lang", "text").mapInArrow(_examples, "lang string, shares binary").toArrow()
+    sample = sampled(docs, counts, max_rows)
+    got = sample.mapInArrow(_examples, "lang string, shares binary").toArrow()
     lang = np.array(got["lang"].to_pylist(), object)
     x = np.empty((len(lang), BUCKETS), np.float32)
     for k, raw in enumerate(got["shares"]):

@@ -6,8 +6,9 @@ partition, and each range is packed in order as one stream of token ids, cut at
 end is cut into lengths that are powers of two, which need no padding either.
 
 A document's tokens are the ids of its whole text and an end id. Null text: empty, the end id alone. Copies share a place on the
-curve and are spread by a hash of doc_id, so a large group of them is cut like any other run of the curve. Repeated rows are
-packed each. An empty table gives no rows. Further columns are ignored.
+curve and are spread by a hash of doc_id, so a large group of them is cut like any other run of the curve. Repeated rows (of one doc_id, or
+null, and one text) are packed each; those of a batch go to a task as one row and their number. An empty table gives no rows. Further
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from statloom.llm.shared import partitions, text_parts, utf8
+from statloom.llm.shared import partitions, repeats, text_parts, utf8
 from statloom.llm.words import U64, mix, word_hashes
 
 VECTOR, DIMENSIONS, BITS = 256, 4, 12
@@ -76,13 +77,15 @@ def curve_keys(column: pa.Array, doc_id: pa.Array) -> np.ndarray:
 class TokenIds:
     """Token ids of whole texts, as little-endian unsigned 32-bit bytes, exactly as the tokenizer's encode gives them.
 
-    The tokenizer never joins what white space parts, so a text's ids are those of its pieces between blanks and line ends, which
+    Where the tokenizer never joins what white space parts, a text's ids are those of its pieces between blanks and line ends, which
     are kept in a bounded dictionary. Pieces of Latin-1 letters with marks at the end go to the tokenizer's own merge model alone,
-    all at once; others go through the whole tokenizer.
+    all at once; others go through the whole tokenizer. Both ways are tried on PROBES when a file is loaded; a tokenizer of another kind
+    encodes whole texts.
     """
 
     KEEP = 250_000  # pieces of either generation; what is used again moves to the younger
     MARKS = '.,!?;:"#$%&*|()'
+    PROBES = ("a b", " two  blanks ", "One\nTwo\r\nThree\tFour", "don't I'll 12 345 6.7", "Éa ß çÀ, Ñandú! naïve?", "x( y) (z) a&b &amp; \"q\"", "日本語 テスト 한국", "The quick brown fox JUMPS; over: the|dog #1 50%")
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # the tasks of an executor share its cores already
@@ -103,6 +106,11 @@ class TokenIds:
         self.young: dict[str, bytes] = {"": b""}
         self.old: dict[str, bytes] = {}
         self.marks: dict[str, bytes] = {"": b""}
+        want = self._whole(list(self.PROBES))
+        self.pieces = True
+        if self.plain and self.encode(list(self.PROBES)) != want:
+            self.plain, self.young, self.marks = False, {"": b""}, {"": b""}
+        self.pieces = self.encode(list(self.PROBES)) == want
 
     def _whole(self, pieces: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.whole.encode_batch_fast(pieces, add_special_tokens=False)] if pieces else []
@@ -134,6 +142,8 @@ class TokenIds:
         self.young.update((name, raw[a:b] + marks[tail]) for name, tail, a, b in zip(names, tails, [0, *cuts], cuts))
 
     def encode(self, texts: list[str]) -> list[bytes]:
+        if not self.pieces:
+            return self._whole(texts)
         cut = [t.replace("\n", " ").replace("\r", " ").replace("\t", " ").split(" ") for t in texts]
         need: set[str] = set().union(*cut)
         if len(self.young) > self.KEEP:
@@ -178,17 +188,15 @@ def _cut(pieces: list[tuple], sequence: int, total: int) -> Iterator[tuple]:
 def pack(docs: DataFrame, path: str, end_id: int = 2, size: int = 4096, sample: int = 20000) -> DataFrame:
     """Pieces of the documents of docs(doc_id, text): doc_id, start, length, ids_crc32, doc_tokens, sequence_id and offset.
 
-    path: a tokenizer file that every executor has. size: ids in a sequence, a power of two. sample: how many documents, taken by a hash of
-    doc_id, set the ends of the ranges, which have about as much text each; these only balance the partitions.
+    path: a tokenizer file that every executor has. size: ids in a sequence, a power of two. sample: about how many rows, taken at random,
+    set the ends of the ranges, which have about as much text each; these only balance the partitions.
     """
     if size & (size - 1):
         raise ValueError("size must be a power of two")
     spark = docs.sparkSession
     n = partitions(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = max(1, docs.count())
-    share = min(1_000_000, max(1, sample * 1_000_000 // rows))
-    some = docs.where(F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(-1)), F.lit("ranges")), F.lit(1_000_000)) < share)
+    some = docs.where(F.rand(5) < sample / max(1, docs.count()))
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -204,7 +212,10 @@ def pack(docs: DataFrame, path: str, end_id: int = 2, size: int = 4096, sample:
         for batch in batches:
             for part in text_parts(batch):
                 key = curve_keys(part.column("text"), part.column("doc_id"))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text"), pa.array(key), pa.array(np.searchsorted(ends, key, side="right").astype(np.int32))], ["doc_id", "text", "key", "range"])
+                ids = part.column("doc_id")
+                kept, many = repeats(part, [key, ids.fill_null(-1).to_numpy(), ids.is_null().to_numpy(zero_copy_only=False)])
+                key, part = key[kept], part.take(pa.array(kept))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text"), pa.array(many), pa.array(key), pa.array(np.searchsorted(ends, key, side="right").astype(np.int32))], ["doc_id", "text", "many", "key", "range"])
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids_of, last = token_ids(path), np.array([end_id], "<u4").tobytes()
@@ -219,12 +230,13 @@ def pack(docs: DataFrame, path: str, end_id: int = 2, size: int = 4096, sample:
         for batch in batches:
             for part in text_parts(batch):
                 encoded = ids_of.encode([t or "" for t in part.column("text").to_pylist()])
-                for doc_id, ids, range_ in zip(part.column("doc_id").to_pylist(), encoded, part.column("range").to_pylist()):
+                rows = zip(*(part.column(c).to_pylist() for c in ("doc_id", "range", "many")), encoded)
+                for doc_id, range_, ids in ((d, r, i) for d, r, many, i in rows for _ in range(many)):
                     if range_ != here:
                         if filled:
                             out += _cut(open_, sequence, filled)
                         here, sequence, filled, open_ = range_, range_ << 40, 0, []
-                    ids += last
+                    ids = ids + last
                     tokens, start = len(ids) // 4, 0
                     while start < tokens:
                         take = min(size - filled, tokens - start)
@@ -233,10 +245,13 @@ def pack(docs: DataFrame, path: str, end_id: int = 2, size: int = 4096, sample:
                         if filled == size:
                             out += _cut(open_, sequence, size)
                             sequence, filled, open_ = sequence + 1, 0, []
+                    if len(out) > 1 << 16:
+                        yield batch_of(out)
+                        out = []
                 yield batch_of(out)
                 out = []
         if filled:
             yield batch_of(list(_cut(open_, sequence, filled)))
 
-    ranged = docs.mapInArrow(keyed, "doc_id long, text string, key long, range int").repartitionById(n, F.col("range"))
-    return ranged.sortWithinPartitions("key", "doc_id", "text").select("doc_id", "text", "range").mapInArrow(packed, SCHEMA)
+    ranged = docs.mapInArrow(keyed, "doc_id long, text string, many long, key long, range int").repartitionById(n, F.col("range"))
+    return ranged.sortWithinPartitions("key", "doc_id", "text").select("doc_id", "text", "many", "range").mapInArrow(packed, SCHEMA)

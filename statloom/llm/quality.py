@@ -6,8 +6,9 @@ before". A document's sparse vector holds counts divided by the number of tokens
 product with the weights, over the whole text.
 
 Rows: null and empty texts get the score of the bias alone. Labels other than 0 and 1, null labels and labels of absent documents
-teach nothing; a document with several label rows counts once for each. Empty labels give the score 0.5. Repeated rows are scored alike. Further columns are kept
-by ``score`` (its own columns replace columns of the same name).
+teach nothing; a document with both labels counts once for each, and repeated label rows, or rows of one doc_id, count once (the greatest text).
+Empty labels or tables give the score 0.5 or no rows. Ties cannot matter, as examples come in the order of a hash. Repeated rows are scored alike. Further
+columns are kept by ``score`` (its own column replaces one of the same name).
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from statloom.llm.shared import segment_sum, text_parts, utf8
+from statloom.llm.shared import hashed_below, segment_sum, text_parts, utf8
 from statloom.llm.words import U64, mix, span_hashes
 
 BITS = 18
@@ -126,19 +127,25 @@ def ftrl(index: list[np.ndarray], value: list[np.ndarray], label: np.ndarray, ep
     return QualityModel(float(w[end]), w[:end].astype(np.float32))
 
 
+def sampled(docs: DataFrame, labels: DataFrame, n: int, max_rows: int) -> DataFrame:
+    """doc_id, label and text of about max_rows of the n labels(doc_id, label), taken by a hash of doc_id; repeated rows come once,
+    so that the sample is bounded whatever doc_id holds most rows."""
+    some = labels.where(hashed_below(F.lit(min(1.0, max_rows / n)), F.col("doc_id").cast("string"), F.lit("quality"))).distinct()
+    # about max_rows rows of two numbers, which bounds what is broadcast
+    found = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id")
+    return found.groupBy("doc_id", "label").agg(F.max("text").alias("text"))
+
+
 def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 4000) -> QualityModel:
     """A model of labels(doc_id, quality) over docs(doc_id, text).
 
-    max_rows bounds the sample that is learned from: about that many labelled rows, taken by a hash of doc_id.
+    max_rows bounds the sample that is learned from: about that many labelled documents, taken by a hash of doc_id.
     """
     labels = labels.where("quality in (0, 1) and doc_id is not null").select("doc_id", F.col("quality").cast("int").alias("label"))
-    n = labels.count()
+    n = labels.agg(F.approx_count_distinct("doc_id", 0.02)).first()[0]
     if not n:
         return QualityModel()
-    if n > max_rows:
-        labels = labels.where(F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("quality")), F.lit(1_000_000)) < max_rows * 1_000_000 // n)
-    # the sample has about max_rows rows of two numbers at most, which bounds what is broadcast
-    sample = docs.select("doc_id", "text").join(F.broadcast(labels), "doc_id")
+    sample = sampled(docs, labels, n, max_rows)
     got = sample.mapInArrow(_vectors, "doc_id long, label int, index binary, value binary").toArrow()
     label = got["label"].to_numpy()
     key = mix(got["doc_id"].to_numpy().astype(np.int64).view(U64))

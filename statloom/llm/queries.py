@@ -13,8 +13,8 @@ from statloom.llm.shared import table
 
 
 def fold(doc_id: str, n: int):
-    """crc32 of the decimal text of doc_id, modulo n."""
-    return F.crc32(F.col(doc_id).cast("string")) % n
+    """crc32 of the decimal text of doc_id, modulo n; -1, a fold that is never held out, for a null doc_id."""
+    return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % n, F.lit(-1))
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

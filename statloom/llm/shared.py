@@ -11,7 +11,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from statloom.session import ship
 
@@ -25,9 +26,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset (local tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a local master (tests) gets one of its
+    own, and a cluster an error, as its machines don't share temporary folders."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         found = tempfile.mkdtemp(prefix="statloom-")
         atexit.register(shutil.rmtree, found, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", found)
@@ -45,6 +49,65 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """name, with as many underscores before it as make it no column of df (in any case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def hashed_below(share: Column, *key: Column) -> Column:
+    """Whether a hash of key, uniform in 0 to 1, is below share; its 62 bits are fine enough for any number of rows."""
+    return F.shiftrightunsigned(F.xxhash64(*key), 2) < (share * float(1 << 62))
+
+
+#: Rows of a group that one task takes in a join, and how many groups may be larger: as these are broadcast, a bound of their number.
+HOT, HOT_GROUPS = 1024, 100_000
+
+
+def spread_join(rows: DataFrame, groups: DataFrame, key: str, size: str, own: Column) -> DataFrame:
+    """rows joined with groups (one for each key, size of its rows) on key, without meeting of all rows of a large group in one task.
+
+    The groups of more than HOT rows, and of more than a HOT_GROUPSth of all, are broadcast: HOT_GROUPS rows at most. Their rows stay where the
+    shuffle of the others deals them by ``own``, which differs from row to row and has the type of key; groups must be stored.
+    """
+    others = [c for c in groups.columns if c != key]
+    total = groups.agg(F.sum(size)).first()[0] or 0
+    least = max(HOT, total // HOT_GROUPS)
+    hot = groups.where(F.col(size) > least).select(F.col(key).alias("_hot_key"), F.struct(*others).alias("_hot"))
+    cold = groups.where(F.col(size) <= least).select(F.col(key).alias("_cold_key"), F.struct(*others).alias("_cold"))
+    dealt = rows.join(F.broadcast(hot), F.col(key) == F.col("_hot_key"), "left")
+    dealt = dealt.withColumn("_at", F.when(F.col("_hot").isNull(), F.col(key)).otherwise(own))
+    found = dealt.join(cold, F.col("_at") == F.col("_cold_key"), "left").withColumn("_found", F.coalesce("_hot", "_cold"))
+    return found.where(F.col("_found").isNotNull()).select(*rows.columns, *(F.col("_found")[c].alias(c) for c in others))
+
+
+def text_hash(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text, F.lit("")), F.lit("text"))
+
+
+def repeats(batch: pa.RecordBatch, by: list[np.ndarray], column: str = "text") -> tuple[np.ndarray, np.ndarray]:
+    """The rows of batch to keep, one of those alike in all arrays of ``by`` and in the text, and how many each stands for."""
+    n = batch.num_rows
+    times = np.ones(n, np.int64)
+    order = np.lexsort(by)
+    alike = np.ones(max(0, n - 1), bool)
+    for x in by:
+        alike &= x[order[1:]] == x[order[:-1]]
+    if alike.any():
+        texts = batch.column(column)
+        first = order[0] if n else 0
+        for k in np.flatnonzero(alike):
+            if k == 0 or not alike[k - 1]:
+                first = order[k]
+            if texts[int(order[k + 1])].equals(texts[int(first)]):
+                times[first] += 1
+                times[order[k + 1]] = 0
+    kept = np.flatnonzero(times)
+    return kept, times[kept]
+
+
 def text_parts(batch: pa.RecordBatch, column: str = "text") -> Iterator[pa.RecordBatch]:
     """Zero-copy slices of batch with at most SLICE_BYTES of text, or one row."""
     if not batch.num_rows:
