@@ -1,29 +1,37 @@
-"""Connected components of an edge list by alternating large-star and small-star steps; nothing is gathered on the driver."""
+"""Connected components of an edge list by alternating large-star and small-star steps; nothing is gathered on the driver.
+
+A node of many neighbours is met by its edges where they are (``spread_join``), so no task reads all edges of one node.
+
+Rows: edges with a null end, and from a node to itself, are left out; repeated edges count once; no edges give no rows. Further columns
+are ignored.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from statloom.llm.shared import stored
+from statloom.llm.shared import spread_join, stored
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """Link each node's larger (or smaller) neighbours to its least neighbour. Edges are (u, v) with u > v."""
+def _star(edges: DataFrame, total: int, large: bool) -> DataFrame:
+    """Link each node's larger (or smaller) neighbours to its least neighbour. Edges are (u, v) with u > v, total of them."""
     both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else edges
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    linked = both.join(least, "u")
+    least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("degree")).select("u", F.least("u", "m").alias("m"), "degree")
+    linked = spread_join(both, least, "u", "degree", F.xxhash64("u", "v"), 2 * total)
     if large:
         return linked.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
     # a node's smaller neighbours and the node itself go to the least of them
     return linked.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).distinct()
 
 
-def _settled(edges: DataFrame) -> bool:
-    """Whether each node has one root and no root has another."""
+def _settled(edges: DataFrame) -> tuple[bool, int]:
+    """Whether each node has one root and no root has another, and how many edges there are."""
     ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("root"))
     ends = ends.union(edges.select(F.col("v").alias("node"), F.lit(0), F.lit(1)))
-    return ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("root").alias("root")).where("up + root > 1").isEmpty()
+    by_node = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("root").alias("root"))
+    most, total = by_node.agg(F.max(F.col("up") + F.col("root")), F.sum("up")).first()
+    return (most or 0) <= 1, total or 0
 
 
 def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
@@ -33,9 +41,11 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     """
     edges = stored(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u > v").distinct(), "edges")
     for _ in range(rounds):
-        if _settled(edges):
+        done, total = _settled(edges)
+        if done:
             break
-        edges = stored(_star(_star(edges, True), False).where("u > v"), "edges")
+        edges = stored(_star(edges, total, True), "edges")  # no more edges than before
+        edges = stored(_star(edges, total, False).where("u > v"), "edges")
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
     roots = edges.select("v").distinct()

@@ -2,14 +2,18 @@
 
 Texts with the same set of word 5-grams are one class from the start. Classes meet in bands of MinHash values; the values of a
 meeting pair are compared a few at a time, and the pair is dropped once the posterior probability that its similarity reaches the
-threshold falls below a tolerance. What remains is verified exactly on the 5-gram sets. Pairs are never expanded into rows: a hot
-band or group is cut into blocks, each pair of blocks is one task's work, and only counts and spanning links leave it.
+threshold falls below a tolerance. What remains is verified exactly on the 5-gram sets. Pairs of a hot band or group are never expanded into
+rows: it is cut into blocks, each pair of blocks is one task's work, and only counts and spanning links leave it.
+
+What candidates join is verified together up to GIANT members. In a larger group, which chains of weak links can make as large as the
+corpus, only pairs that meet in a band and outlast pruning are verified, each in the first band that it shares: as stars where they are few
+for their members, else block by block.
 
 Result, one row per document: ``class_id`` (least doc_id that verified links lead to), ``n_links`` (other documents at the
 threshold or above, copies included) and ``copies`` (documents with the same 5-gram set).
 
 Rows: null text is an empty text. A text without words links to nothing, not even to another one. Texts of under five words have
-one n-gram, all their words. Of rows with one doc_id, that with the greatest key of its 5-gram set counts, once. Rows with a null
+one n-gram, all their words; very long texts are read whole. Pairs at exactly the threshold are linked. Ties of classes go to the least doc_id. Of rows with one doc_id, that with the greatest key of its 5-gram set counts, once. Rows with a null
 doc_id are left out. Empty tables give empty results; further columns are ignored by ``links`` and kept by ``representatives``.
 
 A pair at exactly the threshold meets in a band with probability 1 - (1 - 0.8**4)**32 > 1 - 5e-8; the steps of
@@ -24,11 +28,11 @@ from math import lgamma
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from statloom.llm.components import components
-from statloom.llm.shared import stored, text_parts
+from statloom.llm.shared import spread_join, stored, text_parts, unused
 from statloom.llm.words import U64, mix, shingle_hashes, word_hashes
 
 SHINGLE = 5
@@ -38,9 +42,10 @@ BANDS = VALUES // ROWS
 STEP = 16
 #: The bound of the posterior at each step; over all steps a pair at THRESHOLD is lost with probability 9.1e-7.
 TOLERANCE = 1e-7
-#: Members and shingles of a block: two blocks are one task's work.
-BLOCK = 1024
-BLOCK_SHINGLES = 1 << 19
+#: Members and shingles of a block: two blocks are one task's work. Members of a group of which all pairs are looked at.
+BLOCK = 2048
+BLOCK_SHINGLES = 1 << 20
+GIANT = 8192
 _random = np.random.default_rng(7)
 _FACTOR = (_random.integers(0, 1 << 32, VALUES, dtype=np.uint32) | np.uint32(1)).reshape(-1, 1)
 _SHIFT = _random.integers(0, 1 << 32, VALUES, dtype=np.uint32).reshape(-1, 1)
@@ -195,7 +200,11 @@ def _meet(rows: pa.Table) -> pa.Table:
 
 def _verify(rows: pa.Table) -> pa.Table:
     """Exact similarities within two blocks of one group of candidates: links counted per class, and spanning links."""
-    a, b, same = _two_blocks(rows)
+    return _counted(*_two_blocks(rows), None)
+
+
+def _counted(a: pa.Table, b: pa.Table, same: bool, band: int | None) -> pa.Table:
+    """id, links and root of the pairs of a and b, or within a; of those that meet first in a band if one is given."""
     va, vb = _matrix(a.column("values"), np.uint16, VALUES), _matrix(b.column("values"), np.uint16, VALUES)
     sa = [np.frombuffer(x.as_buffer(), U64) for x in a.column("shingles")]
     sb = sa if same else [np.frombuffer(x.as_buffer(), U64) for x in b.column("shingles")]
@@ -203,9 +212,12 @@ def _verify(rows: pa.Table) -> pa.Table:
     na, nb = a.column("n").to_numpy().astype(np.int64), b.column("n").to_numpy().astype(np.int64)
     ids = a.column("id").to_numpy() if same else np.concatenate([a.column("id").to_numpy(), b.column("id").to_numpy()])
     shift = 0 if same else len(sa)
+    ha, hb = (_band_hashes(v.reshape(-1, BANDS, ROWS)) for v in (va, vb)) if band is not None else (None, None)
     links, forest = np.zeros(len(ids), np.int64), _Forest(len(ids))
     shared = _overlaps(sa, sb)
     for i, j in _upper(len(sa), len(sb), same):
+        if band is not None:
+            i, j = _first_shared(ha, hb, band, i, j)
         i, j = prune(va, vb, i, j)
         both = shared(i, j)
         close = both * (1 + THRESHOLD) >= THRESHOLD * (na[i] + nb[j]) - 1e-9
@@ -252,16 +264,83 @@ def _overlaps(sa: list[np.ndarray], sb: list[np.ndarray]):
     return shared
 
 
-def _blocks(members: DataFrame, key: str) -> DataFrame:
-    """members(id, n, ...) with the pairs of blocks of their group: each member comes once for each pair with its block.
+def _parts(size: Column, weight: Column) -> Column:
+    """Into how many blocks of about BLOCK members and BLOCK_SHINGLES shingles a group is cut."""
+    return F.greatest(F.ceil(size / BLOCK), F.ceil(weight / BLOCK_SHINGLES)).cast("int")
 
-    A block has about BLOCK members and BLOCK_SHINGLES shingles; groups of one member are left out.
-    """
-    sizes = members.groupBy(key).agg(F.count("*").alias("size"), F.sum("n").alias("weight")).where("size > 1")
-    parts = F.greatest(F.ceil(F.col("size") / BLOCK), F.ceil(F.col("weight") / BLOCK_SHINGLES)).cast("int").alias("parts")
-    cut = members.join(sizes.select(key, parts), key).withColumn("block", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+
+def _paired(members: DataFrame) -> DataFrame:
+    """members(id, parts, ...) with the pairs of blocks of their group: each member comes once for each pair with its block."""
+    cut = members.withColumn("block", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
     cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    return cut.select("*", F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right")).drop("parts", "other")
+    return cut.select("*", F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right")).drop("parts", "other", "size")
+
+
+def _band_blocks(members: DataFrame, total: int) -> DataFrame:
+    """members(id, values), at most total of them, by the bands that they share, in pairs of blocks: id, band, values, block, left, right."""
+    bands = members.select("id", "values").mapInArrow(_bands, "id long, band long")
+    sizes = bands.groupBy("band").agg(F.count("*").alias("size")).where("size > 1").withColumn("parts", _parts(F.col("size"), F.lit(0)))
+    met = spread_join(bands, sizes, "band", "size", F.xxhash64("id", "band"), BANDS * total)
+    return _paired(met).join(members.select("id", "values"), "id")
+
+
+def _sets_of(docs: DataFrame, members: DataFrame) -> DataFrame:
+    """id, key and shingles of the documents of members(id, key)."""
+    own = docs.join(members.select(F.col("id").alias("doc_id")), "doc_id", "left_semi")
+    return own.mapInArrow(_sets, "id long, key binary, shingles binary").groupBy("id", "key").agg(F.first("shingles").alias("shingles"))
+
+
+def _first_shared(a: np.ndarray, b: np.ndarray, band: int, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs of rows a[i], b[j] of band hashes whose first common band is band."""
+    where = np.flatnonzero(a[:1].ravel() == band) if len(a) else []
+    for k in range(int(where[0]) if len(where) else 0):
+        apart = a[i, k] != b[j, k]
+        i, j = i[apart], j[apart]
+    return i, j
+
+
+def _cells(rows: pa.Table) -> pa.Table:
+    """Pairs of two blocks of a band that outlast pruning, and meet first in this band, as cells: the pairs between the members of
+    side 0 and those of side 1, or among those of side 2.
+
+    A cell is a star of one member and its partners if pairs are few, else all members that have a partner.
+    """
+    a, b, same = _two_blocks(rows)
+    band, left, right = (rows.column(c)[0].as_py() for c in ("band", "left", "right"))
+    va, vb = _matrix(a.column("values"), np.uint16, VALUES), _matrix(b.column("values"), np.uint16, VALUES)
+    ha, hb = (_band_hashes(v.reshape(-1, BANDS, ROWS)) for v in (va, vb))
+    found = [(np.zeros(0, np.int64),) * 2]
+    for i, j in _upper(len(va), len(vb), same):
+        found.append(prune(va, vb, *_first_shared(ha, hb, band, i, j)))
+    i, j = (np.concatenate([f[k] for f in found]) for k in (0, 1))
+    ids, others = a.column("id").to_numpy(), b.column("id").to_numpy()
+    ours, theirs = np.unique(i), np.unique(j)
+    if len(i) <= 4 * (len(ours) + len(theirs)):
+        node, star = np.concatenate([ids[ours], others[j]]), np.concatenate([ours, i])
+        side = np.repeat([0, 1], [len(ours), len(j)])
+    elif same:
+        node = ids[np.union1d(ours, theirs)]
+        star, side = np.zeros(len(node), np.int64), np.full(len(node), 2)
+    else:
+        node, side = np.concatenate([ids[ours], others[theirs]]), np.repeat([0, 1], [len(ours), len(theirs)])
+        star = np.zeros(len(node), np.int64)
+    cell = [f"{band}:{left}:{right}:{k}" for k in star.tolist()]
+    return pa.table({"cell": pa.array(cell, pa.string()), "band": pa.array(np.full(len(node), band)), "side": pa.array(side.astype(np.int32)), "id": node})
+
+
+def _verify_cell(rows: pa.Table) -> pa.Table:
+    """_verify for the pairs of a cell that meet first in its band."""
+    side = rows.column("side").to_numpy()
+    same = bool((side == 2).any())
+    a, b = (rows, rows) if same else (rows.filter(pa.array(side == 0)), rows.filter(pa.array(side == 1)))
+    return _counted(a, b, same, rows.column("band")[0].as_py())
+
+
+def _giant_links(docs: DataFrame, giants: DataFrame, total: int) -> DataFrame:
+    """id, links and root as _verify gives them, of members of groups too large to look at all their pairs."""
+    cells = _band_blocks(giants, total).groupBy("band", "left", "right").applyInArrow(_cells, "cell string, band long, side int, id long")
+    held = giants.select("id", "key", "values", "n", "copies").join(_sets_of(docs, giants), ["id", "key"])
+    return cells.join(held, "id").groupBy("cell").applyInArrow(_verify_cell, "id long, links long, root long")
 
 
 def links(docs: DataFrame) -> DataFrame:
@@ -271,16 +350,18 @@ def links(docs: DataFrame) -> DataFrame:
     sketches = stored(rows.select("doc_id", "s.*"), "sketches")
     worded = sketches.where("n > 0")
     classes = stored(worded.groupBy("key").agg(F.min("doc_id").alias("id"), F.count("*").alias("copies"), F.first("values").alias("values"), F.first("n").alias("n")), "classes")
-    bands = classes.select("id", "values").mapInArrow(_bands, "id long, band long")
-    shared = bands.groupBy("band").agg(F.count("*").alias("size")).where("size > 1")
-    met = bands.join(shared.select("band"), "band").join(classes.select("id", "values", "n"), "id")
-    candidates = _blocks(met, "band").groupBy("band", "left", "right").applyInArrow(_meet, "u long, v long")
+    total = classes.count()
+    candidates = _band_blocks(classes, total).groupBy("band", "left", "right").applyInArrow(_meet, "u long, v long")
     groups = components(candidates)
-    members = groups.select(F.col("node").alias("id"), F.col("root").alias("group")).join(classes, "id")
-    wanted = groups.select(F.col("node").alias("doc_id"))
-    sets = docs.join(wanted, "doc_id", "left_semi").mapInArrow(_sets, "id long, key binary, shingles binary").groupBy("id", "key").agg(F.first("shingles").alias("shingles"))
-    pairs = _blocks(members, "group").join(sets, ["id", "key"])
-    checked = stored(pairs.groupBy("group", "left", "right").applyInArrow(_verify, "id long, links long, root long"), "checked")
+    members = stored(groups.select(F.col("node").alias("id"), F.col("root").alias("group")).join(classes, "id"), "members")
+    sizes = members.groupBy("group").agg(F.count("*").alias("size"), _parts(F.count("*"), F.sum("n")).alias("parts"))
+    grouped = spread_join(members, sizes, "group", "size", F.xxhash64("id"), total)
+    usual = grouped.where(F.col("size") <= GIANT)
+    pairs = _paired(usual).join(_sets_of(docs, members), ["id", "key"])
+    checked = pairs.groupBy("group", "left", "right").applyInArrow(_verify, "id long, links long, root long")
+    if not sizes.where(F.col("size") > GIANT).isEmpty():
+        checked = checked.union(_giant_links(docs, stored(grouped.where(F.col("size") > GIANT).drop("size", "parts"), "giants"), total))
+    checked = stored(checked, "checked")
     counted = checked.groupBy("id").agg(F.sum("links").alias("links"))
     roots = components(checked.where("id != root").select(F.col("id").alias("u"), F.col("root").alias("v")))
     by_class = (
@@ -289,16 +370,16 @@ def links(docs: DataFrame) -> DataFrame:
         .join(roots.withColumnRenamed("node", "id"), "id", "left")
         .select("key", "copies", F.coalesce("root", "id").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     )
-    found = worded.select("doc_id", "key").join(by_class, "key").select("doc_id", "class_id", "n_links", "copies")
+    found = spread_join(worded.select("doc_id", "key"), stored(by_class, "by-class"), "key", "copies", F.unhex(F.md5(F.col("doc_id").cast("string"))), sketches.count())
     blank = sketches.where("n = 0").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(1).cast("long").alias("copies"))
-    return found.union(blank)
+    return found.select("doc_id", "class_id", "n_links", "copies").union(blank)
 
 
 def representatives(docs: DataFrame) -> DataFrame:
     """One document of each class, that of the least doc_id; of rows with one doc_id, that of the least text. Documents without
     words or without a doc_id stay."""
     kept = links(docs).where("doc_id = class_id").select("doc_id")
-    rank = "_rank_of_doc_id"
+    rank = unused(docs, "_rank")
     first = Window.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_first())
     chosen = docs.join(kept, "doc_id", "left_semi").withColumn(rank, F.row_number().over(first)).where(F.col(rank) == 1)
     return chosen.select(*docs.columns).union(docs.where("doc_id is null"))

@@ -66,14 +66,13 @@ def hashed_below(share: Column, *key: Column) -> Column:
 HOT, HOT_GROUPS = 1024, 100_000
 
 
-def spread_join(rows: DataFrame, groups: DataFrame, key: str, size: str, own: Column) -> DataFrame:
+def spread_join(rows: DataFrame, groups: DataFrame, key: str, size: str, own: Column, total: int) -> DataFrame:
     """rows joined with groups (one for each key, size of its rows) on key, without meeting of all rows of a large group in one task.
 
-    The groups of more than HOT rows, and of more than a HOT_GROUPSth of all, are broadcast: HOT_GROUPS rows at most. Their rows stay where the
-    shuffle of the others deals them by ``own``, which differs from row to row and has the type of key; groups must be stored.
+    The groups of more than HOT rows, and of more than a HOT_GROUPSth of total, which is at least the sum of sizes, are broadcast:
+    HOT_GROUPS rows at most. Their rows are dealt by ``own``, which differs from row to row and has the type of key.
     """
     others = [c for c in groups.columns if c != key]
-    total = groups.agg(F.sum(size)).first()[0] or 0
     least = max(HOT, total // HOT_GROUPS)
     hot = groups.where(F.col(size) > least).select(F.col(key).alias("_hot_key"), F.struct(*others).alias("_hot"))
     cold = groups.where(F.col(size) <= least).select(F.col(key).alias("_cold_key"), F.struct(*others).alias("_cold"))
