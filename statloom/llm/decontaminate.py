@@ -8,13 +8,13 @@ subsequence of its words and the passage's, and by an answer check: at least hal
 one, else the passage's rarest fifth) are in the matched text. Paraphrases that keep most words in order are found as well as copies.
 
 A window and a passage are compared unless the text that they would be verified on has too few words of the passage or of its answer to pass,
-which loses nothing. The benchmark is taken in blocks of ITEMS_IN_BLOCK passages, so what is sent to the
-executors is bounded (their words and RANK numbers for each); the documents are read once for the frequencies and once for
-the search, for each block.
+which loses nothing. The benchmark is taken in blocks of ITEMS_IN_BLOCK passages, each factored on its own. Whatever their number, the
+documents are read twice: once for the frequencies of all words of passages, and once for the search, in which a task holds some
+documents and goes through the blocks, one of them in its memory at a time.
 
 Rows: null texts and texts without words match nothing; passages of fewer than SHORT words must be found word for word. A null doc_id is searched like
-any other and gives a null doc_id. Repeated rows of documents or items give one result for each pair of ids. Empty tables give empty results.
-Further columns are ignored by ``contaminated`` and kept by ``clean``.
+any other and gives a null doc_id. Repeated rows of documents or items give one result for each pair of ids. Empty tables give empty results. Whole
+texts are searched, however long. Of equally good matches of a pair of ids the first passage and place counts. Further columns are ignored by ``contaminated`` and kept by ``clean``.
 """
 
 from __future__ import annotations
@@ -25,6 +25,7 @@ from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,8 +36,8 @@ PASSAGE, SHORT, LEAST_WINDOW = 64, 8, 16
 RANK, OVERSAMPLE, POWER_STEPS = 64, 8, 2
 ITEMS_IN_BLOCK = 2000
 CANDIDATE, LEAST_LCS, LEAST_ANSWER = 0.4, 0.6, 0.5
-#: Windows that are looked at at once.
-WINDOWS = 4096
+#: Windows that are looked at at once, and bytes of text that a task holds while it goes through several blocks.
+WINDOWS, HELD_BYTES = 4096, 1 << 25
 SCHEMA = "item_id long, doc_id long, passage int, start_word long, cosine double, lcs double, answer double"
 
 
@@ -271,28 +272,46 @@ class Index:
         return (order / len(words), share) if order >= self.need[passage] else None
 
 
-def _blocks(passages: DataFrame, docs: DataFrame) -> Iterator[Index]:
-    n = passages.count()
-    blocks = -(-n // ITEMS_IN_BLOCK)
+def _indices(passages: DataFrame, docs: DataFrame) -> list[Broadcast]:
+    """The index of each block of passages, broadcast. The driver holds one of them, and the distinct words of all, at a time."""
+    blocks = -(-passages.count() // ITEMS_IN_BLOCK)
+    passages = passages.withColumn("part", F.pmod(F.xxhash64("item_id", "passage"), F.lit(max(1, blocks))))
+
+    def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw = b"".join(batch.column("words").to_pylist())
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.frombuffer(raw, U64)).view(np.int64))], ["term"])
+
+    terms = passages.select("words").mapInArrow(distinct, "term long").distinct().toArrow()["term"].to_numpy()
+    if not len(terms):
+        return []
+    vocabulary = Vocabulary(np.sort(terms.view(U64)))
+    frequency, total = document_frequencies(docs, vocabulary)
+    all_idf = np.log((total + 2) / (frequency + 1))
+    found = []
     for b in range(blocks):
-        block = passages.where(F.pmod(F.xxhash64("item_id", "passage"), F.lit(blocks)) == b) if blocks > 1 else passages
+        block = passages.where(F.col("part") == b) if blocks > 1 else passages
         rows = block.orderBy("item_id", "passage", "words").toArrow().to_pylist()
-        words = [np.frombuffer(r["words"], U64) for r in rows]
-        if not words:
-            continue
-        vocabulary = Vocabulary(np.unique(np.concatenate(words)))
-        frequency, total = document_frequencies(docs, vocabulary)
-        idf = np.log((total + 2) / (frequency + 1))
-        latent = randomised_svd(block, vocabulary, idf)
-        answers = []
-        for r, w in zip(rows, words):
-            given = np.frombuffer(r["answer"], U64)
-            if not len(given):
-                own = np.unique(w)
-                rare = idf[vocabulary.find(own)]
-                given = own[np.lexsort([own, -rare])][: -(-len(own) // 5)]
-            answers.append(given)
-        yield Index(vocabulary, idf, latent, np.array([r["item_id"] for r in rows]), np.array([r["passage"] for r in rows]), words, answers)
+        if rows:
+            index = _index(block, rows, vocabulary, all_idf)
+            found.append(docs.sparkSession.sparkContext.broadcast(index))
+    return found
+
+
+def _index(block: DataFrame, rows: list[dict], vocabulary: Vocabulary, idf: np.ndarray) -> Index:
+    words = [np.frombuffer(r["words"], U64) for r in rows]
+    own = Vocabulary(np.unique(np.concatenate(words)))
+    idf = idf[vocabulary.find(own.terms)]
+    latent = randomised_svd(block, own, idf)
+    answers = []
+    for r, w in zip(rows, words):
+        given = np.frombuffer(r["answer"], U64)
+        if not len(given):
+            some = np.unique(w)
+            rare = idf[own.find(some)]
+            given = some[np.lexsort([some, -rare])][: -(-len(some) // 5)]
+        answers.append(given)
+    return Index(own, idf, latent, np.array([r["item_id"] for r in rows]), np.array([r["passage"] for r in rows]), words, answers)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -300,36 +319,57 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     docs: doc_id, text. benchmark: item_id, text and, if it has one, answer; items with a null id are left out.
     """
-    spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     answer = F.col("answer").cast("string") if "answer" in benchmark.columns else F.lit("")
     items = benchmark.where("item_id is not null").select(F.col("item_id").cast("long").alias("item_id"), "text", answer.alias("answer"))
     passages = stored(items.mapInArrow(_passages, "item_id long, passage int, words binary, answer binary"), "passages")
-    found = spark.createDataFrame([], SCHEMA)
-    for index in _blocks(passages, docs):
-        found = found.union(_search(docs, index))
+    found = _search(docs, _indices(passages, docs))
     best = F.max_by(F.struct("passage", "start_word", "cosine", "lcs", "answer"), F.struct("lcs", "cosine", -F.col("passage"), -F.col("start_word"))).alias("m")
     return found.groupBy("item_id", "doc_id").agg(best).select("item_id", "doc_id", "m.*")
 
 
-def _search(docs: DataFrame, index: Index) -> DataFrame:
-    shipped = docs.sparkSession.sparkContext.broadcast(index)
+def _held(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, np.ndarray, np.ndarray]]:
+    """doc_id, words and where each row's words start, of HELD_BYTES of text (or one row more) at a time."""
+    ids, words, sizes, held = [], [], [], 0
+    for batch in batches:
+        for part in text_parts(batch):
+            w, at = word_hashes(part.column("text"))
+            ids += part.column("doc_id").to_pylist()
+            words.append(w)
+            sizes.append(np.diff(at))
+            held += part.nbytes
+            if held >= HELD_BYTES:
+                yield ids, np.concatenate(words), np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
+                ids, words, sizes, held = [], [], [], 0
+    if ids:
+        yield ids, np.concatenate(words), np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
+
+
+def _search(docs: DataFrame, indices: list[Broadcast]) -> DataFrame:
+    many = len(indices) > 1
+
+    def matches(index: Index, ids: list, words: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
+        best: dict[tuple[int, int], tuple] = {}
+        for row, p, start, cosine, order, share in index.search(words, at):
+            key = (row, int(index.items[p]))
+            found = (order, cosine, -int(index.numbers[p]), -start, share)
+            if key not in best or found > best[key]:
+                best[key] = found
+        out = [(item, ids[row], -number, -start, cosine, order, share) for (row, item), (order, cosine, number, start, share) in best.items()]
+        columns = list(zip(*out)) if out else [()] * 7
+        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.float64(), pa.float64(), pa.float64()]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["item_id", "doc_id", "passage", "start_word", "cosine", "lcs", "answer"])
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = shipped.value
-        for batch in batches:
+        if many:
+            for ids, words, at in _held(batches):
+                for index in indices:
+                    # read from the executor's copy of the broadcast each time, so that no worker keeps more than one
+                    yield matches(index.load_from_path(index._path), ids, words, at)
+            return
+        for batch in batches if indices else ():
             for part in text_parts(batch):
-                words, at = word_hashes(part.column("text"))
-                ids = part.column("doc_id").to_pylist()
-                best: dict[tuple[int, int], tuple] = {}
-                for row, p, start, cosine, order, share in index.search(words, at):
-                    key = (row, int(index.items[p]))
-                    if key not in best or (order, cosine) > best[key][:2]:
-                        best[key] = (order, cosine, int(index.numbers[p]), start, share)
-                out = [(item, ids[row], number, start, cosine, order, share) for (row, item), (order, cosine, number, start, share) in best.items()]
-                columns = list(zip(*out)) if out else [()] * 7
-                kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.float64(), pa.float64(), pa.float64()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["item_id", "doc_id", "passage", "start_word", "cosine", "lcs", "answer"])
+                yield matches(indices[0].value, part.column("doc_id").to_pylist(), *word_hashes(part.column("text")))
 
     return docs.mapInArrow(search, SCHEMA)
 
