@@ -32,7 +32,7 @@ ORDER, BITS = 5, 16
 #: n-grams that a task holds before it hands on their counts; the width of a bin of ratios.
 HELD, BIN = 1 << 20, 1 / (1 << 14)
 #: Terms in a host that list keepers block, the seed of the rejected URLs beside what rules block.
-REJECTED_TERMS = ("ads", "adserver", "bets", "betting", "casino", "clickbait", "doorway", "jackpot", "lottery", "malware", "payday", "phish", "pills", "poker", "porn", "replica", "slots", "spam", "tracker", "track", "viagra", "warez", "xxx")
+REJECTED_TERMS = ("ads", "adserver", "adult", "bets", "betting", "casino", "clickbait", "doorway", "jackpot", "lottery", "malware", "payday", "phish", "pills", "poker", "porn", "replica", "slots", "spam", "tracker", "track", "viagra", "warez", "xxx")
 
 
 def with_host_path(pages: DataFrame, url: str = "url") -> DataFrame:
@@ -225,11 +225,10 @@ def _most_below(low: np.ndarray, n: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 def labelled_by(pages: DataFrame, rules: dict[str, str], terms: tuple[str, ...] = REJECTED_TERMS) -> DataFrame:
-    """url and accepted: what a rule blocks, or has one of the terms as a part of its host, is rejected, all other URLs are not."""
-    judged = with_host_path(pages).withColumn("rule", rule_column(rules))
-    listed = F.exists(F.split("host", r"[.\-_]"), lambda part: part.isin(*terms))
-    accepted = F.when(rule_verdict(rules) == "allow", True).when((rule_verdict(rules) == "block") | listed, False).otherwise(True)
-    return judged.where("host != ''").select("url", accepted.alias("accepted"))
+    """url and accepted of the URLs that no rule decides, on which alone the model's verdict is asked: rejected are those that have one
+    of the terms as a part of their host."""
+    judged = with_host_path(pages).withColumn("rule", rule_column(rules)).where("host != '' and rule is null")
+    return judged.select("url", (~F.exists(F.split("host", r"[.\-_]"), lambda part: part.isin(*terms))).alias("accepted"))
 
 
 def judge(pages: DataFrame, rules: dict[str, str], model: UrlModel) -> DataFrame:
