@@ -11,10 +11,13 @@ assistant's turns; they are null for all other turns.
 
 Order: turn (null first), then role, then text; position counts from 0. Null text is rendered as empty; a null speaker is the
 participant ``unknown``; rows with a null conversation are one conversation of their own. Repeated rows are repeated turns.
-Conversations without participants (context alone) give no rows. Further columns are ignored.
+Conversations without participants (context alone) and empty tables give no rows. Further columns are ignored. The id may be of any
+type that casts to a string. Names and texts are rendered as they are, also where they hold the marks themselves: offsets, not marks,
+bound the turns.
 
 Positions and starts are prefix sums in two levels: within blocks of BLOCK turn numbers, and over the blocks, so that a long
-conversation is spread over tasks.
+conversation is spread over tasks. The turns of one number are one window, which streams and spills. A conversation of n turns
+and k speakers gives n * k rows, as every perspective has all turns.
 """
 
 from __future__ import annotations
@@ -36,7 +39,7 @@ def rotate(turns: DataFrame, speaker: str = "role", context: tuple[str, ...] = C
         F.coalesce(F.floor(F.col("turn") / BLOCK).cast("long"), F.lit(-(1 << 62))).alias("block"),
     )
     # a null conversation is joined and windowed like any other
-    said = said.withColumns({"conv": F.coalesce(F.col("conv_id"), F.lit(0)), "none": F.col("conv_id").isNull()})
+    said = said.withColumns({"conv": F.coalesce(F.col("conv_id").cast("string"), F.lit("")), "none": F.col("conv_id").isNull()})
     people = said.where(~F.col("speaker").isin(*context)).select("conv", "none", F.col("speaker").alias("perspective")).distinct()
     rows = said.join(people, ["conv", "none"])
     mine, aside = F.col("speaker") == F.col("perspective"), F.col("speaker").isin(*context)
