@@ -4,7 +4,8 @@ Every stage works on all that its predecessor kept, and all but the last return
 texts. Language: documents without letters, or of which no decision is sure enough, go. Quality: documents that the classifier
 rejects go; it learns from the labels of its own input. Near duplicates: the document of the least doc_id of each class stays,
 and so do documents without words. Decontamination: documents that hold a benchmark item go. Packing: the rest is cut into
-sequences of token ids. Empty tables pass through empty.
+sequences of token ids. Empty tables pass through empty. Further columns pass through, whatever their names. Repeated rows pass the first two
+stages each; one of those of a doc_id outlasts the third. Ties go to the least doc_id. Texts are read whole, however long.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from statloom.llm import decontaminate, language_id, near_duplicates, packing, quality
-from statloom.llm.shared import stored, table
+from statloom.llm.shared import stored, table, unused
 
 #: Documents of a less certain language, and of a lower quality score, are rejected.
 LEAST_LANGUAGE_SCORE, LEAST_QUALITY = 0.35, 0.3
@@ -24,13 +25,15 @@ TOKENIZER = "word_bpe_49k.json"
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = language_id.identify(docs, language_id.fit(docs), ("_lang", "_sure"))
-    return found.where((F.col("_lang") != language_id.UNKNOWN) & (F.col("_sure") >= LEAST_LANGUAGE_SCORE)).select(*docs.columns)
+    lang, sure = unused(docs, "_lang"), unused(docs, "_sure")
+    found = language_id.identify(docs, language_id.fit(docs), (lang, sure))
+    return found.where((F.col(lang) != language_id.UNKNOWN) & (F.col(sure) >= LEAST_LANGUAGE_SCORE)).select(*docs.columns)
 
 
 def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = quality.fit(docs, table(spark, sf_dir, "labels"))
-    return quality.score(docs, model, "_quality").where(F.col("_quality") >= LEAST_QUALITY).select(*docs.columns)
+    found = unused(docs, "_quality")
+    return quality.score(docs, model, found).where(F.col(found) >= LEAST_QUALITY).select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
