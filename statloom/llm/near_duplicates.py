@@ -46,6 +46,8 @@ TOLERANCE = 1e-7
 BLOCK = 2048
 BLOCK_SHINGLES = 1 << 20
 GIANT = 8192
+#: Bits of the table that tells which documents are in no group, at most, and bits that mark a document.
+MOST_BITS, MARKS = 26, 4
 _random = np.random.default_rng(7)
 _FACTOR = (_random.integers(0, 1 << 32, VALUES, dtype=np.uint32) | np.uint32(1)).reshape(-1, 1)
 _SHIFT = _random.integers(0, 1 << 32, VALUES, dtype=np.uint32).reshape(-1, 1)
@@ -116,12 +118,28 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(key, pa.binary()), pa.array(values, pa.binary()), pa.array(n, pa.int32())], ["doc_id", "key", "values", "n"])
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for part in text_parts(batch):
-            words, at = word_hashes(part.column("text"))
-            sets = [shingle_hashes(words[a:b], SHINGLE) for a, b in zip(at[:-1], at[1:])]
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([_key(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], ["id", "key", "shingles"])
+def _places(ids: np.ndarray, bits: int) -> np.ndarray:
+    """The MARKS bits of a table of 2 ** bits that mark each id."""
+    h = mix(ids.astype(np.int64).view(U64) + U64(1))
+    return np.stack([mix(h + U64(k)) >> U64(64 - bits) for k in range(MARKS)])
+
+
+def _marked(members: DataFrame, total: int) -> np.ndarray:
+    """A table of 2 ** MOST_BITS bits at most, in words of 64, in which all bits that mark an id of members, total of them, are set."""
+    bits = int(min(MOST_BITS, max(10, np.ceil(np.log2(total + 1)) + 4)))
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            places = np.unique(_places(batch.column("id").to_numpy(), bits))
+            word, first = np.unique(places >> U64(6), return_index=True)
+            if len(word):
+                set_ = np.bitwise_or.reduceat(U64(1) << (places & U64(63)), first)
+                yield pa.RecordBatch.from_arrays([pa.array(word.astype(np.int64)), pa.array(set_.view(np.int64))], ["word", "bits"])
+
+    got = members.select("id").mapInArrow(mark, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    out = np.zeros(1 << (bits - 6), U64)
+    out[got["word"].to_numpy()] = got["bits"].to_numpy().view(U64)
+    return out
 
 
 def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -284,10 +302,24 @@ def _band_blocks(members: DataFrame, total: int) -> DataFrame:
     return _paired(met).join(members.select("id", "values"), "id")
 
 
-def _sets_of(docs: DataFrame, members: DataFrame) -> DataFrame:
-    """id, key and shingles of the documents of members(id, key)."""
-    own = docs.join(members.select(F.col("id").alias("doc_id")), "doc_id", "left_semi")
-    return own.mapInArrow(_sets, "id long, key binary, shingles binary").groupBy("id", "key").agg(F.first("shingles").alias("shingles"))
+def _sets_of(docs: DataFrame, members: DataFrame, total: int) -> DataFrame:
+    """id, key and shingles of the documents of members(id, key), total of them, and of a few more, which a join drops: no text is shuffled,
+    as those without a mark of a member go where they are read."""
+    table = _marked(members, total)
+    shipped = docs.sparkSession.sparkContext.broadcast(table)  # bounded by MOST_BITS; beyond, more of the others stay
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = shipped.value
+        bits = int(len(table)).bit_length() + 5
+        for batch in batches:
+            places = _places(batch.column("doc_id").to_numpy(), bits)
+            maybe = (table[places >> U64(6)] >> (places & U64(63)) & U64(1)).all(0)
+            for part in text_parts(batch.filter(pa.array(maybe))):
+                words, at = word_hashes(part.column("text"))
+                found = [shingle_hashes(words[a:b], SHINGLE) for a, b in zip(at[:-1], at[1:])]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([_key(s) for s in found], pa.binary()), pa.array([s.tobytes() for s in found], pa.binary())], ["id", "key", "shingles"])
+
+    return docs.mapInArrow(sets, "id long, key binary, shingles binary").groupBy("id", "key").agg(F.first("shingles").alias("shingles"))
 
 
 def _first_shared(a: np.ndarray, b: np.ndarray, band: int, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -339,7 +371,7 @@ def _verify_cell(rows: pa.Table) -> pa.Table:
 def _giant_links(docs: DataFrame, giants: DataFrame, total: int) -> DataFrame:
     """id, links and root as _verify gives them, of members of groups too large to look at all their pairs."""
     cells = _band_blocks(giants, total).groupBy("band", "left", "right").applyInArrow(_cells, "cell string, band long, side int, id long")
-    held = giants.select("id", "key", "values", "n", "copies").join(_sets_of(docs, giants), ["id", "key"])
+    held = giants.select("id", "key", "values", "n", "copies").join(_sets_of(docs, giants, giants.count()), ["id", "key"])
     return cells.join(held, "id").groupBy("cell").applyInArrow(_verify_cell, "id long, links long, root long")
 
 
@@ -357,7 +389,7 @@ def links(docs: DataFrame) -> DataFrame:
     sizes = members.groupBy("group").agg(F.count("*").alias("size"), _parts(F.count("*"), F.sum("n")).alias("parts"))
     grouped = spread_join(members, sizes, "group", "size", F.xxhash64("id"), total)
     usual = grouped.where(F.col("size") <= GIANT)
-    pairs = _paired(usual).join(_sets_of(docs, members), ["id", "key"])
+    pairs = _paired(usual).join(_sets_of(docs, members, members.count()), ["id", "key"])
     checked = pairs.groupBy("group", "left", "right").applyInArrow(_verify, "id long, links long, root long")
     if not sizes.where(F.col("size") > GIANT).isEmpty():
         checked = checked.union(_giant_links(docs, stored(grouped.where(F.col("size") > GIANT).drop("size", "parts"), "giants"), total))
