@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from statloom.llm.shared import hashed_below, segment_sum, text_parts, utf8
+from statloom.llm.shared import hashed_below, packed, segment_sum, text_parts, unpacked, utf8
 
 #: Families by ISO 639-1 code. A language that is not listed is a family of its own.
 FAMILIES = {
@@ -163,7 +163,7 @@ def _examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     texts.append(" ".join(words[at : at + size]))
                     langs.append(langs[k])
             shares = gram_shares(pa.array(texts, pa.string()))
-            yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array([x.tobytes() for x in shares], pa.binary())], ["lang", "shares"])
+            yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array([packed(x) for x in shares], pa.binary())], ["lang", "shares"])
 
 
 def sampled(docs: DataFrame, counts: dict[str, int], max_rows: int) -> DataFrame:
@@ -193,7 +193,7 @@ def fit(docs: DataFrame, max_rows: int = 1200) -> LanguageModel:
     lang = np.array(got["lang"].to_pylist(), object)
     x = np.empty((len(lang), BUCKETS), np.float32)
     for k, raw in enumerate(got["shares"]):
-        x[k] = np.frombuffer(raw.as_buffer(), np.float32)
+        x[k] = unpacked(raw, np.float32)
     del got
     pa.default_memory_pool().release_unused()
     order = np.lexsort([x.argmax(1), x.max(1), lang.astype(str)])  # the same whatever the partitions

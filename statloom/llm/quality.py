@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from statloom.llm.shared import hashed_below, segment_sum, text_parts, utf8
+from statloom.llm.shared import hashed_below, packed, segment_sum, text_parts, unpacked, utf8
 from statloom.llm.words import U64, mix, span_hashes
 
 BITS = 18
@@ -101,8 +101,8 @@ def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             index, value = [], []
             for a, b in zip(at[:-1], at[1:]):
                 found, n = np.unique(np.concatenate([g[a:b] for g in grams]), return_counts=True)
-                index.append(found.tobytes())
-                value.append((n * (SCALE / max(1, b - a))).astype(np.float32).tobytes())
+                index.append(packed(np.diff(found, prepend=np.int32(0))))
+                value.append(packed((n * (SCALE / max(1, b - a))).astype(np.float32)))
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("label"), pa.array(index, pa.binary()), pa.array(value, pa.binary())], ["doc_id", "label", "index", "value"])
 
 
@@ -150,8 +150,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 4000) -> QualityMode
     label = got["label"].to_numpy()
     key = mix(got["doc_id"].to_numpy().astype(np.int64).view(U64))
     order = np.lexsort([label, key])
-    index = [np.frombuffer(x.as_buffer(), np.int32) for x in got["index"]]
-    value = [np.frombuffer(x.as_buffer(), np.float32) for x in got["value"]]
+    index = [np.cumsum(unpacked(x, np.int32), dtype=np.int32) for x in got["index"]]
+    value = [unpacked(x, np.float32) for x in got["value"]]
     model = ftrl([index[k] for k in order], [value[k] for k in order], label[order])
     del got, index, value
     pa.default_memory_pool().release_unused()

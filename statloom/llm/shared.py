@@ -6,6 +6,7 @@ import atexit
 import shutil
 import tempfile
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -66,14 +67,17 @@ def hashed_below(share: Column, *key: Column) -> Column:
 HOT, HOT_GROUPS = 1024, 100_000
 
 
-def spread_join(rows: DataFrame, groups: DataFrame, key: str, size: str, own: Column, total: int) -> DataFrame:
+def spread_join(rows: DataFrame, groups: DataFrame, key: str, size: str, own: Column, total: int, most: int | None = None) -> DataFrame:
     """rows joined with groups (one for each key, size of its rows) on key, without meeting of all rows of a large group in one task.
 
     The groups of more than HOT rows, and of more than a HOT_GROUPSth of total, which is at least the sum of sizes, are broadcast:
-    HOT_GROUPS rows at most. Their rows are dealt by ``own``, which differs from row to row and has the type of key.
+    HOT_GROUPS rows at most. Their rows are dealt by ``own``, which differs from row to row and has the type of key. If most, which
+    no size exceeds, says that there are none, it is a plain join.
     """
     others = [c for c in groups.columns if c != key]
     least = max(HOT, total // HOT_GROUPS)
+    if most is not None and most <= least:
+        return rows.join(groups, key).select(*rows.columns, *others)
     hot = groups.where(F.col(size) > least).select(F.col(key).alias("_hot_key"), F.struct(*others).alias("_hot"))
     cold = groups.where(F.col(size) <= least).select(F.col(key).alias("_cold_key"), F.struct(*others).alias("_cold"))
     dealt = rows.join(F.broadcast(hot), F.col(key) == F.col("_hot_key"), "left")
@@ -82,6 +86,15 @@ def spread_join(rows: DataFrame, groups: DataFrame, key: str, size: str, own: Co
     return found.where(F.col("_found").isNotNull()).select(*rows.columns, *(F.col("_found")[c].alias(c) for c in others))
 
 
+def packed(values: np.ndarray) -> bytes:
+    """The numbers of an example on its way to a fit on the driver, compressed."""
+    return zlib.compress(values.tobytes(), 1)
+
+
+def unpacked(raw: pa.Scalar, kind) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(raw.as_buffer()), kind)
+
+
 def text_hash(text: Column) -> Column:
     return F.xxhash64(F.coalesce(text, F.lit("")), F.lit("text"))
 
