@@ -139,7 +139,8 @@ def test_html_of_pages(spark, data):
 
 def test_surge_and_dive():
     """Without a named main part, the region of long lines is kept, with the short lines inside it."""
-    lines = [("Menu", 0), ("", 0), ("", 0), ("", 0), ("A long line of text " * 8, 0), ("Short.", 0), ("Another long line of text " * 8, 0), ("", 0), ("", 0), ("", 0), ("Legal", 0)]
+    texts = ["Menu", "", "", "", "A long line of text " * 8, "Short.", "Another long line of text " * 8, "", "", "", "Legal"]
+    lines = [(text, 0, len(text)) for text in texts]
     assert html_text.main_lines(lines) == [lines[4][0], "Short.", lines[6][0]]
 
 
@@ -147,7 +148,8 @@ def test_surge_and_dive():
 def test_surge_beside_a_very_long_block(longest):
     """Ordinary paragraphs stay, however long one block of the page is."""
     sizes = [400] * 5 + [longest] + [400] * 5
-    blocks = [("Menu", 0), *[("", 0)] * 3, *((chr(97 + k) * n, 0) for k, n in enumerate(sizes)), *[("", 0)] * 3, ("Legal", 0)]
+    texts = ["Menu", *[""] * 3, *(chr(97 + k) * n for k, n in enumerate(sizes)), *[""] * 3, "Legal"]
+    blocks = [(text, 0, len(text)) for text in texts]
     assert [len(x) for x in html_text.main_lines(blocks)] == sizes
 
 
