@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -14,11 +15,16 @@ _SUPERSCRIPT = str.maketrans("0123456789-", "⁰¹²³⁴⁵⁶⁷⁸⁹⁻")
 
 
 def format_number(x: float) -> str:
-    """Up to four decimals without trailing zeros; small numbers in scientific form."""
+    """Up to four decimals without trailing zeros, all four where the number would look whole but isn't; small numbers in scientific form."""
+    if not math.isfinite(x):
+        return "NaN" if math.isnan(x) else "∞" if x > 0 else "-∞"
     if x and abs(x) < 1e-3:
         return f"{x:.3g}"
-    text = f"{x:.4f}".rstrip("0").rstrip(".")
-    return "0" if text in ("-0", "") else text
+    if x == int(x):
+        return str(int(x))
+    text = f"{x:.4f}"
+    short = text.rstrip("0")
+    return text if short.endswith(".") else short
 
 
 @dataclass(frozen=True)

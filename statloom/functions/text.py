@@ -9,18 +9,18 @@ from pyspark.sql import functions as F
 
 from statloom.core import col
 
-#: White space of Unicode, and punctuation at either end of a token.
+#: White space of Unicode, and punctuation beside it or at either end of a text.
 SPACE = r"[\s\p{Z}\x{85}]+"
-ENDS = r"^\p{P}+|\p{P}+$"
+ENDS = r"(?<![^\s\p{Z}\x{85}])\p{P}++|(?<!\p{P})\p{P}++(?![^\s\p{Z}\x{85}])"
 BLANK_LINES = r"\n[ \t]*\n\s*"
 
 
 def tokenize(text: Column | str, remove_punctuation: bool = True) -> Column:
     """Lower-case tokens between white space; punctuation at their ends goes, if asked for, and what is then empty."""
-    words = F.split(F.lower(col(text)), SPACE)
+    plain = F.lower(col(text))
     if remove_punctuation:
-        words = F.transform(words, lambda w: F.regexp_replace(w, ENDS, ""))
-    return F.filter(words, lambda w: w != "")
+        plain = F.regexp_replace(plain, ENDS, "")
+    return F.array_remove(F.split(plain, SPACE), "")
 
 
 def as_chunks(pieces: Column) -> Column:

@@ -14,6 +14,10 @@ from statloom.functions.polynomials import format_number
 _SUBSCRIPT = str.maketrans("0123456789", "₀₁₂₃₄₅₆₇₈₉")
 
 
+def _tuples(value):
+    return tuple(map(_tuples, value)) if isinstance(value, list) else value
+
+
 class Jsonable:
     """Parameters to and from JSON text or files."""
 
@@ -22,7 +26,7 @@ class Jsonable:
 
     @classmethod
     def from_json(cls, text: str):
-        return cls(**{k: tuple(v) if isinstance(v, list) else v for k, v in json.loads(text).items()})
+        return cls(**{k: _tuples(v) for k, v in json.loads(text).items()})
 
     def save(self, path: str | Path) -> None:
         Path(path).write_text(self.to_json())

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,16 +19,62 @@ from statloom.models.base import Classifier
 LCG_FACTOR, LCG_STEP = 6364136223846793005, 1442695040888963407
 
 
+#: Draws that are looked at at once.
+DRAWS = 1 << 20
+
+
+def _advanced(state: int, steps: int) -> int:
+    """The generator's state after so many steps."""
+    factor, step, total_factor, total_step = LCG_FACTOR, LCG_STEP, 1, 0
+    while steps:
+        if steps & 1:
+            total_factor, total_step = total_factor * factor % (1 << 64), (total_step * factor + step) % (1 << 64)
+        factor, step = factor * factor % (1 << 64), (factor + 1) * step % (1 << 64)
+        steps >>= 1
+    return (state * total_factor + total_step) % (1 << 64)
+
+
 def initial_rows(n: int, k: int, seed: int) -> list[int]:
-    """The first k positions of a Fisher-Yates shuffle of n."""
-    moved: dict[int, int] = {}
-    state = seed % (1 << 64)
-    for i in range(n - 1, 0, -1):
-        state = (state * LCG_FACTOR + LCG_STEP) % (1 << 64)
-        j = state % (i + 1)
-        a, b = moved.get(i, i), moved.get(j, j)
-        moved[i], moved[j] = b, a
-    return [moved.get(i, i) for i in range(k)]
+    """The first k positions of a Fisher-Yates shuffle of n, which from the last place i on swaps i with a drawn j <= i.
+
+    Only k positions are followed, each back to where it came from: what is in a place before a step was put there by the step before it of
+    the least i above that drew the place, and stood in i until then. Draws are made in blocks, so n may be large.
+    """
+    powers = np.full(min(n, DRAWS) + 1, LCG_FACTOR, np.uint64)
+    powers[0] = 1
+    powers = np.cumprod(powers, dtype=np.uint64)
+    sums = np.zeros_like(powers)
+    np.cumsum(powers[:-1], out=sums[1:])
+    where: dict[int, list[int]] = {0: [0]}  # place: which of the wanted come from it
+    for low in range(1, n, DRAWS):
+        high = min(n, low + DRAWS)
+        first = _advanced(seed % (1 << 64), n - high)  # before the draw of place high - 1
+        m = np.arange(high - low, 0, -1)  # place low + x is drawn after this many further steps
+        drawn = (np.uint64(first) * powers[m] + np.uint64(LCG_STEP) * sums[m]) % np.arange(low + 1, high + 1, dtype=np.uint64)
+        for x in range(min(k, high) - low):  # the wanted places themselves take what they draw
+            i, j = low + x, int(drawn[x])
+            moved = where.pop(j, [])
+            if moved:
+                where.setdefault(i, []).extend(moved)
+            where.setdefault(j, []).append(i)
+        at = max(0, min(k, high) - low)
+        while True:
+            hits = np.flatnonzero(np.isin(drawn[at:], np.fromiter(where, np.uint64, len(where))))
+            if not len(hits):
+                break
+            for x in (at + hits).tolist():  # places that were left for i are looked for only from i on
+                j = int(drawn[x])
+                if j in where and j != low + x:
+                    where.setdefault(low + x, []).extend(where.pop(j))
+                    at = x + 1
+                    break
+            else:
+                break
+    found = [0] * k
+    for place, wanted in where.items():
+        for w in wanted:
+            found[w] = place
+    return found
 
 
 def squared_distance(x: Column, centroid: Column) -> Column:
@@ -48,50 +98,88 @@ class KMeans(Classifier):
 
         Ends when no centroid moves, or after the iterations.
         """
+        with cls._held(df, features, order) as (rows, n):
+            return cls._fit(rows, n, k, order is not None, iterations, seed, start)
+
+    @staticmethod
+    @contextmanager
+    def _held(df: DataFrame, features: str, order: str | None) -> Iterator[tuple[DataFrame, int]]:
+        """The vectors, persisted for several passes, with their positions in the order if one is given; and how many there are."""
         rows = df.select(as_doubles(features).alias("x"), *([F.col(order).alias("_o")] if order else [])).where("x is not null")
-        n = rows.count()
-        if not 1 <= k <= n:
-            raise ValueError("k must be between 1 and the number of rows")
-        if start is None:
-            if order is None:
-                raise ValueError("an order of the rows is needed to pick the first centroids")
-            wanted = initial_rows(n, k, seed)
-            picked = {r["p"]: r["x"] for r in with_position(rows, "_o", "p").where(F.col("p").isin(*wanted)).select("p", "x").collect()}
-            start = [picked[p] for p in wanted]
-        rows = rows.select("x")
+        if order:
+            rows = with_position(rows, "_o", "p").select("x", "p")
         if rows.rdd.getNumPartitions() < rows.sparkSession.sparkContext.defaultParallelism:
             rows = rows.repartition(rows.sparkSession.sparkContext.defaultParallelism)
         rows = rows.persist()
         try:
-            centroids, done = [list(map(float, c)) for c in start], 0
-            for done in range(1, iterations + 1):
-                moved = cls._step(rows, centroids)
-                same = moved == centroids
-                centroids = moved
-                if same:
-                    break
-            inertia = rows.agg(F.sum(nearest(F.col("x"), centroids)["distance"]).alias("s")).first()["s"]
+            yield rows, rows.count()
         finally:
             rows.unpersist()
-        return cls(tuple(map(tuple, centroids)), inertia, done)
+
+    @classmethod
+    def _fit(cls, rows: DataFrame, n: int, k: int, ordered: bool, iterations: int, seed: int, start: list[list[float]] | None) -> KMeans:
+        if not 1 <= k <= n:
+            raise ValueError("k must be between 1 and the number of rows")
+        if start is None:
+            if not ordered:
+                raise ValueError("an order of the rows is needed to pick the first centroids")
+            wanted = initial_rows(n, k, seed)
+            picked = {r["p"]: r["x"] for r in rows.where(F.col("p").isin(*wanted)).select("p", "x").collect()}
+            start = [picked[p] for p in wanted]
+        centroids, done = np.array(start, float), 0
+        for done in range(1, iterations + 1):
+            moved, _ = cls._step(rows, centroids)
+            same = np.array_equal(moved, centroids)
+            centroids = moved
+            if same:
+                break
+        inertia = cls._step(rows, centroids)[1]
+        return cls(tuple(map(tuple, centroids.tolist())), inertia, done)
 
     @staticmethod
-    def _step(rows: DataFrame, centroids: list[list[float]]) -> list[list[float]]:
-        placed = rows.select("x", nearest(F.col("x"), centroids)["cluster"].alias("c")).select("c", F.posexplode("x").alias("j", "v"))
-        moved = [[0.0] * len(centroids[0]) for _ in centroids]
-        for r in placed.groupBy("c", "j").agg(F.avg("v").alias("m")).collect():
-            moved[r["c"]][r["j"]] = r["m"]
-        return moved
+    def _step(rows: DataFrame, centroids: np.ndarray) -> tuple[np.ndarray, float]:
+        """The means of the rows nearest to each centroid, zeros where there are none, and the sum of squared distances to the nearest.
+
+        A task adds up its rows and hands on one row a centroid.
+        """
+        shipped = rows.sparkSession.sparkContext.broadcast(centroids)
+
+        def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            centroids = shipped.value
+            sums, sizes, inertia = np.zeros_like(centroids), np.zeros(len(centroids), np.int64), np.zeros(len(centroids))
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                x = batch.column("x").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+                distance = np.stack([((x - c) ** 2).sum(1) for c in centroids], 1)
+                cluster = distance.argmin(1)  # the first of equals
+                for k in range(len(centroids)):
+                    own = cluster == k
+                    sums[k] += x[own].sum(0)
+                    sizes[k] += own.sum()
+                    inertia[k] += distance[own, k].sum()
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(centroids)), pa.int32()), pa.array(sums.tolist(), pa.list_(pa.float64())), pa.array(sizes), pa.array(inertia)], ["c", "sums", "n", "inertia"])
+
+        parts = rows.select("x").mapInArrow(partial, "c int, sums array<double>, n long, inertia double")
+        got = parts.groupBy("c").agg(*(F.sum(F.get("sums", F.lit(j))).alias(f"s{j}") for j in range(centroids.shape[1])), F.sum("n").alias("n"), F.sum("inertia").alias("inertia")).collect()
+        shipped.unpersist()
+        moved = np.zeros_like(centroids)
+        for r in got:
+            if r["n"]:
+                moved[r["c"]] = [r[f"s{j}"] / r["n"] for j in range(centroids.shape[1])]
+        return moved, float(sum(r["inertia"] for r in got))
 
     @classmethod
     def best_fit(cls, df: DataFrame, features: str, k: int, order: str, iterations: int = 100, attempts: int = 10) -> KMeans:
         """The least inertia of the seeds 0, 1, ..."""
-        return min((cls.fit(df, features, k, order, iterations, seed) for seed in range(attempts)), key=lambda m: m.inertia)
+        with cls._held(df, features, order) as (rows, n):
+            return min((cls._fit(rows, n, k, True, iterations, seed, None) for seed in range(attempts)), key=lambda m: m.inertia)
 
     @classmethod
     def elbow(cls, df: DataFrame, features: str, ks: range, order: str, iterations: int = 100, seed: int = 0) -> list[tuple[int, float]]:
         """Inertia for each k."""
-        return [(k, cls.fit(df, features, k, order, iterations, seed).inertia) for k in ks]
+        with cls._held(df, features, order) as (rows, n):
+            return [(k, cls._fit(rows, n, k, True, iterations, seed, None).inertia) for k in ks]
 
     def column(self, features: str) -> Column:
         return nearest(as_doubles(features), self.centroids)["cluster"]
@@ -103,5 +191,11 @@ class KMeans(Classifier):
         """(cluster, size) of the clusters that have rows."""
         return self.predict(df, features, "cluster").groupBy("cluster").agg(F.count("*").alias("size"))
 
+    def members(self, df: DataFrame, features: str) -> DataFrame:
+        """df's rows with cluster, centroid and squared distance to it."""
+        near = nearest(as_doubles(features), self.centroids)
+        placed = df.withColumn("_near", near).withColumn("cluster", F.col("_near.cluster")).withColumn("distance", F.col("_near.distance")).drop("_near")
+        return placed.withColumn("centroid", F.get(F.array(*map(literal, self.centroids)), F.col("cluster")))
+
     def __str__(self) -> str:
         return f"KMeans: {len(self.centroids)} clusters, inertia {self.inertia:.4g}"

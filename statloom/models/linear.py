@@ -164,8 +164,8 @@ CONVERGED, EXHAUSTED = "converged", "reached_iteration_limit"
 def descend(start: np.ndarray, loss, gradient, rate: float, iterations: int, tolerance: float) -> tuple[np.ndarray, list[float], str]:
     """Full-batch descent: weights, the losses from the start on, and how it ended.
 
-    A loss that isn't finite, or that rises by more than the tolerance beside its size, raises Diverged; one that falls by less ends
-    the descent.
+    A loss that isn't finite, or that rises by more than the tolerance beside its size, raises Diverged; one that falls by less, or
+    not at all, ends the descent; one that rises by less goes on.
     """
     if rate <= 0 or iterations < 1 or tolerance < 0:
         raise ValueError("rate and iterations must be positive, tolerance not negative")
@@ -181,7 +181,7 @@ def descend(start: np.ndarray, loss, gradient, rate: float, iterations: int, tol
         losses.append(now)
         if change < -tolerance:
             raise Diverged("the loss increases")
-        if change < tolerance:
+        if 0 <= change < tolerance:
             return w, losses, CONVERGED
     return w, losses, EXHAUSTED
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from statloom.functions.vectors import as_doubles, dot, normalized
@@ -70,5 +70,16 @@ class KNearestNeighbours:
             votes = near.withColumn("_exact", exact).groupBy("query", "label").agg(F.sum(vote).alias("vote"))
         return votes.groupBy("query").agg(F.min_by("label", F.struct((-F.col("vote")).alias("v"), "label")).alias("predicted"))
 
+    def save(self, path: str) -> None:
+        """The training rows as Parquet under path, and how to vote beside them, as one row."""
+        options = {"id": self.id, "features": self.features, "label": self.label, "k": self.k, "metric": self.metric, "weight": self.weight}
+        self.train.select(self.id, self.features, self.label).write.parquet(f"{path}/rows")
+        self.train.sparkSession.createDataFrame([options]).coalesce(1).write.json(f"{path}/options")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> KNearestNeighbours:
+        options = spark.read.json(f"{path}/options").first().asDict()
+        return cls(spark.read.parquet(f"{path}/rows"), **options)
+
     def __str__(self) -> str:
         return f"KNearestNeighbours: k = {self.k}, {self.metric}, {self.weight}"

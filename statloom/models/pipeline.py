@@ -5,11 +5,11 @@ from __future__ import annotations
 from dataclasses import dataclass
 from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from statloom.models.bayes import GaussianNaiveBayes
 from statloom.models.kmeans import KMeans
-from statloom.models.linear import GradientDescent, LinearRegression, LogisticRegression
+from statloom.models.linear import GradientDescent, LinearRegression, LogisticRegression, Ridge
 from statloom.models.neighbours import KNearestNeighbours
 from statloom.models.scaling import StandardScaler
 
@@ -59,5 +59,21 @@ class Pipeline:
             return self.model.predict(scaled, id, "_scaled")
         return self.model.predict(scaled, "_scaled", name).drop("_scaled")
 
+    def save(self, path: str, spark: SparkSession) -> None:
+        """Scaler and model as rows of JSON under path; nearest neighbours' training rows as Parquet."""
+        rows = [("scaler", type(self.scaler).__name__, self.scaler.to_json())]
+        if isinstance(self.model, KNearestNeighbours):
+            self.model.save(f"{path}/neighbours")
+        else:
+            rows.append(("model", type(self.model).__name__, self.model.to_json()))
+        spark.createDataFrame(rows, "part string, kind string, parameters string").coalesce(1).write.parquet(f"{path}/parts")
+
+    @classmethod
+    def load(cls, path: str, spark: SparkSession) -> Pipeline:
+        parts = {r["part"]: (r["kind"], r["parameters"]) for r in spark.read.parquet(f"{path}/parts").collect()}
+        kinds = {k.__name__: k for k in (StandardScaler, GaussianNaiveBayes, KMeans, GradientDescent, LinearRegression, LogisticRegression, Ridge)}
+        scaler, model = (kinds[parts[p][0]].from_json(parts[p][1]) if p in parts else None for p in ("scaler", "model"))
+        return cls(scaler, KNearestNeighbours.load(spark, f"{path}/neighbours") if model is None else model)
+
     def __str__(self) -> str:
         return f"Pipeline: {self.scaler}, {self.model}"

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from statloom.functions.vectors import as_doubles, literal
+from statloom.models.base import Jsonable
 
 
 def vector_stats(df: DataFrame, features: str, *stats: Column, by: tuple[str, ...] = ()) -> DataFrame:
@@ -17,7 +18,7 @@ def vector_stats(df: DataFrame, features: str, *stats: Column, by: tuple[str, ..
 
 
 @dataclass(frozen=True)
-class StandardScaler:
+class StandardScaler(Jsonable):
     """(x - mean) / sd with population sd; 0 for a feature without spread."""
 
     means: tuple[float, ...]
@@ -42,7 +43,7 @@ class StandardScaler:
 
 
 @dataclass(frozen=True)
-class FeatureScaler:
+class FeatureScaler(Jsonable):
     """Each feature moved to [low, high]; low for a feature without spread."""
 
     minima: tuple[float, ...]

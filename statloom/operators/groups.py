@@ -74,11 +74,14 @@ def imbalance_ratio(df: DataFrame, label: str) -> DataFrame:
     return counts.agg(F.when(F.count("*") > 1, F.max("count") / F.min("count")).alias("ratio"))
 
 
-def contingency(df: DataFrame, row: str, column: str) -> DataFrame:
-    """(row, column, count) of every pair of labels, absent pairs with 0."""
+def contingency(df: DataFrame, row: str, column: str, most: int = 1_000_000) -> DataFrame:
+    """(row, column, count) of every pair of labels, absent pairs with 0; more than ``most`` pairs are refused (``contingency_margins`` has
+    those that are there)."""
     seen = df.where(F.col(row).isNotNull() & F.col(column).isNotNull()).groupBy(F.col(row).alias("row"), F.col(column).alias("column")).agg(F.count("*").alias("count"))
-    # labels of a table for people to read: few on both sides
-    grid = seen.select("row").distinct().crossJoin(seen.select("column").distinct())
+    rows, columns = seen.agg(F.count_distinct("row"), F.count_distinct("column")).first()
+    if rows * columns > most:
+        raise ValueError(f"{rows} x {columns} pairs of labels are more than {most}")
+    grid = seen.select("row").distinct().crossJoin(F.broadcast(seen.select("column").distinct()))
     return grid.join(seen, ["row", "column"], "left").select("row", "column", F.coalesce("count", F.lit(0)).cast("long").alias("count"))
 
 

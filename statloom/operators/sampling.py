@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from statloom.core import with_position, with_stats
+from statloom.core import BLOCK, with_position, with_stats
 
 
 def shuffle_key(seed: int, *ids: Column | str) -> Column:
@@ -80,14 +80,27 @@ def stratified_split(df: DataFrame, id: str, label: str, test_ratio: float, seed
     return made.withColumn("is_test", F.col("_before") + F.col("_inside") < test).drop("_key", "_range", "_inside", "_before", "_c")
 
 
+def class_position(df: DataFrame, id: str, label: str, name: str) -> DataFrame:
+    """df with each row's 0-based place in its class, in the order of a numeric id without ties: counted in ranges of the id, and over these."""
+    placed = with_position(df, id, "_at").withColumn("_block", F.floor(F.col("_at") / BLOCK))
+    by = Window.partitionBy(label).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)  # a row for each block
+    before = placed.groupBy(label, "_block").agg(F.count("*").alias("_n")).select(label, "_block", F.coalesce(F.sum("_n").over(by), F.lit(0)).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy(label, "_block").orderBy("_at")) - 1
+    made = placed.withColumn("_inside", inside).join(before, [label, "_block"])
+    return made.withColumn(name, F.col("_before") + F.col("_inside")).drop("_at", "_block", "_inside", "_before")
+
+
 def oversample(df: DataFrame, id: str, label: str, features: str, seed: int) -> DataFrame:
     """Rows (label, features, synthetic): all rows, and for each lesser class points between consecutive rows (in the order of id, the
     last followed by the first), until every class has as many as the largest. Where a point lies follows from the seed."""
-    places = Window.partitionBy(label).orderBy(id)
-    ordered = df.select(label, features, (F.row_number().over(places) - 1).alias("_i"))
+    ordered = class_position(df.select(id, label, features).where(F.col(label).isNotNull()), id, label, "_i").select(label, features, "_i")
     sizes = df.groupBy(label).agg(F.count("*").alias("_m"))
     sizes = with_stats(sizes, _most=F.max("_m"))
-    wanted = sizes.where("_m < _most").select(label, "_m", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_most") - F.col("_m") - 1)).alias("_k"))
+    # numbers of the missing rows: blocks of them are dealt to tasks, and counted out there
+    blocks = F.sequence(F.lit(0).cast("long"), F.floor((F.col("_most") - F.col("_m") - 1) / BLOCK))
+    dealt = sizes.where("_m < _most").select(label, "_m", "_most", F.explode(blocks).alias("_block")).repartition(label, "_block")
+    last = F.least(F.col("_most") - F.col("_m"), (F.col("_block") + 1) * BLOCK) - 1
+    wanted = dealt.select(label, "_m", F.explode(F.sequence(F.col("_block") * BLOCK, last)).alias("_k"))
     wanted = wanted.select(label, "_k", F.pmod("_k", "_m").alias("_i"), F.pmod(F.col("_k") + 1, F.col("_m")).alias("_j"))
     first = ordered.withColumnRenamed(features, "_a")
     second = ordered.select(label, F.col(features).alias("_b"), F.col("_i").alias("_j"))

@@ -1,6 +1,7 @@
 """Fourier transforms and power spectra of series held as (position, x) rows, one numpy transform a series.
 
-A series' samples come together in one task, as a transform needs them all. ``by`` separates series.
+A series' samples come together in one task, as a transform needs them all; a table taken as one series (no ``by``) may have LARGEST rows
+at most. ``by`` separates series.
 """
 
 from __future__ import annotations
@@ -15,6 +16,9 @@ from pyspark.sql import functions as F
 
 from statloom.core import with_stats
 
+#: Rows of a table that is one series: some 800 MB in the one task.
+LARGEST = 1 << 24
+
 
 def next_power_of_two(n: int) -> int:
     return 1 << max(0, n - 1).bit_length()
@@ -112,6 +116,8 @@ def dominant_frequency(x: np.ndarray, sample_rate: float) -> float | None:
 
 
 def _per_series(df: DataFrame, x: str, order: str, by: tuple[str, ...], f: Callable[[np.ndarray], dict[str, np.ndarray]], columns: str) -> DataFrame:
+    if not by and (n := df.count()) > LARGEST:
+        raise ValueError(f"{n} rows are more than one transform takes ({LARGEST}): give the columns that separate series")
     keys = list(by) or ["_all"]
     rows = df.select(*(by or [F.lit(0).alias("_all")]), F.col(order).alias("_order"), F.col(x).cast("double").alias("_x"))
 

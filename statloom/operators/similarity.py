@@ -178,8 +178,30 @@ class EmbeddingIndex:
     def scores(self, query: list[float]) -> DataFrame:
         return self.entries.select("position", "label", cosine_to("vector", query).alias("score"))
 
-    def retrieve(self, query: list[float], k: int) -> DataFrame:
-        """One row: hits (the k best labels with their scores), mean and sample deviation of all scores, top_score and top_z."""
+    def labels(self) -> DataFrame:
+        return self.entries.orderBy("position").select("label")
+
+    def contains(self, label) -> bool:
+        return not self.entries.where(F.col("label") == label).isEmpty()
+
+    def __iter__(self):
+        """(label, vector) of the entries in order, streamed to the driver a partition at a time."""
+        for row in self.entries.orderBy("position").toLocalIterator():
+            yield row["label"], row["vector"]
+
+    def embedded(self, text: str) -> list[float] | None:
+        """The embedder's vector of a text, None if it refuses it."""
+        row = self.entries.sparkSession.createDataFrame([(text,)], "text string").select(as_doubles(self.embedder(F.col("text"))).alias("v")).first()
+        return row["v"]
+
+    def retrieve(self, query: list[float] | str, k: int) -> DataFrame:
+        """One row: hits (the k best labels with their scores), mean and sample deviation of all scores, top_score and top_z.
+
+        query: a vector, or a text for the embedder; one that it refuses finds nothing.
+        """
+        if isinstance(query, str):
+            vector = self.embedded(query)
+            return retrieve(self.scores(vector) if vector is not None else self.scores([]).where(F.lit(False)), k)
         return retrieve(self.scores(query), k)
 
     def save(self, path: str) -> None:
