@@ -252,7 +252,13 @@ def kmeans_elbow(spark, d):
     return rounded(spark.createDataFrame(rows, "k int, inertia double"), 4)
 
 
-@query()
+@query("""WITH s AS (SELECT vec_id, label, embedding, row_number() OVER (ORDER BY md5('42:' || CAST(vec_id AS VARCHAR)), vec_id) - 1 < ceil((SELECT count(*) FROM embeddings) * 0.25) AS is_test FROM embeddings),
+r AS (SELECT vec_id, label, is_test, g.i AS i, CAST(embedding[g.i] AS DOUBLE) AS x FROM s, (SELECT unnest(range(1, 65)) AS i) g), z AS (SELECT i, avg(x) AS m, stddev_pop(x) AS d FROM r WHERE NOT is_test GROUP BY i),
+x AS (SELECT vec_id, label, is_test, i, (x - m) / d AS x FROM r JOIN z USING (i)), c AS (SELECT label, i, count(*) AS n, avg(x) AS m, greatest(var_pop(x), 1e-9) AS v FROM x WHERE NOT is_test GROUP BY label, i),
+j AS (SELECT x.vec_id, x.label AS actual, c.label, ln(any_value(c.n) / (SELECT count(*) FROM s WHERE NOT is_test)) + sum(-0.5 * (ln(2 * pi() * c.v) + (x.x - c.m) ** 2 / c.v)) AS lj FROM x JOIN c USING (i) WHERE x.is_test GROUP BY x.vec_id, x.label, c.label),
+p AS (SELECT actual AS a, arg_max(label, lj) AS p FROM j GROUP BY vec_id, actual), l AS (SELECT DISTINCT a AS label FROM p UNION SELECT DISTINCT p FROM p),
+n AS (SELECT label, count(*) FILTER (p = label AND a = label) AS tp, count(*) FILTER (p = label) AS np, count(*) FILTER (a = label) AS support FROM p, l GROUP BY label), m AS (SELECT label, tp / nullif(np, 0) AS precision, tp / nullif(support, 0) AS recall, support FROM n)
+SELECT CAST(label AS INTEGER) AS label, round(precision, 6) + 0.0 AS precision, round(recall, 6) + 0.0 AS recall, round(2 * precision * recall / nullif(precision + recall, 0), 6) + 0.0 AS f1, support FROM m""")
 def pipeline_report(spark, d):
     """Split, scale, fit naive Bayes, predict the rest, and report by class."""
     df = sampling.train_test_split(_embeddings(spark, d), "vec_id", 0.25, 42)

@@ -240,7 +240,8 @@ def vocabulary_embedding(spark, d):
     return rounded(found.groupBy("doc_id").agg(F.count("*").alias("known"), F.avg(F.get("vector", F.lit(0))).alias("mean0"), F.avg(F.get("vector", F.lit(1))).alias("mean1")))
 
 
-@query()
+@query(f"""WITH s AS (SELECT vec_id, label, {COSINE} AS score FROM embeddings WHERE label <> 3), t AS (SELECT avg(score) AS mean, stddev_samp(score) AS d, max(score) AS top FROM s)
+SELECT label, round(score, 5) + 0.0 AS score, round(mean, 5) + 0.0 AS mean, round((top - mean) / d, 4) + 0.0 AS top_z FROM s, t ORDER BY s.score DESC, vec_id LIMIT 5""")
 def embedding_index(spark, d):
     """An index of labelled vectors with entries added, removed and retrieved."""
     entries = _vectors(spark, d).select(F.col("vec_id").alias("position"), "label", F.col("embedding").alias("vector"))
