@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import os
 import zlib
+from codecs import charmap_decode
 from collections.abc import Iterator
 
 import numpy as np
@@ -102,7 +103,8 @@ class TokenIds:
             self.ends[[k for v, k in vocabulary.items() if v.endswith(suffix)]] = True
         printable = [*range(33, 127), *range(161, 173), *range(174, 256)]  # byte-level alphabet: these stand for themselves
         other = [b for b in range(256) if b not in printable]
-        self.byte_level = {b: 256 + k for k, b in enumerate(other) if b != 32}
+        codes = {b: 256 + k for k, b in enumerate(other) if b != 32}
+        self.byte_level = "".join(chr(codes.get(b, b)) for b in range(256))
         self.young: dict[str, bytes] = {"": b""}
         self.old: dict[str, bytes] = {}
         self.marks: dict[str, bytes] = {"": b""}
@@ -130,7 +132,7 @@ class TokenIds:
             self.marks = {"": b""}
         new = [m for m in set(tails) if m not in self.marks]
         self.marks.update(zip(new, self._whole(new)))
-        lines = [" ".join(words[k : k + 512]).lower().encode().decode("latin-1").translate(self.byte_level) for k in range(0, len(words), 512)]
+        lines = [charmap_decode(" ".join(words[k : k + 512]).lower().encode(), "strict", self.byte_level)[0] for k in range(0, len(words), 512)]
         if not lines:
             return
         ids = np.concatenate([np.array(e.ids, "<u4") for e in self.merges.encode_batch_fast(lines, add_special_tokens=False)])
