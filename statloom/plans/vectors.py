@@ -76,12 +76,11 @@ def projections(spark, d):
     return rounded(df.select("vec_id", "position", "scalar", "p.*"), 5)
 
 
-@query("""WITH v AS (SELECT vec_id, (embedding::DOUBLE[])[1:3] AS e FROM embeddings), n AS (SELECT vec_id, e, sqrt(list_inner_product(e, e)) AS n FROM v)
-SELECT a.vec_id AS id1, b.vec_id AS id2, round(list_inner_product(a.e, b.e) / (a.n * b.n), 6) + 0.0 AS similarity FROM n a JOIN n b ON a.vec_id < b.vec_id AND a.n > 0 AND b.n > 0 AND list_inner_product(a.e, b.e) / (a.n * b.n) >= 0.9995""")
+@query(f"""WITH n AS (SELECT vec_id, {E_} AS e, {NORM} AS n FROM embeddings WHERE {NORM} > 0)
+SELECT a.vec_id AS id1, b.vec_id AS id2, round(list_inner_product(a.e, b.e) / (a.n * b.n), 6) + 0.0 AS similarity FROM n a JOIN n b ON a.vec_id < b.vec_id WHERE list_inner_product(a.e, b.e) / (a.n * b.n) >= 0.4""")
 def near_duplicate_vectors(spark, d):
-    """Of the first three components of all vectors, of which some are near."""
-    df = _vectors(spark, d).select("vec_id", F.slice("embedding", 1, 3).alias("v"))
-    return rounded(similarity.find_duplicates(df, "v", "vec_id", 0.9995))
+    """Of whole vectors, at a threshold that related ones reach as well."""
+    return rounded(similarity.find_duplicates(_vectors(spark, d), "embedding", "vec_id", 0.4))
 
 
 @query(f"""WITH n AS (SELECT vec_id, {E_} AS e, {NORM} AS n FROM embeddings WHERE {NORM} > 0)
