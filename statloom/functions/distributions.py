@@ -273,11 +273,12 @@ def binomial_variance(n: int, p: float) -> float | None:
 
 
 def column(f: Callable, *fixed: float, kind: str = "double") -> Callable[[Column], Column]:
-    """f(x, *fixed) as a function of a column: Arrow batches, null where f gives None."""
+    """f(x, *fixed) as a function of a column: Arrow batches, f once for each different value of a batch, null where f gives None."""
 
     @F.pandas_udf(kind)
     def apply(x: pd.Series) -> pd.Series:
-        values = [None if pd.isna(v) else f(v, *fixed) for v in x]
-        return pd.Series(values, dtype="float64" if kind == "double" else "Int64")
+        place, different = pd.factorize(x)  # nulls have place -1, and the null at the end
+        values = pd.Series([*(f(v, *fixed) for v in different.tolist()), None], dtype="float64" if kind == "double" else "Int64")
+        return values.take(place).reset_index(drop=True)
 
     return apply

@@ -9,6 +9,8 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -30,6 +32,11 @@ def as_matrix(m: Vector) -> Column:
     return F.transform(col(m), lambda r: F.transform(r, lambda x: x.cast("double")))
 
 
+def arrow_matrix(vectors: pa.Array, size: int) -> np.ndarray:
+    """The rows of a batch's column of vectors, all of one size and none null, as a matrix; null elements are NaN."""
+    return vectors.flatten().to_numpy(zero_copy_only=False).reshape(-1, size)
+
+
 def literal(values: list) -> Column:
     """A vector or matrix of numbers as a constant column."""
     return F.array(*(literal(v) if isinstance(v, (list, tuple)) else F.lit(float(v)) for v in values))

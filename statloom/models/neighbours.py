@@ -2,16 +2,23 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from statloom.functions.vectors import as_doubles, dot, normalized
+from statloom.functions.vectors import arrow_matrix, as_doubles, normalized
 
 METRICS, WEIGHTS = ("euclidean", "cosine"), ("uniform", "distance")
 #: Bytes of a block of queries that are sent to every executor at once.
 BLOCK_BYTES = 64 << 20
+#: Distances that one pass computes, about what a core's cache holds.
+TILE = 1 << 17
 
 
 @dataclass(frozen=True)
@@ -35,29 +42,32 @@ class KNearestNeighbours:
         return cls(train, id, features, label, k, metric, weight)
 
     def neighbours(self, queries: DataFrame, id: str, features: str) -> DataFrame:
-        """(query, neighbour, label, distance) of the k nearest training rows; ties go to the least id.
+        """(query, neighbour, label, distance) of the k nearest training rows; ties go to the least id, a distance that is NaN comes last.
 
-        A block of queries is broadcast (BLOCK_BYTES bound it) and the training rows stream past it where they are; each task keeps k
-        rows a query before anything is shuffled.
+        A block of queries is broadcast as a matrix (BLOCK_BYTES bound it) and the training rows stream past it where they are. A task
+        gives only rows that are no further than the k nearest it has met, and keeps k of a query before anything is shuffled. Null
+        vectors, and those of another length than the longest query, are no queries and no neighbours.
         """
-        vector = (lambda c: normalized(c)) if self.metric == "cosine" else as_doubles
+        vector = normalized if self.metric == "cosine" else as_doubles
         rows = self.train.select(F.col(self.id).alias("neighbour"), F.col(self.label).alias("label"), vector(self.features).alias("b"))
         asked = queries.select(F.col(id).alias("query"), vector(features).alias("a"))
-        size = asked.agg(F.coalesce(F.sum(F.size("a") * 8 + 32), F.lit(0)).alias("n")).first()["n"]
-        blocks = max(1, -(-size // BLOCK_BYTES))
-        found = None
-        for k in range(blocks):
-            block = asked.where(F.pmod(F.xxhash64("query"), F.lit(blocks)) == k) if blocks > 1 else asked
-            near = rows.crossJoin(F.broadcast(block)).select("query", "neighbour", "label", self._distance().alias("distance"))
-            found = near if found is None else found.union(near)
+        kinds = {"query": asked.schema["query"].dataType, "neighbour": rows.schema["neighbour"].dataType, "label": rows.schema["label"].dataType, "distance": DoubleType()}
+        schema = StructType([StructField(name, kind) for name, kind in kinds.items()])
+        found = asked.where("a is not null").agg(F.max(F.size("a")).alias("size"), F.coalesce(F.sum(F.size("a") * 8 + 32), F.lit(0)).alias("bytes")).first()
+        if not found["size"]:
+            return asked.sparkSession.createDataFrame([], schema)
+        size, blocks = found["size"], max(1, -(-found["bytes"] // BLOCK_BYTES))
+        asked, rows = asked.where(F.size("a") == size), rows.where(F.size("b") == size)
+        near = None
+        for n in range(blocks):
+            block = (asked.where(F.pmod(F.xxhash64("query"), F.lit(blocks)) == n) if blocks > 1 else asked).toArrow().combine_chunks()
+            if not block.num_rows:
+                continue
+            shipped = rows.sparkSession.sparkContext.broadcast((block["query"].combine_chunks(), arrow_matrix(block["a"].combine_chunks(), size)))
+            part = rows.mapInArrow(_nearest(shipped, size, self.k, self.metric), schema)
+            near = part if near is None else near.union(part)
         rank = F.row_number().over(Window.partitionBy("query").orderBy("distance", "neighbour"))
-        return found.withColumn("_rank", rank).where(F.col("_rank") <= self.k).drop("_rank")
-
-    def _distance(self):
-        if self.metric == "cosine":  # of unit vectors; a zero vector is at distance 1, and rounding errors are none
-            return F.when(1 - dot("a", "b") < 1e-12, 0.0).otherwise(1 - dot("a", "b"))
-        difference = F.zip_with("a", "b", lambda x, y: (x - y) * (x - y))
-        return F.sqrt(F.aggregate(difference, F.lit(0.0), lambda s, x: s + x))
+        return near.withColumn("_rank", rank).where(F.col("_rank") <= self.k).drop("_rank")
 
     def predict(self, queries: DataFrame, id: str, features: str) -> DataFrame:
         """(query, predicted): the label with most votes, the least of equals. By distance, exact matches outvote all others."""
@@ -83,3 +93,39 @@ class KNearestNeighbours:
 
     def __str__(self) -> str:
         return f"KNearestNeighbours: k = {self.k}, {self.metric}, {self.weight}"
+
+
+def _nearest(shipped: Broadcast, size: int, k: int, metric: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Of a task's rows, those that are among the k nearest to a query so far, and those as far as the k-th.
+
+    Distances are added up component by component, so that equal vectors are at equal distances in any batch.
+    """
+
+    def distances(own: np.ndarray, block: np.ndarray) -> np.ndarray:
+        total = np.zeros((len(own), len(block)))
+        for c in range(size):
+            if metric == "cosine":
+                total += own[:, c, None] * block[:, c]
+            else:
+                total += np.square(own[:, c, None] - block[:, c])
+        if metric == "cosine":  # of unit vectors; a zero vector is at distance 1, and rounding errors are none
+            return np.where(1 - total < 1e-12, 0.0, 1 - total)
+        return np.sqrt(total)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, block = shipped.value
+        furthest = np.full(len(block), np.inf)
+        for batch in batches:
+            own = arrow_matrix(batch.column("b"), size)
+            step = max(1, TILE // len(block))
+            for at in range(0, len(own), step):
+                found = distances(own[at : at + step], block)
+                reach = np.where(np.isnan(found), np.inf, found)
+                if len(reach) >= k:
+                    furthest = np.minimum(furthest, np.partition(reach, k - 1, axis=0)[k - 1])
+                i, j = np.nonzero(reach <= furthest)
+                at_rows = pa.array(i + at)
+                columns = [ids.take(pa.array(j)), batch.column("neighbour").take(at_rows), batch.column("label").take(at_rows), pa.array(found[i, j])]
+                yield pa.RecordBatch.from_arrays(columns, ["query", "neighbour", "label", "distance"])
+
+    return run

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from statloom.functions.vectors import as_doubles, dot, literal, magnitude, normalized
+from statloom.functions.vectors import arrow_matrix, as_doubles, dot, literal, magnitude, normalized
 from statloom.operators.aggregates import mean_vector
 
 
@@ -89,12 +89,12 @@ def _duplicates_by_blocks(units: DataFrame, threshold: float, rows: int, size: i
         got = block.toArrow().combine_chunks()
         if not got.num_rows:
             continue
-        shipped = units.sparkSession.sparkContext.broadcast((got["id"].combine_chunks(), _matrix(got["u"].combine_chunks(), size)))
+        shipped = units.sparkSession.sparkContext.broadcast((got["id"].combine_chunks(), arrow_matrix(got["u"].combine_chunks(), size)))
 
         def compare(batches: Iterator[pa.RecordBatch], shipped=shipped) -> Iterator[pa.RecordBatch]:
             ids, block = shipped.value
             for batch in batches:
-                own = _matrix(batch.column("u"), size)
+                own = arrow_matrix(batch.column("u"), size)
                 step = max(1, (1 << 22) // len(block))
                 for at in range(0, len(own), step):
                     i, j = np.nonzero(own[at : at + step] @ block.T >= threshold - 1e-9)
@@ -113,10 +113,6 @@ def _duplicates_by_blocks(units: DataFrame, threshold: float, rows: int, size: i
     return found if found is not None else units.sparkSession.createDataFrame([], schema)
 
 
-def _matrix(column: pa.Array, size: int) -> np.ndarray:
-    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, size)
-
-
 def cluster_cohesion(df: DataFrame, v: str, by: tuple[str, ...] = ()) -> DataFrame:
     """Mean cosine of all pairs of non-zero vectors, 0 under two: (|sum of unit vectors|^2 - m) / (m (m - 1)), without a pair being formed."""
     units = df.select(*by, normalized(v).alias("_u")).where(F.exists("_u", lambda x: x != 0))

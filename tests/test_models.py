@@ -1,5 +1,6 @@
 """Saved models, starts of k-means, bounds, and small conventions."""
 
+import math
 import random
 
 import numpy as np
@@ -127,3 +128,37 @@ def test_tokens_against_stripping_each(spark):
         raw = [w for w in regex.split(r"[\s\p{Z}\x85]+", t.lower()) if w]
         assert row["r"] == raw
         assert row["w"] == [w for w in (regex.sub(r"^\p{P}+|\p{P}+$", "", x) for x in raw) if w]
+
+
+@pytest.mark.parametrize("metric", ["euclidean", "cosine"])
+def test_neighbours_against_all_distances(spark, monkeypatch, metric):
+    """With copies, zeros, a null, a NaN and a vector of another length; in one tile and block, and in many."""
+    draw = np.random.default_rng(3)
+    vectors = [[float(x) for x in v] for v in draw.integers(-2, 3, (120, 4))]
+    vectors[10:40] = [vectors[10]] * 30
+    vectors[50], vectors[60], vectors[70], vectors[80] = [0.0] * 4, [1.0, math.nan, 0.0, 0.0], None, [1.0]
+    rows = spark.createDataFrame([(i, v, i % 3) for i, v in enumerate(vectors)], "id long, x array<double>, label int").repartition(5)
+    asked = rows.where("id % 7 = 0 or id = 60")
+
+    def distance(a, b):
+        if metric == "euclidean":
+            return math.sqrt(sum((x - y) ** 2 for x, y in zip(a, b)))
+        norms = math.sqrt(sum(x * x for x in a)), math.sqrt(sum(y * y for y in b))
+        return max(1 - sum(x * y for x, y in zip(a, b)) / (norms[0] * norms[1]), 0.0) if all(norms) else 1.0
+
+    fine = {i: v for i, v in enumerate(vectors) if v is not None and len(v) == 4}
+    want = {}
+    for q in [i for i in fine if i % 7 == 0]:
+        # rounded, so that ties are ties however they are added up; cosine's order within 1e-12 isn't compared
+        near = sorted((math.inf if math.isnan(d := distance(fine[q], v)) else round(d, 9), i) for i, v in fine.items())
+        want[q] = [d for d, _ in near[:6]], [i for _, i in near[:6]]
+    for tile, block in ((1 << 17, 64 << 20), (64, 200)):
+        monkeypatch.setattr("statloom.models.neighbours.TILE", tile)
+        monkeypatch.setattr("statloom.models.neighbours.BLOCK_BYTES", block)
+        got = KNearestNeighbours.fit(rows, "id", "x", "label", 6, metric).neighbours(asked, "id", "x").collect()
+        for q, (distances, ids) in want.items():
+            own = sorted((r["distance"], r["neighbour"]) for r in got if r["query"] == q)
+            assert [round(d, 9) for d, _ in own] == distances
+            assert metric == "cosine" or [i for _, i in own] == ids
+        assert {r["query"] for r in got} == {*want, 60} and sum(r["query"] == 60 for r in got) == 6
+    assert KNearestNeighbours.fit(rows, "id", "x", "label", 6, metric).neighbours(asked.where("id < 0"), "id", "x").collect() == []
