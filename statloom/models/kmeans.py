@@ -1,4 +1,4 @@
-"""k-means by Lloyd's iterations: one aggregate a step, centroids of the size of the model."""
+"""k-means by Lloyd's iterations: one aggregate a step of all models that are fitted together, centroids of the size of the model."""
 
 from __future__ import annotations
 
@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from statloom.core import with_position
-from statloom.functions.vectors import as_doubles, literal
+from statloom.functions.vectors import arrow_matrix, as_doubles, literal
 from statloom.models.base import Classifier
 
 #: The linear congruential generator that the initial shuffle draws from.
@@ -99,7 +99,11 @@ class KMeans(Classifier):
         Ends when no centroid moves, or after the iterations.
         """
         with cls._held(df, features, order) as (rows, n):
-            return cls._fit(rows, n, k, order is not None, iterations, seed, start)
+            if not 1 <= k <= n:
+                raise ValueError("k must be between 1 and the number of rows")
+            if start is None and order is None:
+                raise ValueError("an order of the rows is needed to pick the first centroids")
+            return cls._fits(rows, cls._starts(rows, n, [(k, seed)]) if start is None else [start], iterations)[0]
 
     @staticmethod
     @contextmanager
@@ -116,70 +120,82 @@ class KMeans(Classifier):
         finally:
             rows.unpersist()
 
-    @classmethod
-    def _fit(cls, rows: DataFrame, n: int, k: int, ordered: bool, iterations: int, seed: int, start: list[list[float]] | None) -> KMeans:
-        if not 1 <= k <= n:
+    @staticmethod
+    def _starts(rows: DataFrame, n: int, wanted: list[tuple[int, int]]) -> list[list[list[float]]]:
+        """The first centroids for each (k, seed), read in one pass."""
+        if any(not 1 <= k <= n for k, _ in wanted):
             raise ValueError("k must be between 1 and the number of rows")
-        if start is None:
-            if not ordered:
-                raise ValueError("an order of the rows is needed to pick the first centroids")
-            wanted = initial_rows(n, k, seed)
-            picked = {r["p"]: r["x"] for r in rows.where(F.col("p").isin(*wanted)).select("p", "x").collect()}
-            start = [picked[p] for p in wanted]
-        centroids, done = np.array(start, float), 0
+        places = [initial_rows(n, k, seed) for k, seed in wanted]
+        picked = {r["p"]: r["x"] for r in rows.where(F.col("p").isin(*set().union(*places))).select("p", "x").collect()}
+        return [[picked[p] for p in own] for own in places]
+
+    @classmethod
+    def _fits(cls, rows: DataFrame, starts: list[list[list[float]]], iterations: int) -> list[KMeans]:
+        """A model from each start; all that still move take their step in one pass over the rows."""
+        centroids = [np.array(s, float) for s in starts]
+        inertia, steps, moving = [0.0] * len(starts), [0] * len(starts), list(range(len(starts)))
         for done in range(1, iterations + 1):
-            moved, _ = cls._step(rows, centroids)
-            same = np.array_equal(moved, centroids)
-            centroids = moved
-            if same:
+            found, still = cls._step(rows, [centroids[i] for i in moving]), []
+            for i, (moved, total) in zip(moving, found):
+                inertia[i], steps[i] = total, done
+                if not np.array_equal(moved, centroids[i]):
+                    still.append(i)
+                centroids[i] = moved
+            moving = still
+            if not moving:
                 break
-        inertia = cls._step(rows, centroids)[1]
-        return cls(tuple(map(tuple, centroids.tolist())), inertia, done)
+        if moving:
+            for i, (_, total) in zip(moving, cls._step(rows, [centroids[i] for i in moving])):
+                inertia[i] = total
+        return [cls(tuple(map(tuple, c.tolist())), t, s) for c, t, s in zip(centroids, inertia, steps)]
 
     @staticmethod
-    def _step(rows: DataFrame, centroids: np.ndarray) -> tuple[np.ndarray, float]:
-        """The means of the rows nearest to each centroid, zeros where there are none, and the sum of squared distances to the nearest.
+    def _step(rows: DataFrame, models: list[np.ndarray]) -> list[tuple[np.ndarray, float]]:
+        """For each model, the means of the rows nearest to each centroid, zeros where there are none, and the sum of squared distances to the nearest.
 
-        A task adds up its rows and hands on one row a centroid.
+        A task adds up its rows and hands on one row a centroid: the sums, the number of rows, and the distances.
         """
-        shipped = rows.sparkSession.sparkContext.broadcast(centroids)
+        shipped = rows.sparkSession.sparkContext.broadcast(models)
+        first = np.cumsum([0, *map(len, models)])
+        size = models[0].shape[1]
 
         def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            centroids = shipped.value
-            sums, sizes, inertia = np.zeros_like(centroids), np.zeros(len(centroids), np.int64), np.zeros(len(centroids))
+            added = np.zeros((first[-1], size + 2))
             for batch in batches:
                 if not batch.num_rows:
                     continue
-                x = batch.column("x").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
-                distance = np.stack([((x - c) ** 2).sum(1) for c in centroids], 1)
-                cluster = distance.argmin(1)  # the first of equals
-                for k in range(len(centroids)):
-                    own = cluster == k
-                    sums[k] += x[own].sum(0)
-                    sizes[k] += own.sum()
-                    inertia[k] += distance[own, k].sum()
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(centroids)), pa.int32()), pa.array(sums.tolist(), pa.list_(pa.float64())), pa.array(sizes), pa.array(inertia)], ["c", "sums", "n", "inertia"])
-
-        parts = rows.select("x").mapInArrow(partial, "c int, sums array<double>, n long, inertia double")
-        got = parts.groupBy("c").agg(*(F.sum(F.get("sums", F.lit(j))).alias(f"s{j}") for j in range(centroids.shape[1])), F.sum("n").alias("n"), F.sum("inertia").alias("inertia")).collect()
+                x = arrow_matrix(batch.column("x"), size)
+                for centroids, at in zip(shipped.value, first):
+                    distance = np.stack([((x - c) ** 2).sum(1) for c in centroids], 1)
+                    cluster = distance.argmin(1)  # the first of equals
+                    for k in range(len(centroids)):
+                        own = cluster == k
+                        added[at + k, :size] += x[own].sum(0)
+                        added[at + k, size:] += own.sum(), distance[own, k].sum()
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(first[-1]), pa.int32()), pa.array(added.tolist(), pa.list_(pa.float64()))], ["c", "added"])
+
+        parts = rows.select("x").mapInArrow(partial, "c int, added array<double>").select("c", F.posexplode("added").alias("j", "value"))
+        whole = np.zeros((first[-1], size + 2))
+        for r in parts.groupBy("c", "j").agg(F.sum("value").alias("value")).collect():
+            whole[r["c"], r["j"]] = r["value"]
         shipped.unpersist()
-        moved = np.zeros_like(centroids)
-        for r in got:
-            if r["n"]:
-                moved[r["c"]] = [r[f"s{j}"] / r["n"] for j in range(centroids.shape[1])]
-        return moved, float(sum(r["inertia"] for r in got))
+        made = []
+        for at, to in zip(first, first[1:]):
+            sums, n = whole[at:to, :size], whole[at:to, size : size + 1]
+            made.append((np.divide(sums, n, out=np.zeros_like(sums), where=n > 0), float(whole[at:to, size + 1].sum())))
+        return made
 
     @classmethod
     def best_fit(cls, df: DataFrame, features: str, k: int, order: str, iterations: int = 100, attempts: int = 10) -> KMeans:
         """The least inertia of the seeds 0, 1, ..."""
         with cls._held(df, features, order) as (rows, n):
-            return min((cls._fit(rows, n, k, True, iterations, seed, None) for seed in range(attempts)), key=lambda m: m.inertia)
+            return min(cls._fits(rows, cls._starts(rows, n, [(k, seed) for seed in range(attempts)]), iterations), key=lambda m: m.inertia)
 
     @classmethod
     def elbow(cls, df: DataFrame, features: str, ks: range, order: str, iterations: int = 100, seed: int = 0) -> list[tuple[int, float]]:
         """Inertia for each k."""
         with cls._held(df, features, order) as (rows, n):
-            return [(k, cls._fit(rows, n, k, True, iterations, seed, None).inertia) for k in ks]
+            return [(k, m.inertia) for k, m in zip(ks, cls._fits(rows, cls._starts(rows, n, [(k, seed) for k in ks]), iterations))]
 
     def column(self, features: str) -> Column:
         return nearest(as_doubles(features), self.centroids)["cluster"]
