@@ -9,18 +9,16 @@ from pyspark.sql import functions as F
 
 from statloom.core import col
 
-#: White space of Unicode, and punctuation beside it or at either end of a text.
+#: White space of Unicode; the same with the punctuation at the ends of the tokens beside it, and punctuation at either end of a text. A run of
+#: punctuation within a token is tried from its first character only, so that long runs take linear time.
 SPACE = r"[\s\p{Z}\x{85}]+"
-ENDS = r"(?<![^\s\p{Z}\x{85}])\p{P}++|(?<!\p{P})\p{P}++(?![^\s\p{Z}\x{85}])"
+GAPS = r"[\s\p{Z}\x{85}]++\p{P}*+|(?=\p{P})(?<!\p{P})\p{P}++(?:[\s\p{Z}\x{85}]++\p{P}*+|\z)|^\p{P}++"
 BLANK_LINES = r"\n[ \t]*\n\s*"
 
 
 def tokenize(text: Column | str, remove_punctuation: bool = True) -> Column:
     """Lower-case tokens between white space; punctuation at their ends goes, if asked for, and what is then empty."""
-    plain = F.lower(col(text))
-    if remove_punctuation:
-        plain = F.regexp_replace(plain, ENDS, "")
-    return F.array_remove(F.split(plain, SPACE), "")
+    return F.array_remove(F.split(F.lower(col(text)), GAPS if remove_punctuation else SPACE), "")
 
 
 def as_chunks(pieces: Column) -> Column:

@@ -162,3 +162,18 @@ def test_neighbours_against_all_distances(spark, monkeypatch, metric):
             assert metric == "cosine" or [i for _, i in own] == ids
         assert {r["query"] for r in got} == {*want, 60} and sum(r["query"] == 60 for r in got) == 6
     assert KNearestNeighbours.fit(rows, "id", "x", "label", 6, metric).neighbours(asked.where("id < 0"), "id", "x").collect() == []
+
+
+def test_tokens_against_a_split_by_characters(spark):
+    """Punctuation goes at the ends of tokens only; a long run of it within a token takes no quadratic time."""
+    space, draw = " \t\n\u0085 　", random.Random(5)
+    texts = ["".join(draw.choice("ab.-(" + space) for _ in range(draw.randrange(12))) for _ in range(400)]
+    texts += ["a" + "." * 200_000 + "b", "." * 200_000, " ." * 50_000, "a -- b", "x!\n", ""]
+
+    def tokens(t):
+        words = "".join(" " if c in space else c for c in t.lower()).split(" ")
+        return [w for w in (w.strip(".-(!") for w in words) if w]
+
+    df = spark.createDataFrame([*((t,) for t in texts), (None,)], "t string")
+    got = [r[0] for r in df.select(text.tokenize("t")).collect()]
+    assert got == [*map(tokens, texts), None]
