@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from statloom.llm import chat, decontaminate, fingerprint, html_text, language_id, licenses, near_duplicates, packing, quality, url_filter
+from statloom.llm import chat, decontaminate, exact_dedup, fingerprint, html_text, language_id, licenses, near_duplicates, packing, quality, url_filter
 from statloom.llm.shared import table
 
 
@@ -69,6 +69,10 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(docs.select("doc_id", "text", held.alias("held_out")), model).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.mark(table(spark, sf_dir, "documents").select("doc_id", "text"), digest="text_sha256")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_packing": op2_packing,
@@ -80,10 +84,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_fingerprint": op8_fingerprint,
     "op9_licenses": op9_licenses,
     "op10_language_id": op10_language_id,
+    "op13_exact_dedup": op13_exact_dedup,
 }
 
 #: DuckDB SQL for the queries that SQL can express.
 ORACLES: dict[str, str] = {
     "op6_chat_rotation": chat.SQL,
     "op7_near_duplicates": near_duplicates.SQL,
+    "op13_exact_dedup": exact_dedup.SQL,
 }
