@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from statloom.llm import chat, decontaminate, exact_dedup, fingerprint, html_text, language_id, licenses, near_duplicates, packing, quality, url_filter
+from statloom.llm import alignment, chat, decontaminate, exact_dedup, fingerprint, html_text, language_id, licenses, near_duplicates, packing, quality, url_filter
 from statloom.llm.shared import table
 
 
@@ -69,6 +69,10 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(docs.select("doc_id", "text", held.alias("held_out")), model).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op12_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.mark(table(spark, sf_dir, "documents").select("doc_id", "text"), digest="text_sha256")
 
@@ -84,6 +88,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_fingerprint": op8_fingerprint,
     "op9_licenses": op9_licenses,
     "op10_language_id": op10_language_id,
+    "op12_tokenizer_alignment": op12_tokenizer_alignment,
     "op13_exact_dedup": op13_exact_dedup,
 }
 
