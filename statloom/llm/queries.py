@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from statloom.llm import alignment, chat, decontaminate, exact_dedup, fingerprint, html_text, language_id, licenses, near_duplicates, packing, quality, url_filter
-from statloom.llm.shared import table
+from statloom.llm import alignment, chat, decontaminate, exact_dedup, fingerprint, html_text, language_id, licenses, near_duplicates, packing, prefix_trie, quality, url_filter
+from statloom.llm.shared import stored, table
 
 
 def fold(doc_id: str, n: int):
@@ -69,6 +69,13 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(docs.select("doc_id", "text", held.alias("held_out")), model).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    arrays = stored(prefix_trie.turn_arrays(table(spark, sf_dir, "conversations")), "trie-turns")
+    conv_id = F.col("conv_id")
+    rebuilt = prefix_trie.branched(arrays, conv_id - conv_id % 100, F.crc32(conv_id.cast("string")) % 6, 5)
+    return prefix_trie.nodes(rebuilt).drop("turn_hash")
+
+
 def op12_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.align(table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
 
@@ -88,6 +95,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_fingerprint": op8_fingerprint,
     "op9_licenses": op9_licenses,
     "op10_language_id": op10_language_id,
+    "op11_prefix_trie": op11_prefix_trie,
     "op12_tokenizer_alignment": op12_tokenizer_alignment,
     "op13_exact_dedup": op13_exact_dedup,
 }
@@ -96,5 +104,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLES: dict[str, str] = {
     "op6_chat_rotation": chat.SQL,
     "op7_near_duplicates": near_duplicates.SQL,
+    "op11_prefix_trie": prefix_trie.SQL,
     "op13_exact_dedup": exact_dedup.SQL,
 }
