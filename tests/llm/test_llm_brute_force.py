@@ -153,6 +153,29 @@ def test_surge_beside_a_very_long_block(longest):
     assert [len(x) for x in html_text.main_lines(blocks)] == sizes
 
 
+@pytest.mark.parametrize("size", [50, 100, 119, 121, 130, 200, 400, 600, 1700, 2000])
+@pytest.mark.parametrize("between", ["", "<nav>Menu</nav>"])
+@pytest.mark.parametrize("name", ["article", "main"])
+def test_text_beside_the_article(size, between, name):
+    """Plain text outside is left out, on either side and however much; everything inside stays, however short."""
+    aside, inside = f"<div>{'word ' * (size // 5)}</div>", ["A paragraph of the article. " * 9, "ok", "x"]
+    part = f"<{name}>{''.join(f'<p>{x}</p>' for x in inside)}</{name}>"
+    for page in (aside + between + part, part + between + aside, aside + between + part + between + aside * 3):
+        assert html_text.extract(f"<body>{page}</body>").split("\n\n") == [x.strip() for x in inside]
+    assert html_text.extract(f"<body>{aside}<{name}><p>x</p><aside>a</aside><form>b</form><aside>c</aside><aside>d</aside><p>y</p></{name}>{aside}</body>") == "x\n\ny"
+
+
+def test_short_blocks_beside_kept_ones():
+    """Without a named part: what lies in one element with kept text stays, links alone and other elements don't."""
+    text = "A paragraph with enough words in it to be kept. " * 4
+    links = "<ul>" + "<li><a href=x>Some link</a></li>" * 6 + "</ul>"
+    page = f"<body><div><p>{text}</p>{links}<p>The end, at last.</p></div><div>Imprint</div></body>"
+    assert html_text.extract(page).split("\n\n") == [text.strip(), "The end, at last."]
+    menus = "<nav>Menu</nav>" * 3
+    page = f"<body><div>Top</div>{menus}<div><p>{text}</p>{menus}<p>A.</p><p>B.</p><p>C.</p><p>D.</p>{menus}</div>{menus}<div>Imprint</div></body>"
+    assert html_text.extract(page).split("\n\n") == [text.strip(), "A.", "B.", "C.", "D."]
+
+
 def test_content_named_by_class():
     page = '<body><div class="site-title">Site</div><div id="content"><h1>Head</h1><p>Text.</p><div class="share-buttons">Share</div></div><div class="rail">More</div></body>'
     assert html_text.extract(page) == "Head\n\nText."
