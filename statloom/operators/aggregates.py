@@ -1,11 +1,18 @@
-"""Scalar statistics as aggregate columns: sample statistics by default, null where a statistic is undefined."""
+"""Scalar statistics as aggregate columns: sample statistics by default, null where a statistic is undefined.
+
+Percentiles come in two forms, with the same values: as aggregate columns, which keep the distinct values of a group in one task, and as
+functions of tables (``percentiles``, ``quartiles_by`` and all reports), which select them over the cluster from groups of any size.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from statloom.core import all_finite, col, double, prefix_sums, with_position, with_stats
+from statloom.operators.selection import joined, order_statistics
 
 
 def total(x: Column | str) -> Column:
@@ -83,6 +90,32 @@ def percentile(x: Column | str, p: float) -> Column:
     return F.when(all_finite(x), F.percentile(double(x), p / 100))
 
 
+def percentiles(df: DataFrame, x: str, by: Sequence[str] = (), **wanted: float) -> DataFrame:
+    """(by, a column for each wanted percentile): type 7, 0 to 100; null outside, of nothing, or with NaN or infinity."""
+    inside = {name: p / 100 for name, p in wanted.items() if 0 <= p <= 100}
+    found = order_statistics(df, x, list(inside.values()), by)
+    places = {name: k for k, name in enumerate(inside)}
+    return found.select(*by, *((F.get("values", F.lit(places[name])) if name in places else F.lit(None).cast("double")).alias(name) for name in wanted))
+
+
+#: The shares of a five-number summary, and their names.
+FIVE = {"min": 0.0, "q1": 0.25, "median": 0.5, "q3": 0.75, "max": 1.0}
+
+
+def quartiles_by(df: DataFrame, x: str | Column, by: Sequence[str] = ()) -> DataFrame:
+    """(by, min, q1, median, q3, max, iqr); nulls of nothing, or with NaN or infinity."""
+    found = order_statistics(df, x, list(FIVE.values()), by)
+    made = found.select(*by, *(F.get("values", F.lit(k)).alias(name) for k, name in enumerate(FIVE)))
+    return made.withColumn("iqr", F.col("q3") - F.col("q1"))
+
+
+def percentile_interval_of(df: DataFrame, x: str, level: float = 0.95, by: Sequence[str] = ()) -> DataFrame:
+    """(by, lower, upper) of the central level of a bootstrap distribution."""
+    if not 0 < level < 1:
+        raise ValueError("level must be between 0 and 1")
+    return percentiles(df, x, by, lower=50 * (1 - level), upper=100 - 50 * (1 - level))
+
+
 def quartile_parts(x: Column | str) -> dict[str, Column]:
     q = F.percentile(double(x), [0.0, 0.25, 0.5, 0.75, 1.0])
     fine = all_finite(x)
@@ -116,7 +149,9 @@ def skewness_agreement(moment: Column, bowley: Column) -> Column:
 
 def skewness_report(df: DataFrame, x: str, by: tuple[str, ...] = ()) -> DataFrame:
     """moment (without bias), bowley and their agreement, per group."""
-    made = df.groupBy(*by).agg(skewness(x, bias=False).alias("moment"), bowley_skewness(x).alias("bowley"))
+    bowley = F.try_divide(F.col("q3") - 2 * F.col("median") + F.col("q1"), F.col("iqr")).alias("bowley")
+    moments = df.groupBy(*by).agg(skewness(x, bias=False).alias("moment"))
+    made = joined(moments, quartiles_by(df, x, by).select(*by, bowley), by, "left")
     return made.withColumn("agreement", skewness_agreement(F.col("moment"), F.col("bowley")))
 
 
@@ -173,22 +208,24 @@ def percentile_ranks(df: DataFrame, x: str, name: str = "rank") -> DataFrame:
     return df.withColumn("_v", double(x)).join(below, "_v", "left").drop("_v")
 
 
-def summary_parts(x: Column | str) -> dict[str, Column]:
-    q = quartile_parts(x)
-    return {"count": F.count(double(x)), "mean": mean(x), "std": standard_deviation(x), **{n: q[n] for n in ("min", "q1", "median", "q3", "max", "iqr")}}
+SUMMARY = ("count", "mean", "std", *FIVE, "iqr")
+
+
+def summary(df: DataFrame, x: str, by: Sequence[str] = ()) -> DataFrame:
+    """(by, count, mean, std, min, q1, median, q3, max, iqr); null where undefined."""
+    moments = df.groupBy(*by).agg(F.count(double(x)).alias("count"), mean(x).alias("mean"), standard_deviation(x).alias("std"))
+    return joined(moments, quartiles_by(df, x, by), by, "left").select(*by, *SUMMARY)
 
 
 def column_summary(df: DataFrame, x: str, by: tuple[str, ...] = ()) -> DataFrame:
     """Nine fields; no row where the standard deviation is undefined or a value isn't finite."""
-    made = df.groupBy(*by).agg(*(c.alias(n) for n, c in summary_parts(x).items()))
-    return made.where(F.col("std").isNotNull() & F.col("min").isNotNull())
+    return summary(df, x, by).where(F.col("std").isNotNull() & F.col("min").isNotNull())
 
 
 def frame_summary(df: DataFrame, columns: list[str]) -> DataFrame:
-    """The same nine fields of each column, in one pass; what is undefined is 0."""
+    """The same nine fields of each column; what is undefined is 0."""
     long = df.select(F.explode(F.array(*(F.struct(F.lit(k).alias("ordinal"), F.lit(c).alias("column"), double(c).alias("x")) for k, c in enumerate(columns)))).alias("s")).select("s.*")
-    made = long.groupBy("ordinal", "column").agg(*(c.alias(n) for n, c in summary_parts("x").items()))
-    return made.na.fill(0.0, ["mean", "std", "min", "q1", "median", "q3", "max", "iqr"])
+    return summary(long, "x", ("ordinal", "column")).na.fill(0.0, list(SUMMARY[1:]))
 
 
 describe = frame_summary

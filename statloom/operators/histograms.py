@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from statloom.core import all_finite, double
+from statloom.operators.selection import order_statistics
 
 RULES = ("square_root", "sturges", "freedman_diaconis")
 
@@ -34,13 +35,18 @@ def histogram(df: DataFrame, x: str, bins: int | str) -> DataFrame:
     bins: a number, or the name of a rule. The number of bins is known before the second pass, so the bins are rows of a range.
     """
     v = double(x)
-    stats = df.agg(F.count(v).alias("n"), all_finite(v).alias("fine"), F.min(v).alias("low"), F.max(v).alias("high"), F.percentile(v, [0.25, 0.75]).alias("q") if isinstance(bins, str) else F.lit(None).alias("q")).first()
+    if bins == "freedman_diaconis":
+        found = order_statistics(df, v, [0.0, 0.25, 0.75, 1.0]).first()
+        low, q1, q3, high = found["values"]
+        stats = {"n": found["n"], "fine": found["fine"], "low": low, "high": high, "iqr": q3 - q1 if low is not None else 0.0}
+    else:
+        stats = df.agg(F.count(v).alias("n"), all_finite(v).alias("fine"), F.min(v).alias("low"), F.max(v).alias("high"), F.lit(0.0).alias("iqr")).first()
     spark = df.sparkSession
     if not stats["n"] or not stats["fine"] or bins == 0 or not isinstance(bins, str) and bins < 0:
         return spark.createDataFrame([], "bin long, midpoint double, count long")
     low, high = stats["low"], stats["high"]
     if isinstance(bins, str):
-        bins = bin_count(bins, stats["n"], low, high, stats["q"][1] - stats["q"][0])
+        bins = bin_count(bins, stats["n"], low, high, stats["iqr"])
     if low == high:
         bins = 1
     width = (high - low) / bins

@@ -1,7 +1,9 @@
-"""Fourier transforms and power spectra of series held as (position, x) rows, one numpy transform a series.
+"""Fourier transforms and power spectra of series held as (position, x) rows.
 
-A series' samples come together in one task, as a transform needs them all; a table taken as one series (no ``by``) may have LARGEST rows
-at most. ``by`` separates series.
+A table taken as one series (no ``by``) is transformed in six steps, whatever its length n: its samples are a matrix of about sqrt(n)
+columns, which tasks transform a block of columns at a time; the results are turned by the twiddle factors and shuffled into rows, and
+tasks transform a block of rows at a time. No task holds more than GROUP values, or two columns' or rows' worth if that is more. Of the series that
+``by`` separates, each comes together in one task and takes one numpy transform.
 """
 
 from __future__ import annotations
@@ -14,10 +16,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from statloom.core import with_stats
+from statloom.core import double, with_position, with_stats
 
-#: Rows of a table that is one series: some 800 MB in the one task.
-LARGEST = 1 << 24
+#: Values of a block of columns or rows that a task transforms at once.
+GROUP = 1 << 18
 
 
 def next_power_of_two(n: int) -> int:
@@ -116,10 +118,8 @@ def dominant_frequency(x: np.ndarray, sample_rate: float) -> float | None:
 
 
 def _per_series(df: DataFrame, x: str, order: str, by: tuple[str, ...], f: Callable[[np.ndarray], dict[str, np.ndarray]], columns: str) -> DataFrame:
-    if not by and (n := df.count()) > LARGEST:
-        raise ValueError(f"{n} rows are more than one transform takes ({LARGEST}): give the columns that separate series")
-    keys = list(by) or ["_all"]
-    rows = df.select(*(by or [F.lit(0).alias("_all")]), F.col(order).alias("_order"), F.col(x).cast("double").alias("_x"))
+    keys = list(by)
+    rows = df.select(*by, F.col(order).alias("_order"), F.col(x).cast("double").alias("_x"))
 
     def run(series: pd.DataFrame) -> pd.DataFrame:
         made = pd.DataFrame(f(series.sort_values("_order")["_x"].to_numpy(float)))
@@ -128,22 +128,93 @@ def _per_series(df: DataFrame, x: str, order: str, by: tuple[str, ...], f: Calla
         return made
 
     kinds = ", ".join(f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in keys)
-    made = rows.groupBy(*keys).applyInPandas(run, f"{columns}, {kinds}")
-    return made if by else made.drop("_all")
+    return rows.groupBy(*keys).applyInPandas(run, f"{columns}, {kinds}")
+
+
+def _positioned(df: DataFrame, x: str, order: str) -> tuple[DataFrame, int]:
+    """(position, x) of a whole table in order, and its number of rows. An order of 0, 1, ... is the position itself."""
+    whole = df.schema[order].dataType.typeName() in ("byte", "short", "integer", "long")
+    found = df.agg(F.count(F.lit(1)).alias("n"), *((F.min(order).alias("low"), F.max(order).alias("high")) if whole else ())).first()
+    if whole and found["n"] and (found["low"], found["high"]) == (0, found["n"] - 1):
+        return df.select(F.col(order).cast("long").alias("position"), double(x).alias("x")), found["n"]
+    return with_position(df.select(F.col(order).alias("_order"), double(x).alias("x")), "_order").select("position", "x"), found["n"]
+
+
+def _six_steps(rows: DataFrame, n: int, back: bool = False) -> DataFrame:
+    """(bin, re, im) of the transform of rows (position, x) padded with zeros to n, a power of two; back: of the inverse transform.
+
+    Of a position p = i * columns + j, the samples of one j are transformed first. Bin k + height * l is then place l of the transform of row k.
+    """
+    height = 1 << (n.bit_length() - 1) // 2
+    columns = n // height
+    transform, sign = (np.fft.ifft, 1) if back else (np.fft.fft, -1)
+    wide, high = max(1, GROUP // height), max(1, GROUP // columns)  # columns, then rows, of a block
+
+    def of_columns(part: pd.DataFrame) -> pd.DataFrame:
+        first = int(part["block"].iloc[0]) * wide
+        count = min(wide, columns - first)
+        matrix = np.zeros((height, count))
+        at = part["position"].to_numpy()
+        matrix[at // columns, at % columns - first] = part["x"].to_numpy(float)
+        k, j = np.arange(height)[:, None], np.arange(first, first + count)
+        turned = transform(matrix, axis=0) * np.exp(sign * 2j * np.pi * (k * j % n) / n)
+        return pd.DataFrame({"k": np.repeat(np.arange(height), count), "j": np.tile(j, height), "re": turned.real.ravel(), "im": turned.imag.ravel()})
+
+    def of_rows(part: pd.DataFrame) -> pd.DataFrame:
+        first = int(part["k"].iloc[0]) // high * high
+        count = min(high, height - first)
+        matrix = np.zeros((count, columns), complex)
+        matrix[part["k"].to_numpy() - first, part["j"].to_numpy()] = part["re"].to_numpy() + 1j * part["im"].to_numpy()
+        made = transform(matrix, axis=1)
+        bins = np.arange(first, first + count)[:, None] + height * np.arange(columns)
+        return pd.DataFrame({"bin": bins.ravel(), "re": made.real.ravel(), "im": made.imag.ravel()})
+
+    blocks = rows.select("position", "x", F.floor(F.pmod("position", F.lit(columns)) / wide).cast("long").alias("block"))
+    turned = blocks.groupBy("block").applyInPandas(of_columns, "k long, j long, re double, im double")
+    found = turned.groupBy(F.floor(F.col("k") / high).alias("_rows")).applyInPandas(of_rows, "bin long, re double, im double")
+    if back:
+        return found
+    # the sums of real samples at bin 0 and in the middle are real; rounding errors would give them a phase
+    return found.withColumn("im", F.when((F.col("bin") == 0) | (F.col("bin") * 2 == n), 0.0).otherwise(F.col("im")))
+
+
+_MAGNITUDE = "sqrt(re * re + im * im)"
 
 
 def fourier(df: DataFrame, x: str, order: str, by: tuple[str, ...] = ()) -> DataFrame:
     """(bin, magnitude, phase) of every bin."""
-    return _per_series(df, x, order, by, lambda v: {"bin": np.arange(len(v)), "magnitude": magnitude(v), "phase": phase(v)}, "bin long, magnitude double, phase double")
+    if by:
+        return _per_series(df, x, order, by, lambda v: {"bin": np.arange(len(v)), "magnitude": magnitude(v), "phase": phase(v)}, "bin long, magnitude double, phase double")
+    rows, n = _positioned(df, x, order)
+    return _six_steps(rows, _even_size(n)).select("bin", F.expr(_MAGNITUDE).alias("magnitude"), F.atan2("im", "re").alias("phase"))
 
 
 def fourier_inverse(df: DataFrame, x: str, order: str, by: tuple[str, ...] = ()) -> DataFrame:
-    return _per_series(df, x, order, by, lambda v: {"position": np.arange(len(v)), "value": inverse(v)}, "position long, value double")
+    if by:
+        return _per_series(df, x, order, by, lambda v: {"position": np.arange(len(v)), "value": inverse(v)}, "position long, value double")
+    rows, n = _positioned(df, x, order)
+    return _six_steps(rows, _even_size(n), back=True).select(F.col("bin").alias("position"), F.col("re").alias("value"))
+
+
+def _even_size(n: int) -> int:
+    if not is_power_of_two(n):
+        raise ValueError("the number of samples must be a power of two")
+    return n
+
+
+def _windowed(rows: DataFrame, n: int, windowed: bool) -> DataFrame:
+    weight = 0.5 * (1 - F.cos(F.col("position") * (2 * np.pi / (n - 1)))) if windowed and n > 1 else F.lit(1.0)
+    return rows.withColumn("x", F.col("x") * weight)
 
 
 def fourier_spectrum(df: DataFrame, x: str, order: str, sample_rate: float, windowed: bool = False, by: tuple[str, ...] = ()) -> DataFrame:
     """(frequency, magnitude) of the first half."""
-    return _per_series(df, x, order, by, lambda v: dict(zip(("frequency", "magnitude"), spectrum(v, sample_rate, windowed))), "frequency double, magnitude double")
+    if by:
+        return _per_series(df, x, order, by, lambda v: dict(zip(("frequency", "magnitude"), spectrum(v, sample_rate, windowed))), "frequency double, magnitude double")
+    rows, n = _positioned(df, x, order)
+    size = next_power_of_two(n) if n else 1
+    half = _six_steps(_windowed(rows, n, windowed), size).where(F.col("bin") < size // 2)
+    return half.select((F.col("bin") * (sample_rate / size)).alias("frequency"), F.expr(_MAGNITUDE).alias("magnitude"))
 
 
 def density(df: DataFrame, x: str, order: str, sample_rate: float, windowed: bool = False, by: tuple[str, ...] = ()) -> DataFrame:
@@ -155,8 +226,17 @@ def density(df: DataFrame, x: str, order: str, sample_rate: float, windowed: boo
             return {"bin": np.zeros(0, int), "frequency": np.zeros(0), "density": np.zeros(0)}
         return {"bin": np.arange(len(found.densities)), "frequency": found.frequencies, "density": np.where(np.isfinite(found.densities), found.densities, np.nan)}
 
-    made = _per_series(df, x, order, by, run, "bin long, frequency double, density double")
-    return made.withColumn("density", F.when(~F.isnan("density"), F.col("density")))
+    if by:
+        made = _per_series(df, x, order, by, run, "bin long, frequency double, density double")
+        return made.withColumn("density", F.when(~F.isnan("density"), F.col("density")))
+    rows, n = _positioned(df, x, order)
+    size = next_power_of_two(n) if n else 1
+    # the squares of a window of four samples or more add up to 3 (n - 1) / 8
+    energy = sample_rate * (size if not windowed else 3 * (n - 1) / 8 if n > 3 else float(np.square(hann(n)).sum()))
+    sides = F.when((F.col("bin") == 0) | (F.col("bin") == size // 2), 1.0).otherwise(2.0)
+    half = _six_steps(_windowed(rows, n, windowed), size).where((F.col("bin") <= size // 2) & F.lit(n > 1 and sample_rate > 0))
+    value = F.try_divide(F.expr("re * re + im * im") * sides, F.lit(float(energy)))
+    return half.select("bin", (F.col("bin") * (sample_rate / size)).alias("frequency"), F.when(~F.isnan(value) & (F.abs(value) != float("inf")), value).alias("density"))
 
 
 def hann_windowed(df: DataFrame, x: str, position: str, name: str = "windowed") -> DataFrame:

@@ -3,16 +3,14 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
 
-from statloom.functions.vectors import arrow_matrix, as_doubles, dot, literal, magnitude, normalized
+from statloom.functions.vectors import as_doubles, dot, literal, magnitude, normalized
 from statloom.operators.aggregates import mean_vector
+from statloom.operators.cells import similar_pairs
 
 
 def cosine_to(v: str, target: list[float]) -> Column:
@@ -37,80 +35,12 @@ def most_similar(df: DataFrame, v: str, label: str, target: list[float], k: int
 nearest = most_similar
 
 
-#: Bytes of a block of vectors that are sent to every executor at once, and the share of all pairs from which on cells aren't worth their join.
-BLOCK_BYTES, CELLS_SHARE = 64 << 20, 0.05
+def find_duplicates(df: DataFrame, v: str, id: str, threshold: float = 0.95) -> DataFrame:
+    """(id1, id2, similarity) with id1 < id2 and cosine >= threshold; zero vectors have no duplicates. Vectors of different lengths raise.
 
-
-def find_duplicates(df: DataFrame, v: str, id: str, threshold: float = 0.95, seed: int = 1) -> DataFrame:
-    """(id1, id2, similarity) with id1 < id2 and cosine >= threshold; zero vectors have no duplicates.
-
-    Exact in both of its ways. Vectors of cosine >= t differ by at most sqrt(2 - 2t) in every direction, so along
-    a fixed random direction only vectors in the same or the next cell of that width can match; pairs are joined on the cells of
-    two orthogonal directions at once and then verified. Where the cells, as counted, would compare CELLS_SHARE of all pairs or more (two
-    directions tell little of vectors of many components), blocks of vectors are broadcast instead and all rows stream past them as matrix products.
-    """
-    found = df.select(F.col(id).alias("id"), normalized(v).alias("u")).where(F.exists("u", lambda x: x != 0))
-    if threshold <= 0:
-        width = 2.0
-    else:
-        width = max(1e-9, math.sqrt(max(0.0, 2 - 2 * threshold)) * (1 + 1e-9))
-    size = found.select(F.size("u").alias("n")).first()
-    if size is None:
-        return found.select(F.col("id").alias("id1"), F.col("id").alias("id2"), F.lit(0.0).alias("similarity")).where(F.lit(False))
-    directions = np.random.default_rng(seed).standard_normal((2, size["n"]))
-    directions, _ = np.linalg.qr(directions.T)
-    cells = [F.floor(dot("u", literal(directions[:, k].tolist())) / width).cast("long").alias(f"c{k}") for k in range(min(2, directions.shape[1]))]
-    placed = found.select("id", "u", *cells)
-    if len(cells) < 2:
-        placed = placed.withColumn("c1", F.lit(0).cast("long"))
-    near = F.array(*(F.lit(d).cast("long") for d in (-1, 0, 1)))
-    around = lambda d: d.withColumn("c0", F.explode(F.transform(near, lambda k: F.col("c0") + k))).withColumn("c1", F.explode(F.transform(near, lambda k: F.col("c1") + k)))
-    held = placed.groupBy("c0", "c1").agg(F.count("*").cast("double").alias("n"))
-    met = around(held.withColumnRenamed("n", "m")).join(held, ["c0", "c1"]).agg(F.sum(F.col("n") * F.col("m"))).first()[0]
-    rows = held.agg(F.sum("n")).first()[0]
-    if (met or 0.0) >= CELLS_SHARE * (rows or 0.0) ** 2:
-        return _duplicates_by_blocks(found.where(F.size("u") == size["n"]), threshold, int(rows or 0), size["n"])
-    left = around(placed.select(F.col("id").alias("id1"), F.col("u").alias("a"), "c0", "c1"))
-    right = placed.select(F.col("id").alias("id2"), F.col("u").alias("b"), "c0", "c1")
-    pairs = left.join(right, ["c0", "c1"]).where("id1 < id2").withColumn("similarity", dot("a", "b"))
-    return pairs.where(F.col("similarity") >= threshold).select("id1", "id2", "similarity")
-
-
-def _duplicates_by_blocks(units: DataFrame, threshold: float, rows: int, size: int) -> DataFrame:
-    """find_duplicates of unit vectors of one size: each block is broadcast as a matrix, and every row is multiplied with it.
-
-    Products find the pairs with a margin for rounding; their similarities are then added up component by component, as ``dot`` does.
+    Exact: vectors meet in the cells that can hold partners, and are multiplied in full where a bound reaches the threshold (``cells``).
     """
-    schema = StructType([StructField("id1", units.schema["id"].dataType), StructField("id2", units.schema["id"].dataType), StructField("similarity", DoubleType())])
-    blocks = max(1, -(-rows * (8 * size + 16) // BLOCK_BYTES))
-    found = None
-    for k in range(blocks):
-        block = units.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == k) if blocks > 1 else units
-        got = block.toArrow().combine_chunks()
-        if not got.num_rows:
-            continue
-        shipped = units.sparkSession.sparkContext.broadcast((got["id"].combine_chunks(), arrow_matrix(got["u"].combine_chunks(), size)))
-
-        def compare(batches: Iterator[pa.RecordBatch], shipped=shipped) -> Iterator[pa.RecordBatch]:
-            ids, block = shipped.value
-            for batch in batches:
-                own = arrow_matrix(batch.column("u"), size)
-                step = max(1, (1 << 22) // len(block))
-                for at in range(0, len(own), step):
-                    i, j = np.nonzero(own[at : at + step] @ block.T >= threshold - 1e-9)
-                    i += at
-                    for part in range(0, len(i), 1 << 18):
-                        x, y = i[part : part + (1 << 18)], j[part : part + (1 << 18)]
-                        similarity = np.zeros(len(x))
-                        for c in range(size):
-                            similarity += own[x, c] * block[y, c]
-                        kept = similarity >= threshold
-                        columns = [batch.column("id").take(pa.array(x[kept])), ids.take(pa.array(y[kept])), pa.array(similarity[kept])]
-                        yield pa.RecordBatch.from_arrays(columns, ["id1", "id2", "similarity"])
-
-        near = units.mapInArrow(compare, schema).where("id1 < id2")
-        found = near if found is None else found.union(near)
-    return found if found is not None else units.sparkSession.createDataFrame([], schema)
+    return similar_pairs(df, v, id, threshold)
 
 
 def cluster_cohesion(df: DataFrame, v: str, by: tuple[str, ...] = ()) -> DataFrame:

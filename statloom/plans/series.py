@@ -245,13 +245,19 @@ def padded_power_of_two(spark, d):
     return rounded(signal.padded_rows(_all(spark, d), "value", "position"))
 
 
-@query()
+WHOLE = """WITH s AS (SELECT row_number() OVER (ORDER BY event_id) - 1 AS p, value AS x FROM events), n AS (SELECT CAST(2 ** ceil(log2(count(*))) AS BIGINT) AS n FROM s),
+b AS (SELECT k, n, cos(2 * pi() * k / n) AS c, sin(2 * pi() * k / n) AS s FROM n, (SELECT unnest(range(0, (SELECT n FROM n))) AS k)),
+f AS (SELECT b.k, sum(x * t.c) AS re, CASE WHEN b.k = 0 OR 2 * b.k = any_value(b.n) THEN 0.0 ELSE -sum(x * t.s) END AS im, any_value(b.n) AS n FROM s, b, b t WHERE t.k = b.k * s.p % b.n GROUP BY b.k)
+"""
+
+
+@query(WHOLE + "SELECT k AS bin, round(sqrt(re * re + im * im), 3) + 0.0 AS magnitude, round(atan2(im, re), 3) + 0.0 AS phase FROM f")
 def fourier_whole(spark, d):
-    """Magnitude and phase of all events as one padded series; SQL's sums over all pairs of samples and bins are too slow."""
+    """Magnitude and phase of all events as one padded series."""
     return rounded(signal.fourier(signal.padded_rows(_all(spark, d), "value", "position"), "value", "position"), 3)
 
 
-@query()
+@query(WHOLE + "SELECT k AS position, round(re / n, 5) + 0.0 AS value FROM f")
 def fourier_inverse(spark, d):
     return rounded(signal.fourier_inverse(signal.padded_rows(_all(spark, d), "value", "position"), "value", "position"), 5)
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from statloom.core import with_position
 from statloom.operators import aggregates as A
 from statloom.operators import frame, groups
+from statloom.operators.selection import joined
 from statloom.operators.series import sorted_indices
 from statloom.plans.registry import query, r, rounded
 from statloom.sources.files import table as T
@@ -22,13 +23,10 @@ SELECT event_type, count(value) AS n, round(avg(value), 6) + 0.0 AS mean, round(
 FROM events GROUP BY event_type
 """)
 def event_summary(spark, d):
-    q = F.percentile("value", [0.0, 0.25, 0.5, 0.75, 0.95, 0.99, 1.0])
-    at = lambda k: F.get(q, F.lit(k))
-    made = T(spark, d, "events").groupBy("event_type").agg(
-        F.count("value").alias("n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"), at(0).alias("low"), at(1).alias("q1"), at(2).alias("median"),
-        at(3).alias("q3"), at(4).alias("p95"), at(5).alias("p99"), at(6).alias("high"), (at(3) - at(1)).alias("iqr"),
-    )
-    return rounded(made)
+    events = T(spark, d, "events").select("event_type", "value")
+    shares = A.percentiles(events, "value", ("event_type",), low=0, q1=25, median=50, q3=75, p95=95, p99=99, high=100)
+    moments = events.groupBy("event_type").agg(F.count("value").alias("n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"))
+    return rounded(joined(moments, shares.withColumn("iqr", F.col("q3") - F.col("q1")), ("event_type",), "left"))
 
 
 @query("""
@@ -48,15 +46,14 @@ SELECT round(min(p_retailprice), 4) + 0.0 AS min, round(quantile_cont(p_retailpr
 FROM part
 """)
 def quartiles_part_price(spark, d):
-    return rounded(T(spark, d, "part").agg(A.quartiles("p_retailprice").alias("q")).select("q.*"), 4)
+    return rounded(A.quartiles_by(T(spark, d, "part"), "p_retailprice"), 4)
 
 
 @query("""
 SELECT l_returnflag, round(quantile_cont(l_extendedprice, 0.05), 4) + 0.0 AS p5, round(quantile_cont(l_extendedprice, 0.9), 4) + 0.0 AS p90, CAST(NULL AS DOUBLE) AS outside FROM lineitem GROUP BY l_returnflag
 """)
 def percentile_list(spark, d):
-    x = "l_extendedprice"
-    return rounded(T(spark, d, "lineitem").groupBy("l_returnflag").agg(A.percentile(x, 5).alias("p5"), A.percentile(x, 90).alias("p90"), A.percentile(x, 101).alias("outside")), 4)
+    return rounded(A.percentiles(T(spark, d, "lineitem"), "l_extendedprice", ("l_returnflag",), p5=5, p90=90, outside=101), 4)
 
 
 @query("SELECT event_type, round(stddev_samp(value) / sqrt(count(value)), 6) + 0.0 AS se FROM events GROUP BY event_type")
@@ -140,7 +137,7 @@ def product_of_nothing(spark, d):
 
 @query("SELECT round(quantile_cont(c_acctbal, 0.05), 4) + 0.0 AS lower, round(quantile_cont(c_acctbal, 0.95), 4) + 0.0 AS upper FROM customer")
 def percentile_ci(spark, d):
-    return rounded(T(spark, d, "customer").agg(A.percentile_interval("c_acctbal", 0.9).alias("c")).select("c.*"), 4)
+    return rounded(A.percentile_interval_of(T(spark, d, "customer"), "c_acctbal", 0.9), 4)
 
 
 @query("SELECT round(100 * (sum(CASE WHEN p_retailprice < 1500 THEN 1.0 ELSE 0 END) + sum(CASE WHEN p_retailprice = 1500 THEN 1.0 ELSE 0 END) / 2) / count(*), 6) + 0.0 AS rank FROM part")

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from statloom.functions import linalg, polynomials, text
 from statloom.functions import vectors as V
 from statloom.functions.fractions import fraction_column
 from statloom.operators import similarity
+from statloom.operators.inverted import InvertedFile
 from statloom.plans.registry import query, r, rounded
+from statloom.session import shared_dir
 from statloom.sources.files import table as T
 
 QUERY = [((k * 37) % 11 - 5) / 10 for k in range(64)]
@@ -247,3 +251,29 @@ def embedding_index(spark, d):
     index = similarity.EmbeddingIndex(entries, lambda t: F.array(F.length(t).cast("double"))).remove(3)
     hits = index.retrieve(QUERY, 5)
     return hits.select(F.explode("hits").alias("h"), "mean", "top_z").select("h.label", r("h.score", 5).alias("score"), r("mean", 5).alias("mean"), r("top_z", 4).alias("top_z"))
+
+
+HITS = f"""WITH e AS (SELECT vec_id, label, {E_} AS e, {NORM} AS n FROM embeddings), q AS (SELECT vec_id AS query, e AS q, n AS m FROM e WHERE vec_id % 20 = 0),
+s AS (SELECT query, vec_id, label, CASE WHEN n > 0 AND m > 0 THEN list_inner_product(e, q) / (n * m) ELSE 0 END AS score FROM q, e)"""
+
+
+def _asked(spark, d):
+    """The queries of a search, every twentieth row, and an index of all rows as an inverted file."""
+    vectors = _vectors(spark, d)
+    entries = vectors.select(F.col("vec_id").alias("position"), "label", F.col("embedding").alias("vector"))
+    index = InvertedFile.build(entries, f"{shared_dir(spark)}/statloom/inverted-{uuid.uuid4().hex}")
+    return index, vectors.where("vec_id % 20 = 0")
+
+
+@query(HITS + " SELECT query, row_number() OVER (PARTITION BY query ORDER BY round(score, 12) DESC, vec_id) AS rank, vec_id AS position, label, round(score, 5) + 0.0 AS score FROM s QUALIFY rank <= 10")
+def inverted_file_search(spark, d):
+    """The ten best entries of many queries at once, from the cells that can hold them."""
+    index, asked = _asked(spark, d)
+    return rounded(index.search(asked, "vec_id", "embedding", 10), 5)
+
+
+@query(HITS + " SELECT query, round(avg(score), 5) + 0.0 AS mean, round(stddev_samp(score), 5) + 0.0 AS deviation, round(max(score), 5) + 0.0 AS top_score, round((max(score) - avg(score)) / stddev_samp(score), 3) + 0.0 AS top_z FROM s GROUP BY query")
+def inverted_file_retrieval(spark, d):
+    """Mean, deviation and the best score of each query over all entries."""
+    index, asked = _asked(spark, d)
+    return rounded(index.retrieve(asked, "vec_id", "embedding", 3).drop("hits"), 5, top_z=3)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 
 from statloom.functions.polynomials import format_number
 from statloom.models.linear import RegressionSummary
-from statloom.operators.aggregates import summary_parts
+from statloom.operators.aggregates import summary
 
 SUMMARY_SHORT = ("count", "mean", "std", "min", "max")
 
@@ -92,6 +92,6 @@ def matrix(rows) -> str:
 
 def info(df: DataFrame, v: str, order: str, preview: int = 5) -> str:
     """Count, type, mean, deviation, range and the first items of a column."""
-    got = df.agg(*(c.alias(n) for n, c in summary_parts(v).items())).first()
+    got = summary(df, v).first()
     first = [format_number(float(r[0])) for r in df.orderBy(order).select(v).limit(preview).collect() if r[0] is not None]
     return f"count: {got['count']}\ntype: {df.schema[v].dataType.simpleString()}\nmean: {_cell(got['mean'])}, std: {_cell(got['std'])}, min: {_cell(got['min'])}, max: {_cell(got['max'])}\nitems: [{', '.join(first)}{', ...' if got['count'] > preview else ''}]"
