@@ -2,8 +2,9 @@
 
 Two smoothed variable-order Markov models (orders 0 to ORDER, interpolated by Witten and Bell's method) are trained on accepted
 and on rejected URLs; a URL is allowed if the difference of its log-likelihoods, divided by its length, reaches a threshold that
-was calibrated on URLs held out of the training. All labelled URLs count: n-grams are counted in each task and summed, and the
-tables of the models grow with the number of different n-grams.
+was calibrated on URLs held out of the training. All labelled URLs count: n-grams are counted in each task by their places in the models'
+tables, and summed in Spark by place. The tables have a fixed number of places (PLACES), whatever the number of URLs: 85 MB for both models,
+and 2 million rows at most at a time on the driver. n-grams that share a place share its counts.
 
 Rules: (host, path) pairs written ``host/path``. A rule fits its host and all its subdomains, if the URL's path starts with the
 rule's; of the rules that fit, the longest decides. Host: from after the first ``://`` up to ``/``, ``?``, ``#`` or the end, A-Z
@@ -15,7 +16,7 @@ ratio is 0 and all is allowed. Repeated rows are judged alike. Further columns a
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -27,8 +28,8 @@ from pyspark.sql import functions as F
 from statloom.llm.shared import segment_sum, stored, text_parts, utf8
 from statloom.llm.words import U64, mix
 
-#: The highest order, and the least bits of a table's index.
-ORDER, BITS = 5, 16
+#: The highest order; bits of a place in a small model's tables, and of each order in a fitted model's.
+ORDER, BITS, PLACES = 5, 16, (16, 16, 18, 20, 20, 20)
 #: n-grams that a task holds before it hands on their counts; the width of a bin of ratios.
 HELD, BIN = 1 << 20, 1 / (1 << 14)
 #: Terms in a host that list keepers block, the seed of the rejected URLs beside what rules block.
@@ -108,9 +109,12 @@ class MarkovModel:
     def put(self, k: int, bits: int, contexts: np.ndarray, joined: np.ndarray, n: np.ndarray) -> None:
         """The tables of order k, of 2 ** bits places, from the counts of n-grams by their hashes."""
         a, b = (contexts >> U64(64 - bits)).astype(np.int64), (joined >> U64(64 - bits)).astype(np.int64)
-        self.contexts[k] = np.bincount(a, n, 1 << bits).astype(np.float32)
-        self.joined[k] = np.bincount(b, n, 1 << bits).astype(np.float32)
-        self.kinds[k] = np.bincount(np.unique(a << bits | b) >> bits, minlength=1 << bits).astype(np.float32)
+        pairs = np.unique(a << bits | b) >> bits
+        self.set(k, bits, (a, n), (pairs, np.ones(len(pairs))), (b, n))
+
+    def set(self, k: int, bits: int, contexts: tuple, kinds: tuple, joined: tuple) -> None:
+        """The tables of order k from (places, numbers) of each."""
+        self.contexts[k], self.kinds[k], self.joined[k] = (np.bincount(at, n, 1 << bits).astype(np.float32) for at, n in (contexts, kinds, joined))
 
     def log_likelihood(self, contexts: np.ndarray, joined: np.ndarray, at: np.ndarray) -> np.ndarray:
         p = np.full(contexts.shape[1], 1 / 257)
@@ -144,28 +148,32 @@ def _summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return keys[:, start], np.add.reduceat(n, start)
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """How often each n-gram is in the URLs of each label; part is twice the order, and one more for accepted URLs."""
+def _counter(places: tuple[int, ...], most: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """How often each n-gram, by its places, is in the URLs of each label; part is twice the order, and one more for accepted URLs."""
     kinds = ["part", "context", "joined", "n"]
-    keys, n = np.zeros((3, 0), np.int64), np.zeros(0, np.int64)
-    for batch in batches:
-        for part in text_parts(batch, "url"):
-            for label in (False, True):
-                contexts, joined, _ = _hashes(part.column("url").filter(pc.equal(part.column("accepted"), label)))
-                if not contexts.shape[1]:
-                    continue
-                for k in range(ORDER + 1):
-                    own = np.array([np.full(contexts.shape[1], 2 * k + label), contexts[k].view(np.int64), joined[k].view(np.int64)])
-                    own, m = _summed(own, np.ones(own.shape[1], np.int64))
-                    keys, n = np.concatenate([keys, own], 1), np.concatenate([n, m])
-            if len(n) > HELD:
-                keys, n = _summed(keys, n)
-                if len(n) > HELD // 2:
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in (*keys, n)], kinds)
-                    keys, n = keys[:, :0], n[:0]
-    if len(n):
-        keys, n = _summed(keys, n)
-        yield pa.RecordBatch.from_arrays([pa.array(c) for c in (*keys, n)], kinds)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, n = np.zeros((3, 0), np.int64), np.zeros(0, np.int64)
+        for batch in batches:
+            for part in text_parts(batch, "url"):
+                for label in (False, True):
+                    contexts, joined, _ = _codes(part.column("url").filter(pc.equal(part.column("accepted"), label)), places)
+                    if not contexts.shape[1]:
+                        continue
+                    for k in range(ORDER + 1):
+                        own = np.array([np.full(contexts.shape[1], 2 * k + label), contexts[k], joined[k]], np.int64)
+                        own, m = _summed(own, np.ones(own.shape[1], np.int64))
+                        keys, n = np.concatenate([keys, own], 1), np.concatenate([n, m])
+                if len(n) > most:
+                    keys, n = _summed(keys, n)
+                    if len(n) > most // 2:
+                        yield pa.RecordBatch.from_arrays([pa.array(c) for c in (*keys, n)], kinds)
+                        keys, n = keys[:, :0], n[:0]
+        if len(n):
+            keys, n = _summed(keys, n)
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (*keys, n)], kinds)
+
+    return count
 
 
 def fit(labelled: DataFrame) -> UrlModel:
@@ -176,18 +184,19 @@ def fit(labelled: DataFrame) -> UrlModel:
     if len(labelled.groupBy("accepted").agg(F.count("*")).collect()) < 2:
         return UrlModel()
     held = F.pmod(F.xxhash64("url", F.lit("held")), F.lit(5)) == 0
-    grams = labelled.where(~held).mapInArrow(_count, "part long, context long, joined long, n long").groupBy("part", "context", "joined").agg(F.sum("n").alias("n"))
+    grams = labelled.where(~held).mapInArrow(_counter(PLACES, HELD), "part long, context long, joined long, n long").groupBy("part", "context", "joined").agg(F.sum("n").alias("n"))
     grams = stored(grams, "url-grams")
-    model = UrlModel(MarkovModel(), MarkovModel())
-    bits = []
-    for k in range(ORDER + 1):
-        got = grams.where(F.col("part").isin(2 * k, 2 * k + 1)).toArrow()
-        part, context, joined, n = (got[c].to_numpy() for c in ("part", "context", "joined", "n"))
-        bits.append(max(BITS, int(np.ceil(np.log2(max(1, len(n))))) + 2))
-        for label, own in ((1, model.accepted), (0, model.rejected)):
-            some = part == 2 * k + label
-            own.put(k, bits[k], context[some].view(U64), joined[some].view(U64), n[some])
-    model.bits = tuple(bits)
+    contexts = grams.groupBy("part", F.col("context").alias("at")).agg(F.sum("n").alias("n"), F.count("*").alias("kinds"))
+    joined = grams.groupBy("part", F.col("joined").alias("at")).agg(F.sum("n").alias("n"), F.lit(0).cast("long").alias("kinds"))
+    tables = stored(contexts.unionByName(joined), "url-tables")
+    model = UrlModel(MarkovModel(), MarkovModel(), bits=PLACES)
+    for orders in ((0, 1, 2), (3,), (4,), (5,)):  # what the driver holds at a time is bounded by the places of these
+        got = tables.where(F.col("part").isin(*(2 * k + label for k in orders for label in (0, 1)))).toArrow()
+        part, at, n, kinds = (got[c].to_numpy() for c in ("part", "at", "n", "kinds"))
+        for k in orders:
+            for label, own in ((1, model.accepted), (0, model.rejected)):
+                context, join = (part == 2 * k + label) & (kinds > 0), (part == 2 * k + label) & (kinds == 0)
+                own.set(k, PLACES[k], (at[context], n[context]), (at[context], kinds[context]), (at[join], n[join]))
     model.threshold = _threshold(labelled.where(held), model)
     return model
 

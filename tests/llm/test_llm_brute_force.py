@@ -293,6 +293,34 @@ def test_url_model_counts_all_urls(spark, monkeypatch):
             assert np.array_equal(own.joined[k], np.bincount(joined[k], minlength=1 << model.bits[k]))
 
 
+def test_url_model_beyond_its_places(spark, monkeypatch):
+    """More n-grams than places: tables keep their size, all are counted, and hosts of rejected terms are still told apart."""
+    monkeypatch.setattr(url_filter, "PLACES", (9, 9, 10, 10, 10, 10))
+    words = F.translate(F.hex(F.xxhash64("id")), "0123456789ABCDEF", "ghijklmnopqrstuv")
+    rows = spark.range(4000).select(F.concat(F.when(F.col("id") % 4 == 0, F.lit("https://casino.org/")).otherwise(F.lit("https://news.org/")), words).alias("url"), (F.col("id") % 4 != 0).alias("accepted"))
+    model = url_filter.fit(rows)
+    trained = rows.where(F.pmod(F.xxhash64("url", F.lit("held")), F.lit(5)) != 0).groupBy("accepted").agg(F.sum(F.length("url") + 1)).collect()
+    for label, characters in trained:
+        own = model.accepted if label else model.rejected
+        assert [len(t) for t in own.contexts] == [1 << b for b in url_filter.PLACES]
+        assert all(t.sum() == characters for t in (*own.contexts, *own.joined))
+    assert (model.ratio(pa.array([f"https://casino.org/{k}xyz" for k in range(50)])) < model.threshold).mean() > 0.9
+
+
+@pytest.mark.parametrize("left_out", ["pills", "casino", "spam", "bets", "ads"])
+def test_url_model_knows_hosts_of_terms_it_was_not_told(spark, data, left_out):
+    """Leave one term out of the rejected ones: URLs of its hosts are blocked all the same."""
+    pages = spark.read.parquet(f"{data.replace('0.001', '0.1')}/pages.parquet").select("page_id", "url")
+    terms = tuple(t for t in url_filter.REJECTED_TERMS if t != left_out)
+    labelled = url_filter.labelled_by(pages, queries.URL_RULES)
+    of_term = F.exists(F.split(F.regexp_extract("url", "://([^/?#]*)", 1), r"[.\-_]"), lambda part: part == left_out)
+    asked = [r["url"] for r in labelled.where(of_term).collect()]
+    if not asked:
+        pytest.skip("no such host")
+    model = url_filter.fit(url_filter.labelled_by(pages, queries.URL_RULES, terms).where(~of_term))
+    assert (model.ratio(pa.array(asked)) < model.threshold).mean() >= 0.75
+
+
 def test_url_model(spark):
     good = [f"https://news{k}.example.org/story/{k * 7}" for k in range(300)]
     bad = [f"http://win-casino{k % 9}.example.org/bonus/{k}" for k in range(300)]
