@@ -17,7 +17,7 @@ from statloom.models.kmeans import KMeans, initial_rows
 from statloom.models.linear import Diverged, GradientDescent, LinearRegression, LogisticRegression, Ridge
 from statloom.models.neighbours import KNearestNeighbours
 from statloom.models.scaling import StandardScaler
-from statloom.operators import aggregates as A
+from statloom.operators import aggregates as A, cells
 from statloom.operators import correlation, frame, groups, histograms, metrics, sampling, series, signal, similarity
 
 
@@ -233,8 +233,8 @@ class TestVectors:
 
     @pytest.mark.parametrize("threshold", [0.95, 0.6])
     def test_duplicates_of_many_components(self, spark, monkeypatch, threshold):
-        """Two directions would compare nearly all pairs of these vectors: they are compared in blocks, without a join of pairs."""
-        monkeypatch.setattr(similarity, "BLOCK_BYTES", 40_000)
+        """Cells rule out few pairs of these vectors: they are compared in blocks, without a join of pairs."""
+        monkeypatch.setattr(cells, "BLOCK", 50)
         random = np.random.default_rng(5)
         x = random.standard_normal((300, 64))
         x[150:] = x[:150] + random.uniform(0, 1, (150, 1)) * random.standard_normal((150, 64))
