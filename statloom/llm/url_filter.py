@@ -3,8 +3,8 @@
 Two smoothed variable-order Markov models (orders 0 to ORDER, interpolated by Witten and Bell's method) are trained on accepted
 and on rejected URLs; a URL is allowed if the difference of its log-likelihoods, divided by its length, reaches a threshold that
 was calibrated on URLs held out of the training. All labelled URLs count: n-grams are counted in each task by their places in the models'
-tables, and summed in Spark by place. The tables have a fixed number of places (PLACES), whatever the number of URLs: 85 MB for both models,
-and 2 million rows at most at a time on the driver. n-grams that share a place share its counts.
+tables, and summed in Spark by place. The tables have a fixed number of places (PLACES), whatever the number of URLs: 33 MB for both models,
+broadcast once, and 2 million rows at most at a time on the driver. n-grams that share a place share its counts.
 
 Rules: (host, path) pairs written ``host/path``. A rule fits its host and all its subdomains, if the URL's path starts with the
 rule's; of the rules that fit, the longest decides. Host: from after the first ``://`` up to ``/``, ``?``, ``#`` or the end, A-Z
@@ -22,6 +22,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,7 +30,7 @@ from statloom.llm.shared import segment_sum, stored, text_parts, utf8
 from statloom.llm.words import U64, mix
 
 #: The highest order; bits of a place in a small model's tables, and of each order in a fitted model's.
-ORDER, BITS, PLACES = 5, 16, (16, 16, 18, 20, 20, 20)
+ORDER, BITS, PLACES = 5, 16, (12, 16, 18, 18, 19, 19)
 #: n-grams that a task holds before it hands on their counts; the width of a bin of ratios.
 HELD, BIN = 1 << 20, 1 / (1 << 14)
 #: Terms in a host that list keepers block, the seed of the rejected URLs beside what rules block.
@@ -115,6 +116,7 @@ class MarkovModel:
     def set(self, k: int, bits: int, contexts: tuple, kinds: tuple, joined: tuple) -> None:
         """The tables of order k from (places, numbers) of each."""
         self.contexts[k], self.kinds[k], self.joined[k] = (np.bincount(at, n, 1 << bits).astype(np.float32) for at, n in (contexts, kinds, joined))
+        self.kinds[k] = np.minimum(self.kinds[k], 65535).astype(np.uint16)
 
     def log_likelihood(self, contexts: np.ndarray, joined: np.ndarray, at: np.ndarray) -> np.ndarray:
         p = np.full(contexts.shape[1], 1 / 257)
@@ -130,6 +132,7 @@ class UrlModel:
     rejected: MarkovModel | None = None
     threshold: float = 0.0
     bits: tuple[int, ...] = (BITS,) * (ORDER + 1)
+    shipped: Broadcast | None = None  # of a model with the same tables
 
     def ratio(self, column: pa.Array) -> np.ndarray:
         if self.accepted is None or self.rejected is None:
@@ -197,14 +200,14 @@ def fit(labelled: DataFrame) -> UrlModel:
             for label, own in ((1, model.accepted), (0, model.rejected)):
                 context, join = (part == 2 * k + label) & (kinds > 0), (part == 2 * k + label) & (kinds == 0)
                 own.set(k, PLACES[k], (at[context], n[context]), (at[context], kinds[context]), (at[join], n[join]))
-    model.threshold = _threshold(labelled.where(held), model)
+    model.shipped = labelled.sparkSession.sparkContext.broadcast(UrlModel(model.accepted, model.rejected, bits=PLACES))
+    model.threshold = _threshold(labelled.where(held), model.shipped)
     return model
 
 
-def _threshold(held: DataFrame, model: UrlModel) -> float:
+def _threshold(held: DataFrame, shipped: Broadcast) -> float:
     """The threshold of all held-out URLs, from counts and extremes of their ratios in bins: all that is counted is exact, of the
     ratios in one bin of a label the least is tried."""
-    shipped = held.sparkSession.sparkContext.broadcast(model)
 
     def ratios(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -245,14 +248,13 @@ def judge(pages: DataFrame, rules: dict[str, str], model: UrlModel) -> DataFrame
     judged = with_host_path(pages).withColumn("rule", rule_column(rules)).withColumn("verdict", rule_verdict(rules))
     keep = [c for c in judged.columns if c not in ("ratio", "verdict")]
     schema = judged.select(*keep).schema.add("ratio", "double").add("verdict", "string")
-    shipped = pages.sparkSession.sparkContext.broadcast(model)
+    shipped, threshold = model.shipped or pages.sparkSession.sparkContext.broadcast(model), model.threshold
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shipped.value
         for batch in batches:
             for part in text_parts(batch, "url"):
-                ratio = model.ratio(part.column("url"))
-                verdict = pc.coalesce(part.column("verdict"), pa.array(np.where(ratio >= model.threshold, "allow", "block"), pa.string()))
+                ratio = shipped.value.ratio(part.column("url"))
+                verdict = pc.coalesce(part.column("verdict"), pa.array(np.where(ratio >= threshold, "allow", "block"), pa.string()))
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(ratio), verdict], [*keep, "ratio", "verdict"])
 
     return judged.select(*keep, "verdict").mapInArrow(run, schema)
