@@ -5,9 +5,10 @@ meeting pair are compared a few at a time, and the pair is dropped once the post
 threshold falls below a tolerance. What remains is verified exactly on the 5-gram sets. Pairs of a hot band or group are never expanded into
 rows: it is cut into blocks, each pair of blocks is one task's work, and only counts and spanning links leave it.
 
-What candidates join is verified together up to GIANT members. In a larger group, which chains of weak links can make as large as the
-corpus, only pairs that meet in a band and outlast pruning are verified, each in the first band that it shares: as stars where they are few
-for their members, else block by block.
+In groups of any size the pairs that meet in a band and outlast pruning are verified, and no others, so a pair's fate doesn't depend on the
+corpus around it. What candidates join is verified together up to GIANT members. A larger group, which chains of weak links can make as large
+as the corpus, is taken apart: each pair is verified in the first band that it shares, as stars where they are few for their members, else
+block by block. Both give the same links.
 
 Result, one row per document: ``class_id`` (least doc_id that verified links lead to), ``n_links`` (other documents at the
 threshold or above, copies included) and ``copies`` (documents with the same 5-gram set).
@@ -42,7 +43,7 @@ BANDS = VALUES // ROWS
 STEP = 16
 #: The bound of the posterior at each step; over all steps a pair at THRESHOLD is lost with probability 9.1e-7.
 TOLERANCE = 1e-7
-#: Members and shingles of a block: two blocks are one task's work. Members of a group of which all pairs are looked at.
+#: Members and shingles of a block: two blocks are one task's work. Members of a group that is verified block by block.
 BLOCK = 2048
 BLOCK_SHINGLES = 1 << 20
 GIANT = 8192
@@ -222,7 +223,7 @@ def _verify(rows: pa.Table) -> pa.Table:
 
 
 def _counted(a: pa.Table, b: pa.Table, same: bool, band: int | None) -> pa.Table:
-    """id, links and root of the pairs of a and b, or within a; of those that meet first in a band if one is given."""
+    """id, links and root of the pairs of a and b, or within a, that meet in a band: first in the given one, if one is given."""
     va, vb = _matrix(a.column("values"), np.uint16, VALUES), _matrix(b.column("values"), np.uint16, VALUES)
     sa = [np.frombuffer(x.as_buffer(), U64) for x in a.column("shingles")]
     sb = sa if same else [np.frombuffer(x.as_buffer(), U64) for x in b.column("shingles")]
@@ -230,13 +231,16 @@ def _counted(a: pa.Table, b: pa.Table, same: bool, band: int | None) -> pa.Table
     na, nb = a.column("n").to_numpy().astype(np.int64), b.column("n").to_numpy().astype(np.int64)
     ids = a.column("id").to_numpy() if same else np.concatenate([a.column("id").to_numpy(), b.column("id").to_numpy()])
     shift = 0 if same else len(sa)
-    ha, hb = (_band_hashes(v.reshape(-1, BANDS, ROWS)) for v in (va, vb)) if band is not None else (None, None)
+    ha, hb = (_band_hashes(v.reshape(-1, BANDS, ROWS)) for v in (va, vb))
     links, forest = np.zeros(len(ids), np.int64), _Forest(len(ids))
     shared = _overlaps(sa, sb)
     for i, j in _upper(len(sa), len(sb), same):
         if band is not None:
             i, j = _first_shared(ha, hb, band, i, j)
         i, j = prune(va, vb, i, j)
+        if band is None:
+            met = _any_shared(ha, hb, i, j)
+            i, j = i[met], j[met]
         both = shared(i, j)
         close = both * (1 + THRESHOLD) >= THRESHOLD * (na[i] + nb[j]) - 1e-9
         i, j = i[close], j[close]
@@ -331,6 +335,15 @@ def _first_shared(a: np.ndarray, b: np.ndarray, band: int, i: np.ndarray, j: np.
     return i, j
 
 
+def _any_shared(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Whether the rows a[i], b[j] of band hashes have a band in common."""
+    out = np.zeros(len(i), bool)
+    for k in range(0, len(i), 1 << 16):
+        s = slice(k, k + (1 << 16))
+        out[s] = (a[i[s]] == b[j[s]]).any(1)
+    return out
+
+
 def _cells(rows: pa.Table) -> pa.Table:
     """Pairs of two blocks of a band that outlast pruning, and meet first in this band, as cells: the pairs between the members of
     side 0 and those of side 1, or among those of side 2.
