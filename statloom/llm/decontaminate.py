@@ -7,8 +7,9 @@ being compared with those of the least size that holds it, and overlap by three
 subsequence of its words and the passage's, and by an answer check: at least half of the answer's words (those of ``answer`` if the items have
 one, else the passage's rarest fifth) are in the matched text. Paraphrases that keep most words in order are found as well as copies.
 
-A window and a passage are compared unless the text that they would be verified on has too few words of the passage or of its answer to pass,
-which loses nothing. The benchmark is taken in blocks of ITEMS_IN_BLOCK passages, each factored on its own. Whatever their number, the
+Candidates come from the latent space alone: the vectors of all windows are multiplied with those of all passages of their size, and pairs whose
+cosine reaches CANDIDATE go on. Only windows whose surrounding text has fewer known words than any passage needs have no vector. A candidate is
+left out before it is verified if its text has too few words of the answer or of the passage to pass, which loses nothing. The benchmark is taken in blocks of ITEMS_IN_BLOCK passages, each factored on its own. Whatever their number, the
 documents are read twice: once for the frequencies of all words of passages, and once for the search, in which a task holds some
 documents and goes through the blocks, one of them in its memory at a time.
 
@@ -36,8 +37,8 @@ PASSAGE, SHORT, LEAST_WINDOW = 64, 8, 16
 RANK, OVERSAMPLE, POWER_STEPS = 64, 8, 2
 ITEMS_IN_BLOCK = 2000
 CANDIDATE, LEAST_LCS, LEAST_ANSWER = 0.4, 0.6, 0.5
-#: Windows that are looked at at once, and bytes of text that a task holds while it goes through several blocks.
-WINDOWS, HELD_BYTES = 4096, 1 << 25
+#: Windows that are looked at at once, and bytes of text that a task holds while it goes through several blocks; a term in more answers is common.
+WINDOWS, HELD_BYTES, COMMON = 4096, 1 << 25, 64
 SCHEMA = "item_id long, doc_id long, passage int, start_word long, cosine double, lcs double, answer double"
 
 
@@ -171,6 +172,20 @@ def _ranges(first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return np.repeat(first - offsets[:-1], last - first) + np.arange(offsets[-1]), offsets
 
 
+def _summed_blocks(take, end: int, at: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of ``size`` neighbours (fewer at a row's end) of what take gives for places, rows of which start at ``at``; it gives zeros
+    for place end. A row of zeros follows the sums. And where each row's sums start."""
+    blocks = -(-np.diff(at) // size)
+    first = np.concatenate([[0], np.cumsum(blocks)])
+    row = np.repeat(np.arange(len(blocks)), blocks)
+    begin = at[row] + (np.arange(first[-1]) - first[row]) * size
+    last = at[row + 1]
+    out = take(np.append(np.minimum(begin, end), end))
+    for k in range(1, size):
+        out[:-1] += take(np.where(begin + k < last, begin + k, end))
+    return out, first
+
+
 @dataclass
 class Index:
     """What the search needs of a block of passages; everything is as large as the block, whatever the documents."""
@@ -206,8 +221,15 @@ class Index:
         found = term[known]  # the words that the latent space knows, and how many there are before each word
         before = np.concatenate([[0], np.cumsum(known)])
         length = np.diff(at)
-        for size, (passages, _) in self.by_window.items():
-            step = size // 4
+        answers = self._answer_places(found)
+        below = step = 0
+        for size, (passages, vectors) in sorted(self.by_window.items()):
+            below, step = step, size // 4
+            if below:  # a block is made of those of the size before
+                lower, first = sums
+                sums = _summed_blocks(lower.__getitem__, len(lower) - 1, first, step // below)
+            else:
+                sums = self._word_blocks(term, at, step)
             count = np.where(length > 0, 1 + np.maximum(0, -(-(length - size) // step)), 0)
             row = np.repeat(np.arange(len(length)), count)
             k = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
@@ -216,52 +238,80 @@ class Index:
             low, high = np.maximum(at[row], start - size // 2), np.minimum(at[row + 1], end + size // 2)
             rich = np.flatnonzero((before[high] - before[low] >= self.need[passages].min()) & (before[end] > before[start]))
             for some in np.split(rich, range(WINDOWS, len(rich), WINDOWS)):
-                for i, j, cosine in self._candidates(size, found, *(before[x[some]] for x in (start, end, low, high))):
-                    w, p = some[i], passages[j]
-                    if checked := self.verify(p, words[low[w] : high[w]]):
-                        yield row[w], p, start[w] - at[row[w]], cosine, *checked
-
-    @cached_property
-    def counts(self) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-        """By window size: how often each term is in each passage's answer, and whether it is in the passage. Each executor makes its own."""
-        out = {}
-        for size, (passages, _) in self.by_window.items():
-            out[size] = (np.zeros((len(self.vocabulary.terms), len(passages)), np.uint16), np.zeros((len(self.vocabulary.terms), len(passages)), bool))
-            for j, p in enumerate(passages):
-                term = self.vocabulary.find(self.answers[p])
-                np.add.at(out[size][0][:, j], term[term >= 0], 1)
-                out[size][1][self.vocabulary.find(self.words[p]), j] = True
+                projected = self._projected(found, before, at, sums, row[some], k[some], start[some], end[some], size)
+                norm = np.maximum(np.sqrt(np.square(projected).sum(1, keepdims=True)), 1e-12)
+                cosine = projected @ vectors
+                i, j = np.nonzero(cosine >= CANDIDATE * norm)
+                cosine = cosine[i, j] / norm[i, 0]
+                first, last = before[low[some[i]]], before[high[some[i]]]
+                stays = self._enough(found, answers, passages[j], first, last)
+                for x, p, c in zip(some[i[stays]], passages[j[stays]], cosine[stays].tolist()):
+                    if checked := self.verify(p, words[low[x] : high[x]]):
+                        yield row[x], p, start[x] - at[row[x]], c, *checked
+
+    def _word_blocks(self, term: np.ndarray, at: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """Sums of the latent vectors of each block of ``size`` words, counted from where its row starts, with zeros at the end; and the
+        first block of each row."""
+        none = np.append(self.weighted, np.zeros((1, self.weighted.shape[1]), np.float32), axis=0)
+        return _summed_blocks(lambda place: none[np.append(term, -1)[place]], len(term), at, size)
+
+    def _projected(self, found, before, at, sums, row, k, start, end, size) -> np.ndarray:
+        """The latent vectors of windows: sums of four blocks, but for those at the end of a row, which needn't begin where a block does."""
+        blocks, first = sums
+        out = np.zeros((len(row), self.weighted.shape[1]), np.float32)
+        whole = (start == at[row] + k * (size // 4)) & (end - start == size)
+        begin = first[row[whole]] + k[whole]
+        out[whole] = blocks[begin] + blocks[begin + 1] + blocks[begin + 2] + blocks[begin + 3]
+        other = np.flatnonzero(~whole)
+        places, offsets = _ranges(before[start[other]], before[end[other]])
+        out[other] = segment_sum(self.weighted[found[places]], offsets)
         return out
 
-    def _candidates(self, size: int, found: np.ndarray, first: np.ndarray, last: np.ndarray, low: np.ndarray, high: np.ndarray) -> Iterator[tuple[int, int, float]]:
-        """Window, passage and cosine of those that reach CANDIDATE and whose text has as many words of the passage and its answer as it needs.
+    @cached_property
+    def answer_terms(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Passages by term of their answer, how often the answer has it, and where each term's begin; and which terms are so COMMON that any
+        of their places counts for every passage. Each executor makes its own."""
+        term = [self.vocabulary.find(a) for a in self.answers]
+        passage = np.repeat(np.arange(len(term)), [len(t) for t in term])
+        term = np.concatenate(term) if term else np.zeros(0, np.int64)
+        passage, term = passage[term >= 0], term[term >= 0]
+        pair, times = np.unique(term * max(1, len(self.answers)) + passage, return_counts=True)
+        term, passage = pair // max(1, len(self.answers)), pair % max(1, len(self.answers))
+        begin = np.searchsorted(term, np.arange(len(self.vocabulary.terms) + 1))
+        common = np.diff(begin) > COMMON
+        most = np.zeros(len(common), np.int64)
+        np.maximum.at(most, term, times)
+        return passage, times, begin, np.where(common, most, 0)
+
+    def _answer_places(self, found: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Places of answer words in the known words found, as sorted numbers (passage, place) with running sums of how often the
+        answer has them; and running sums of the common terms' places."""
+        passage, times, begin, common = self.answer_terms
+        degree = np.where(common[found] > 0, 0, begin[found + 1] - begin[found])
+        at, _ = _ranges(begin[found], begin[found] + degree)
+        key = passage[at] * (len(found) + 1) + np.repeat(np.arange(len(found)), degree)
+        order = np.argsort(key)
+        return key[order], np.concatenate([[0], np.cumsum(times[at][order])]), np.concatenate([[0], np.cumsum(common[found])])
+
+    def _enough(self, found: np.ndarray, answers: tuple, passage: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """Which of the pairs of a passage and a text, a range of the known words found, have as many words of both as they need."""
+        key, upto, common = answers
+        own = passage * (len(found) + 1)
+        total = upto[np.searchsorted(key, own + last)] - upto[np.searchsorted(key, own + first)] + common[last] - common[first]
+        stays = np.flatnonzero(total >= self.answer_need[passage])
+        enough = np.zeros(len(stays), bool)
+        for k in range(0, len(stays), WINDOWS):
+            some = stays[k : k + WINDOWS]
+            at, offsets = _ranges(first[some], last[some])
+            wanted = np.repeat(passage[some], np.diff(offsets)) * len(self.vocabulary.terms) + found[at]
+            place = np.minimum(np.searchsorted(self.members, wanted), len(self.members) - 1)
+            enough[k : k + WINDOWS] = segment_sum((self.members[place] == wanted).astype(np.int64), offsets) >= self.need[passage[some]]
+        return stays[enough]
 
-        Windows, and the texts around them, are ranges of the known words found.
-        """
-        if not len(first):
-            return
-        (passages, vectors), (answers, members) = self.by_window[size], self.counts[size]
-        some = np.unique(_ranges(low, high)[0])
-        some = some[answers.any(1)[found[some]]]  # the words of answers: sums over texts are differences of running sums
-        total = np.zeros((len(some) + 1, len(passages)), np.int32)
-        np.cumsum(answers[found[some]], axis=0, out=total[1:])
-        window, passage = np.nonzero(total[np.searchsorted(some, high)] - total[np.searchsorted(some, low)] >= self.answer_need[passages])
-        enough = np.zeros(len(window), bool)
-        for k in range(0, len(window), WINDOWS):
-            w, j = window[k : k + WINDOWS], passage[k : k + WINDOWS]
-            at, offsets = _ranges(low[w], high[w])
-            inside = members[found[at], np.repeat(j, np.diff(offsets))]
-            enough[k : k + WINDOWS] = segment_sum(inside.astype(np.int32), offsets) >= self.need[passages[j]]
-        window, passage = window[enough], passage[enough]
-        kept, of = np.unique(window, return_inverse=True)
-        for k in range(0, len(kept), 1024):
-            at, offsets = _ranges(first[kept[k : k + 1024]], last[kept[k : k + 1024]])
-            projected = segment_sum(self.weighted[found[at]], offsets)
-            cosine = (projected @ vectors) / np.maximum(np.sqrt((projected**2).sum(1, keepdims=True)), 1e-12)
-            pairs = slice(np.searchsorted(of, k), np.searchsorted(of, k + 1024))
-            for i, j, c in zip(window[pairs], passage[pairs], cosine[of[pairs] - k, passage[pairs]].tolist()):
-                if c >= CANDIDATE:
-                    yield i, j, c
+    @cached_property
+    def members(self) -> np.ndarray:
+        """The words of all passages as sorted numbers (passage, term)."""
+        return np.unique(np.concatenate([p * len(self.vocabulary.terms) + self.vocabulary.find(w) for p, w in enumerate(self.words)]))
 
     def verify(self, passage: int, text: np.ndarray) -> tuple[float, float] | None:
         words, answer = self.words[passage], self.answers[passage]

@@ -421,3 +421,122 @@ def test_a_shared_folder_is_asked_for_on_a_cluster(monkeypatch):
 
 def test_empty_batches_give_no_words():
     assert url_filter._codes(pa.array([], pa.string()))[0].shape[1] == 0
+
+
+def test_near_duplicates_have_one_rule_for_groups_of_any_size():
+    """A pair that outlasts pruning and is similar enough, but meets in no band, is no link in a small group, as it is none in a large one."""
+    random = np.random.default_rng(8)
+    values = random.integers(0, 1 << 16, (1, near_duplicates.VALUES), dtype=np.uint16)
+    apart = values.copy()
+    apart[0, :: near_duplicates.ROWS] += 1  # one value of every band
+    met = apart.copy()
+    met[0, 0] = values[0, 0]
+    shingles = np.sort(random.integers(0, 1 << 62, 100).astype(np.uint64)).tobytes()
+
+    def rows(id, v):
+        return pa.table({"id": [id], "values": [v.tobytes()], "shingles": pa.array([shingles], pa.binary()), "n": pa.array([100], pa.int32()), "copies": [1]})
+
+    assert near_duplicates.prune(values, apart, np.array([0]), np.array([0]))[0].tolist() == [0]
+    for other, links in ((apart, [0, 0]), (met, [1, 1])):
+        found = near_duplicates._counted(rows(1, values), rows(2, other), False, None)
+        assert found.column("links").to_pylist() == links
+    band = int(near_duplicates._band_hashes(values.reshape(-1, near_duplicates.BANDS, near_duplicates.ROWS))[0, 0])
+    assert near_duplicates._counted(rows(1, values), rows(2, met), False, band).column("links").to_pylist() == [1, 1]
+
+
+def _passage_index(count, random, vocabulary, share, answers=None):
+    """An index of passages of Zipf words, with a latent space of their TF-IDF matrix."""
+    words = [vocabulary[random.choice(len(vocabulary), random.integers(12, 64), p=share)] for _ in range(count)]
+    known = decontaminate.Vocabulary(np.unique(np.concatenate(words)))
+    seen = np.zeros(len(known.terms))
+    for _ in range(500):
+        term = np.unique(known.find(vocabulary[random.choice(len(vocabulary), 300, p=share)]))
+        seen[term[term >= 0]] += 1
+    idf = np.log(502 / (seen + 1))
+    rows = np.zeros((count, len(known.terms)))
+    for k, w in enumerate(words):
+        term, times = np.unique(known.find(w), return_counts=True)
+        rows[k, term] = times * idf[term]
+    rows /= np.linalg.norm(rows, axis=1, keepdims=True)
+    value, vector = np.linalg.eigh(rows @ rows.T)  # the singular vectors by way of the smaller side
+    value, vector = value[-decontaminate.RANK :], vector[:, -decontaminate.RANK :]
+    latent = rows.T @ vector / np.sqrt(np.maximum(value, 1e-12))
+    rare = [s[np.lexsort([s, -idf[known.find(s)]])][: -(-len(s) // 5)] for s in map(np.unique, words)]
+    return decontaminate.Index(known, idf, latent, np.arange(count), np.zeros(count, int), words, answers or rare)
+
+
+def _zipf(n):
+    share = 1 / np.arange(1, n + 1)
+    return np.array([hashed(f"z{k}".encode()) for k in range(n)], np.uint64), share / share.sum()
+
+
+@pytest.mark.parametrize("common", [decontaminate.COMMON, 2])
+def test_latent_search_against_all_pairs(monkeypatch, common):
+    """Every window with every passage, multiplied one by one: candidates are those whose cosine reaches the cut, and nothing but verification takes them away."""
+    monkeypatch.setattr(decontaminate, "COMMON", common)
+    random = np.random.default_rng(common)
+    vocabulary, share = _zipf(3000)
+    index = _passage_index(40, random, vocabulary, share)
+    texts = []
+    for k in range(60):
+        text = vocabulary[random.choice(3000, random.integers(0, 90), p=share)]
+        if k % 3:
+            own = index.words[k % 40]
+            text = np.concatenate([text[:30], np.where(random.random(len(own)) < 0.8, own, vocabulary[random.choice(3000, len(own), p=share)]), text[30:]])
+        texts.append(text)
+    at = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    found = {(int(r), int(p), int(s)): c for r, p, s, c, *_ in index.search(np.concatenate(texts), at)}
+    want, doubtful = {}, set()
+    for size, (passages, vectors) in index.by_window.items():
+        for row, text in enumerate(texts):
+            starts = {min(k, max(0, len(text) - size)) for k in range(0, max(1, len(text) - size + size // 4), size // 4)} if len(text) else set()
+            for start in starts:
+                term = index.vocabulary.find(text[start : start + size])
+                vector = (index.idf[term[term >= 0], None] * index.latent[term[term >= 0]]).sum(axis=0)
+                norm = np.linalg.norm(vector)
+                for j, p in enumerate(passages):
+                    cosine = float(vector @ vectors[:, j] / norm) if norm > 0 else 0.0
+                    around = text[max(0, start - size // 2) : min(len(text), start + size) + size // 2]
+                    if cosine >= decontaminate.CANDIDATE - 1e-4 and index.verify(p, around):
+                        want[row, int(p), start] = cosine
+                        if cosine < decontaminate.CANDIDATE + 1e-4:
+                            doubtful.add((row, int(p), start))
+    assert len(want) > 40 and want.keys() - doubtful <= found.keys() <= want.keys()
+    assert all(found[k] == pytest.approx(want[k], abs=1e-4) for k in found)
+
+
+def test_paraphrases_that_keep_six_in_ten_words_are_found():
+    """Of planted passages with 0.60 to 0.70 of the words in order, nine in ten at least; the cosine alone rules out nine in ten pairs."""
+    random = np.random.default_rng(12)
+    vocabulary, share = _zipf(20_000)
+    index = _passage_index(150, random, vocabulary, share)
+    met = found = 0
+    for k in range(450):
+        own = index.words[k % 150]
+        changed = np.where(random.random(len(own)) < 0.66, own, vocabulary[random.choice(20_000, len(own), p=share)])
+        checked = index.verify(k % 150, changed)
+        if checked and checked[0] < 0.7:
+            text = np.concatenate([vocabulary[random.choice(20_000, 50, p=share)], changed, vocabulary[random.choice(20_000, 50, p=share)]])
+            met += 1
+            found += any(p == k % 150 for _, p, *_ in index.search(text, np.array([0, len(text)])))
+    assert met > 40 and found >= 0.9 * met
+    text = vocabulary[random.choice(20_000, 4000, p=share)]
+    pairs = kept = 0
+    for size, (passages, vectors) in index.by_window.items():
+        for start in range(0, len(text) - size, size // 4):
+            term = index.vocabulary.find(text[start : start + size])
+            vector = (index.idf[term[term >= 0], None] * index.latent[term[term >= 0]]).sum(axis=0)
+            pairs += len(passages)
+            kept += int((vector @ vectors >= decontaminate.CANDIDATE * max(1e-12, np.linalg.norm(vector))).sum())
+    assert kept < 0.1 * pairs
+
+
+def test_search_of_a_long_text_with_answers_of_common_words():
+    """16,000 words against 1,000 passages whose answers are of words that all texts have."""
+    random = np.random.default_rng(13)
+    vocabulary, share = _zipf(20_000)
+    index = _passage_index(1000, random, vocabulary, share, [vocabulary[random.choice(40, 8)] for _ in range(1000)])
+    text = vocabulary[random.choice(20_000, 16_000, p=share)]
+    began = time.process_time()
+    assert list(index.search(text, np.array([0, len(text)]))) == []
+    assert time.process_time() - began < 20
