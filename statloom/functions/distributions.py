@@ -9,6 +9,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -272,13 +273,148 @@ def binomial_variance(n: int, p: float) -> float | None:
     return n * p * (1 - p) if _binomial(n, p) else None
 
 
-def column(f: Callable, *fixed: float, kind: str = "double") -> Callable[[Column], Column]:
-    """f(x, *fixed) as a function of a column: Arrow batches, f once for each different value of a batch, null where f gives None."""
+# Array forms: the same series and continued fractions for all values at once, NaN where a value is undefined
+
+_lgamma = np.frompyfunc(lambda v: math.lgamma(v) if v > 0 else math.nan, 1, 1)
+
+
+def log_gamma(x: np.ndarray) -> np.ndarray:
+    """Of the positive numbers x; each different one is computed once."""
+    different, place = np.unique(x, return_inverse=True)
+    return _lgamma(different).astype(float)[place].reshape(x.shape)
+
+
+def _fractions(step: Callable[[int], tuple[np.ndarray, np.ndarray]], size: int, rounds: int = 10_000) -> np.ndarray:
+    """_fraction from 0 for arrays: values that have settled are left as they are; NaN for those that don't."""
+    tiny = 1e-300
+    value, c, d = np.full(size, tiny), np.full(size, tiny), np.zeros(size)
+    open_ = np.ones(size, bool)
+    for i in range(1, rounds):
+        a, b = step(i)
+        d = b + a * d
+        d = 1 / np.where(d == 0, tiny, d)
+        c = b + a / c
+        c = np.where(c == 0, tiny, c)
+        change = c * d
+        value = np.where(open_, value * change, value)
+        open_ &= ~(np.abs(change - 1) < 3e-16)
+        if not open_.any():
+            return value
+    return np.where(open_, math.nan, value)
+
+
+def incomplete_beta_array(x: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    out = np.where(x <= 0, 0.0, np.where(x >= 1, 1.0, math.nan))
+    inside = np.flatnonzero((x > 0) & (x < 1))
+    if not len(inside):
+        return out
+    x, a, b = x[inside], a[inside], b[inside]
+    turned = x > (a + 1) / (a + b + 2)
+    x, a, b = np.where(turned, 1 - x, x), np.where(turned, b, a), np.where(turned, a, b)
+
+    def step(i: int) -> tuple[np.ndarray, np.ndarray]:
+        m = (i - 1) // 2
+        if i == 1:
+            return np.ones(len(x)), np.ones(len(x))
+        if i % 2:
+            return m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), np.ones(len(x))
+        return -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1)), np.ones(len(x))
+
+    front = np.exp(log_gamma(a + b) - log_gamma(a) - log_gamma(b) + a * np.log(x) + b * np.log1p(-x)) / a
+    value = np.minimum(1.0, front * _fractions(step, len(x)))
+    out[inside] = np.where(turned, 1 - value, value)
+    return out
+
+
+def incomplete_gamma_array(a: np.ndarray, x: np.ndarray) -> np.ndarray:
+    out = np.zeros(len(x))
+    some = np.flatnonzero((x > 0) & (x < a + 1))
+    if len(some):
+        shape, v = a[some], x[some]
+        term = total = 1 / shape
+        for n in range(1, 100_000):
+            term = term * v / (shape + n)
+            total = total + term
+            if (term < total * 1e-17).all():
+                break
+        out[some] = np.minimum(1.0, np.exp(shape * np.log(v) - v - log_gamma(shape)) * total)
+    some = np.flatnonzero((x > 0) & (x >= a + 1))
+    if len(some):
+        shape, v = a[some], x[some]
+        value = _fractions(lambda i: (np.full(len(v), 1.0) if i == 1 else -(i - 1) * (i - 1 - shape), v + 2 * i - 1 - shape), len(v))
+        out[some] = np.maximum(0.0, 1 - np.exp(shape * np.log(v) - v - log_gamma(shape)) * value)
+    return out
+
+
+def _where(fine: np.ndarray, f: Callable, *values: np.ndarray) -> np.ndarray:
+    """f of the values where fine, NaN elsewhere."""
+    out = np.full(len(fine), math.nan)
+    if fine.any():
+        out[fine] = f(*(v[fine] for v in values))
+    return out
+
+
+def _t_cdf_array(x: np.ndarray, df: np.ndarray) -> np.ndarray:
+    tail = incomplete_beta_array(df / (df + x * x), df / 2, np.full(len(x), 0.5)) / 2
+    return np.where(x > 0, 1 - tail, np.where(x == 0, 0.5, tail))
+
+
+def _binomial_pmf_array(k: np.ndarray, n: np.ndarray, p: np.ndarray) -> np.ndarray:
+    certain = (p == 0) | (p == 1)
+    q = np.where(certain, 0.5, p)
+    value = np.exp(log_gamma(n + 1) - log_gamma(k + 1) - log_gamma(n - k + 1) + k * np.log(q) + (n - k) * np.log1p(-q))
+    return np.where(certain, (k == n * p).astype(float), value)
+
+
+def _binomial_cdf_array(k: np.ndarray, n: np.ndarray, p: np.ndarray) -> np.ndarray:
+    inside = (k >= 0) & (k < n)
+    out = np.where(k < 0, 0.0, 1.0)
+    out[inside] = incomplete_beta_array(1 - p[inside], (n - k)[inside], k[inside] + 1)
+    return out
+
+
+#: For each function of numbers that has one, where it is defined and its array form.
+ARRAYS: dict[Callable, tuple[Callable, Callable]] = {
+    normal_cdf: (lambda x, m=None, sd=None: np.isfinite(x) if sd is None else np.isfinite(x) & np.isfinite(m) & (sd > 0) & np.isfinite(sd), lambda x, m=0.0, sd=1.0: 0.5 * (1 + np.frompyfunc(math.erf, 1, 1)((x - m) / (sd * math.sqrt(2))).astype(float))),
+    chi_squared_cdf: (lambda x, df: np.isfinite(x) & np.isfinite(df) & (df > 0), lambda x, df: incomplete_gamma_array(df / 2, x / 2)),
+    t_cdf: (lambda x, df: np.isfinite(x) & np.isfinite(df) & (df > 0), _t_cdf_array),
+    poisson_pmf: (lambda k, rate: np.isfinite(rate) & (rate > 0) & (k >= 0), lambda k, rate: np.exp(k * np.log(rate) - rate - log_gamma(k + 1))),
+    poisson_cdf: (lambda k, rate: np.isfinite(k) & np.isfinite(rate) & (rate > 0), lambda k, rate: np.where(k < 0, 0.0, 1 - incomplete_gamma_array(np.maximum(k, 0) + 1, rate))),
+    binomial_pmf: (lambda k, n, p: (n >= 0) & (p >= 0) & (p <= 1) & (k >= 0) & (k <= n), _binomial_pmf_array),
+    binomial_cdf: (lambda k, n, p: np.isfinite(k) & (n >= 0) & (p >= 0) & (p <= 1), _binomial_cdf_array),
+}
+
+
+def column(f: Callable, *fixed: float, kind: str = "double") -> Callable[..., Column]:
+    """f(x, *fixed) as a function of a column, or of columns for its first arguments: Arrow batches, null where f is undefined.
+
+    Functions of ARRAYS take a batch at once; others are called once for each different row of values of a batch.
+    """
+
+    def values(columns: tuple[pd.Series, ...]) -> pd.Series:
+        known = np.logical_and.reduce([c.notna().to_numpy() for c in columns])
+        if f in ARRAYS:
+            defined, whole = ARRAYS[f]
+            arrays = [c.to_numpy(float, na_value=math.nan) for c in columns]
+            arrays += [np.full(len(known), float(v)) for v in fixed]
+            with np.errstate(all="ignore"):
+                return pd.Series(_where(known & defined(*arrays), whole, *arrays)).replace(math.nan, None).astype("Float64")
+        places, different = pd.factorize(pd.MultiIndex.from_arrays(columns) if len(columns) > 1 else columns[0])
+        rows = different.tolist()
+        made = [*(f(*(v if len(columns) > 1 else (v,)), *fixed) for v in rows), None]
+        places = np.where(known, places, len(rows))
+        return pd.Series(made, dtype="float64" if kind == "double" else "Int64").take(places).reset_index(drop=True)
+
+    @F.pandas_udf(kind)
+    def one(x: pd.Series) -> pd.Series:
+        return values((x,))
+
+    @F.pandas_udf(kind)
+    def two(x: pd.Series, y: pd.Series) -> pd.Series:
+        return values((x, y))
 
     @F.pandas_udf(kind)
-    def apply(x: pd.Series) -> pd.Series:
-        place, different = pd.factorize(x)  # nulls have place -1, and the null at the end
-        values = pd.Series([*(f(v, *fixed) for v in different.tolist()), None], dtype="float64" if kind == "double" else "Int64")
-        return values.take(place).reset_index(drop=True)
+    def three(x: pd.Series, y: pd.Series, z: pd.Series) -> pd.Series:
+        return values((x, y, z))
 
-    return apply
+    return lambda *columns: {1: one, 2: two, 3: three}[len(columns)](*columns)

@@ -6,7 +6,7 @@ import json
 from dataclasses import asdict
 from pathlib import Path
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from statloom.functions.polynomials import format_number
@@ -28,12 +28,16 @@ class Jsonable:
     def from_json(cls, text: str):
         return cls(**{k: _tuples(v) for k, v in json.loads(text).items()})
 
-    def save(self, path: str | Path) -> None:
-        Path(path).write_text(self.to_json())
+    def save(self, path: str | Path, spark: SparkSession | None = None) -> None:
+        """As a file of the driver's machine, or, with a session, as text in a folder of any store that Spark writes."""
+        if spark is None:
+            Path(path).write_text(self.to_json())
+        else:
+            spark.createDataFrame([(self.to_json(),)], "value string").coalesce(1).write.text(str(path))
 
     @classmethod
-    def load(cls, path: str | Path):
-        return cls.from_json(Path(path).read_text())
+    def load(cls, path: str | Path, spark: SparkSession | None = None):
+        return cls.from_json(Path(path).read_text() if spark is None else "\n".join(r["value"] for r in spark.read.text(str(path)).collect()))
 
 
 class Regressor(Jsonable):

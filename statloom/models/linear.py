@@ -159,6 +159,8 @@ def _scaled_inverse(xx: np.ndarray) -> np.ndarray:
 
 
 CONVERGED, EXHAUSTED = "converged", "reached_iteration_limit"
+#: Fixed value: the loss below which changes count as they are, not beside the loss.
+LEAST_LOSS = 1e-12
 
 
 def descend(start: np.ndarray, loss, gradient, rate: float, iterations: int, tolerance: float) -> tuple[np.ndarray, list[float], str]:
@@ -177,7 +179,7 @@ def descend(start: np.ndarray, loss, gradient, rate: float, iterations: int, tol
         now = loss(w)
         if not math.isfinite(now):
             raise Diverged("the loss is not finite")
-        change = (losses[-1] - now) / max(abs(losses[-1]), 1e-300)
+        change = (losses[-1] - now) / max(losses[-1], LEAST_LOSS)
         losses.append(now)
         if change < -tolerance:
             raise Diverged("the loss increases")

@@ -44,28 +44,29 @@ class KNearestNeighbours:
     def neighbours(self, queries: DataFrame, id: str, features: str) -> DataFrame:
         """(query, neighbour, label, distance) of the k nearest training rows; ties go to the least id, a distance that is NaN comes last.
 
-        A block of queries is broadcast as a matrix (BLOCK_BYTES bound it) and the training rows stream past it where they are. A task
-        gives only rows that are no further than the k nearest it has met, and keeps k of a query before anything is shuffled. Null
-        vectors, and those of another length than the longest query, are no queries and no neighbours.
+        Queries of BLOCK_BYTES in all are broadcast as a matrix, and the training rows stream past them where they are. More queries are dealt
+        by blocks of so many bytes, each to a number of tasks that share the training rows, which a shuffle brings to every block. Either way a task
+        gives only rows that are no further than the k nearest it has met. Null vectors are no queries and no neighbours, training rows of
+        another length than the queries are no neighbours, and queries of different lengths raise.
         """
         vector = normalized if self.metric == "cosine" else as_doubles
         rows = self.train.select(F.col(self.id).alias("neighbour"), F.col(self.label).alias("label"), vector(self.features).alias("b"))
-        asked = queries.select(F.col(id).alias("query"), vector(features).alias("a"))
+        asked = queries.select(F.col(id).alias("query"), vector(features).alias("a")).where("a is not null")
         kinds = {"query": asked.schema["query"].dataType, "neighbour": rows.schema["neighbour"].dataType, "label": rows.schema["label"].dataType, "distance": DoubleType()}
         schema = StructType([StructField(name, kind) for name, kind in kinds.items()])
-        found = asked.where("a is not null").agg(F.max(F.size("a")).alias("size"), F.coalesce(F.sum(F.size("a") * 8 + 32), F.lit(0)).alias("bytes")).first()
+        found = asked.agg(F.min(F.size("a")).alias("least"), F.max(F.size("a")).alias("size"), F.coalesce(F.sum(F.size("a") * 8 + 32), F.lit(0)).alias("bytes")).first()
         if not found["size"]:
             return asked.sparkSession.createDataFrame([], schema)
+        if found["least"] != found["size"]:
+            raise ValueError("queries differ in length")
         size, blocks = found["size"], max(1, -(-found["bytes"] // BLOCK_BYTES))
-        asked, rows = asked.where(F.size("a") == size), rows.where(F.size("b") == size)
-        near = None
-        for n in range(blocks):
-            block = (asked.where(F.pmod(F.xxhash64("query"), F.lit(blocks)) == n) if blocks > 1 else asked).toArrow().combine_chunks()
-            if not block.num_rows:
-                continue
+        rows = rows.where(F.size("b") == size)
+        if blocks == 1:
+            block = asked.toArrow().combine_chunks()
             shipped = rows.sparkSession.sparkContext.broadcast((block["query"].combine_chunks(), arrow_matrix(block["a"].combine_chunks(), size)))
-            part = rows.mapInArrow(_nearest(shipped, size, self.k, self.metric), schema)
-            near = part if near is None else near.union(part)
+            near = rows.mapInArrow(_nearest(shipped, size, self.k, self.metric), schema)
+        else:
+            near = _met(asked, rows, blocks).mapInArrow(_nearest_of_blocks(size, self.k, self.metric), schema)
         rank = F.row_number().over(Window.partitionBy("query").orderBy("distance", "neighbour"))
         return near.withColumn("_rank", rank).where(F.col("_rank") <= self.k).drop("_rank")
 
@@ -95,37 +96,78 @@ class KNearestNeighbours:
         return f"KNearestNeighbours: k = {self.k}, {self.metric}, {self.weight}"
 
 
-def _nearest(shipped: Broadcast, size: int, k: int, metric: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Of a task's rows, those that are among the k nearest to a query so far, and those as far as the k-th.
+def _met(asked: DataFrame, rows: DataFrame, blocks: int) -> DataFrame:
+    """Queries and training rows by block of queries and share of training rows, queries first."""
+    parts = max(blocks, int(asked.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    shares = -(-parts // blocks)
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    none = lambda df, c: F.lit(None).cast(df.schema[c].dataType).alias(c)
+    own = asked.select(F.pmod(F.xxhash64("query"), F.lit(blocks)).alias("block"), every(shares).alias("share"), F.lit(False).alias("guest"), F.col("a").alias("v"), "query", none(rows, "neighbour"), none(rows, "label"))
+    guests = rows.select(every(blocks).alias("block"), F.pmod(F.xxhash64("neighbour"), F.lit(shares)).alias("share"), F.lit(True).alias("guest"), F.col("b").alias("v"), none(asked, "query"), "neighbour", "label")
+    return own.unionByName(guests).repartition(parts, "block", "share").sortWithinPartitions("block", "share", "guest")
+
+
+class _Near:
+    """Of the rows offered, those that are among the k nearest to a query so far, and those as far as the k-th.
 
     Distances are added up component by component, so that equal vectors are at equal distances in any batch.
     """
 
-    def distances(own: np.ndarray, block: np.ndarray) -> np.ndarray:
-        total = np.zeros((len(own), len(block)))
-        for c in range(size):
-            if metric == "cosine":
-                total += own[:, c, None] * block[:, c]
+    def __init__(self, ids: pa.Array, block: np.ndarray, k: int, metric: str):
+        self.ids, self.block, self.k, self.metric = ids, block, k, metric
+        self.furthest = np.full(len(block), np.inf)
+
+    def _distances(self, own: np.ndarray) -> np.ndarray:
+        total = np.zeros((len(own), len(self.block)))
+        for c in range(self.block.shape[1]):
+            if self.metric == "cosine":
+                total += own[:, c, None] * self.block[:, c]
             else:
-                total += np.square(own[:, c, None] - block[:, c])
-        if metric == "cosine":  # of unit vectors; a zero vector is at distance 1, and rounding errors are none
+                total += np.square(own[:, c, None] - self.block[:, c])
+        if self.metric == "cosine":  # of unit vectors; a zero vector is at distance 1, and rounding errors are none
             return np.where(1 - total < 1e-12, 0.0, 1 - total)
         return np.sqrt(total)
 
+    def offer(self, rows: np.ndarray, neighbour: pa.Array, label: pa.Array) -> Iterator[pa.RecordBatch]:
+        step = max(1, TILE // max(1, len(self.block)))
+        for at in range(0, len(rows), step):
+            found = self._distances(rows[at : at + step])
+            reach = np.where(np.isnan(found), np.inf, found)
+            if len(reach) >= self.k:
+                self.furthest = np.minimum(self.furthest, np.partition(reach, self.k - 1, axis=0)[self.k - 1])
+            i, j = np.nonzero(reach <= self.furthest)
+            at_rows = pa.array(i + at)
+            yield pa.RecordBatch.from_arrays([self.ids.take(pa.array(j)), neighbour.take(at_rows), label.take(at_rows), pa.array(found[i, j])], ["query", "neighbour", "label", "distance"])
+
+
+def _nearest(shipped: Broadcast, size: int, k: int, metric: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        near = _Near(*shipped.value, k, metric)
+        for batch in batches:
+            yield from near.offer(arrow_matrix(batch.column("b"), size), batch.column("neighbour"), batch.column("label"))
+
+    return run
+
+
+def _nearest_of_blocks(size: int, k: int, metric: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The same for rows that come sorted by block and share, queries first."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, block = shipped.value
-        furthest = np.full(len(block), np.inf)
+        key, queries, near = None, [], None
         for batch in batches:
-            own = arrow_matrix(batch.column("b"), size)
-            step = max(1, TILE // len(block))
-            for at in range(0, len(own), step):
-                found = distances(own[at : at + step], block)
-                reach = np.where(np.isnan(found), np.inf, found)
-                if len(reach) >= k:
-                    furthest = np.minimum(furthest, np.partition(reach, k - 1, axis=0)[k - 1])
-                i, j = np.nonzero(reach <= furthest)
-                at_rows = pa.array(i + at)
-                columns = [ids.take(pa.array(j)), batch.column("neighbour").take(at_rows), batch.column("label").take(at_rows), pa.array(found[i, j])]
-                yield pa.RecordBatch.from_arrays(columns, ["query", "neighbour", "label", "distance"])
+            block, share, guest = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("block", "share", "guest"))
+            cut = np.flatnonzero((np.diff(block) != 0) | (np.diff(share) != 0) | (np.diff(guest.astype(int)) != 0)) + 1
+            for at, to in zip([0, *cut.tolist()], [*cut.tolist(), len(block)]):
+                if to == at:
+                    continue
+                if key != (block[at], share[at]):
+                    key, queries, near = (block[at], share[at]), [], None
+                part = batch.slice(at, to - at)
+                rows = arrow_matrix(part.column("v"), size)
+                if not guest[at]:
+                    queries.append((part.column("query"), rows))
+                elif queries:
+                    near = near or _Near(pa.concat_arrays([q for q, _ in queries]), np.concatenate([m for _, m in queries]), k, metric)
+                    yield from near.offer(rows, part.column("neighbour"), part.column("label"))
 
     return run

@@ -11,8 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from statloom.core import all_finite, col, double, prefix_sums, with_position, with_stats
-from statloom.operators.selection import joined, order_statistics
+from statloom.core import all_finite, col, double, joined, prefix_sums, with_position, with_stats
+from statloom.operators.selection import order_statistics
 
 
 def total(x: Column | str) -> Column:

@@ -20,8 +20,9 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 from statloom.functions.vectors import arrow_matrix, normalized
 from statloom.session import kept
 
-#: Rows of a block of a cell, which a task holds as a matrix; pivots at most; rows that choose the rotation; slack for rounding of angles and products.
-BLOCK, PIVOTS, SAMPLE, SLACK, ROUNDING = 2048, 1024, 1024, 1e-6, 1e-9
+#: Rows of a block of a cell, which a task holds as a matrix; rows that one pass looks at; pivots at most; rows that choose the rotation; slack
+#: for rounding of angles and products.
+BLOCK, SLICE, PIVOTS, SAMPLE, SLACK, ROUNDING = 8192, 2048, 1024, 1024, 1e-6, 1e-9
 #: Products of one pass.
 TILE = 1 << 22
 
@@ -80,8 +81,8 @@ def _visits(pivots: np.ndarray, radius: np.ndarray, blocks: np.ndarray, reach: f
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, BLOCK):
-                part = batch.slice(at, BLOCK)
+            for at in range(0, batch.num_rows, SLICE):
+                part = batch.slice(at, SLICE)
                 cell, angle, own = (part.column(c).to_numpy() for c in ("cell", "angle", "hash"))
                 own = own % blocks[cell]
                 found = angles(arrow_matrix(part.column("u"), size), pivots)
@@ -93,8 +94,8 @@ def _visits(pivots: np.ndarray, radius: np.ndarray, blocks: np.ndarray, reach: f
                 before = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
                 block = np.concatenate([own, before])
                 guest = np.arange(len(rows)) >= len(cell)
-                for k in range(0, len(rows), BLOCK):
-                    s = slice(k, k + BLOCK)
+                for k in range(0, len(rows), SLICE):
+                    s = slice(k, k + SLICE)
                     taken = pa.array(rows[s])
                     yield pa.RecordBatch.from_arrays(
                         [part.column("id").take(taken), part.column("u").take(taken), pa.array(cells[s], pa.int32()), pa.array(block[s], pa.int64()), pa.array(guest[s])], ["id", "u", "cell", "block", "guest"]

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from statloom.core import double, known_columns
+from statloom.session import kept
 
 
 def from_columns(spark: SparkSession, columns: list[tuple[str, list[float]]] | dict[str, list[float]]) -> DataFrame:
@@ -91,6 +92,25 @@ def sorted_by(df: DataFrame, column: str, order: str, ascending: bool = True) ->
     return df.orderBy(F.isnan(double(column)).asc(), key, order)
 
 
+def ranked(df: DataFrame, *order: Column | str, name: str = "position") -> DataFrame:
+    """df with each row's 0-based position in the order of columns of any kind (names, or sort columns such as ``F.desc("x")``).
+
+    Rows are dealt by ranges of all the order's columns together, so a value that many rows share is spread as far as the columns after it
+    tell them apart; each range is sorted, and the ranges' sizes are added up. Nulls and NaN stand where Spark sorts them. Rows alike in all
+    columns follow each other in any order. The rows are written once, as their places must not change between the count and their use.
+    """
+    keys = [F.col(c).asc() if isinstance(c, str) else c for c in order]
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = kept(df.repartitionByRange(parts, *keys).sortWithinPartitions(*keys).withColumn("_place", F.monotonically_increasing_id()), "ranked")
+    bits = 33  # of a row's number in its range, below the range's
+    sizes = placed.groupBy(F.shiftright("_place", bits).alias("_range")).agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))  # a row for each range
+    sizes = sizes.select("_range", F.coalesce(before, F.lit(0)).alias("_before"))
+    joined = placed.withColumn("_range", F.shiftright("_place", bits)).join(F.broadcast(sizes), "_range")
+    inside = F.col("_place") - F.shiftleft("_range", bits)
+    return joined.withColumn(name, (F.col("_before") + inside).cast("long")).drop("_place", "_range", "_before")
+
+
 def unique(df: DataFrame, column: str) -> DataFrame | None:
     """Distinct values in ascending order; None without such a column."""
     return df.select(column).where(F.col(column).isNotNull()).distinct().orderBy(column) if column in df.columns else None

@@ -22,7 +22,7 @@ from pyspark.sql.types import DoubleType, IntegerType, LongType, StructField, St
 
 from statloom.functions.vectors import arrow_matrix, as_doubles, normalized
 from statloom.models.kmeans import KMeans
-from statloom.operators.cells import BLOCK, ROUNDING, SLACK, TILE, angles, sample
+from statloom.operators.cells import BLOCK, ROUNDING, SLACK, SLICE, TILE, angles, sample
 from statloom.session import kept
 
 #: Cells at most; rows for each cell that the model is fitted on; its iterations; rows of a file.
@@ -124,8 +124,8 @@ class InvertedFile:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for at in range(0, batch.num_rows, BLOCK):
-                    part = batch.slice(at, BLOCK)
+                for at in range(0, batch.num_rows, SLICE):
+                    part = batch.slice(at, SLICE)
                     q = arrow_matrix(part.column("q"), dim)
                     far, least = _bounds(q, centroids, radius)
                     far = np.where(sizes > 0, far, math.inf)
@@ -138,9 +138,9 @@ class InvertedFile:
                     if reached:
                         wanted = (least <= part.column("angle").to_numpy()[:, None]) & (sizes > 0) & ~first
                     i, cell = np.nonzero(wanted)
-                    for s in range(0, len(i), BLOCK):
-                        rows = pa.array(i[s : s + BLOCK])
-                        yield pa.RecordBatch.from_arrays([part.column("query").take(rows), part.column("q").take(rows), pa.array(cell[s : s + BLOCK], pa.int32())], schema.names)
+                    for s in range(0, len(i), SLICE):
+                        rows = pa.array(i[s : s + SLICE])
+                        yield pa.RecordBatch.from_arrays([part.column("query").take(rows), part.column("q").take(rows), pa.array(cell[s : s + SLICE], pa.int32())], schema.names)
 
         return asked.mapInArrow(run, schema)
 

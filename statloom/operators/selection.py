@@ -10,27 +10,17 @@ the sketch's error.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from statloom.core import double, finite
+from statloom.core import double, finite, joined
 from statloom.session import kept
 
 #: Rows of a bracket whose distinct values one task puts in order; cut points of a round; accuracy of their sketch.
 BOUND, GRID, ACCURACY = 1 << 18, 512, 4096
 
 
-def joined(left: DataFrame, right: DataFrame, by: Sequence[str], how: str = "inner") -> DataFrame:
-    """left and right joined on by, where null equals null; the columns of by come from left. Without by right is one row, or a few."""
-    if not by:
-        return left.join(F.broadcast(right), how=how) if how == "inner" else left.join(F.broadcast(right), F.lit(True), how)
-    renamed = right.withColumnsRenamed({c: f"_right_{k}" for k, c in enumerate(by)})
-    same = reduce(Column.__and__, (F.col(c).eqNullSafe(F.col(f"_right_{k}")) for k, c in enumerate(by)))
-    return left.join(renamed, same, how).drop(*(f"_right_{k}" for k in range(len(by))))
-
-
 def _ranks(shares: Sequence[float], n: Column) -> Column:
     """The ranks (from 0) that the shares' percentiles lie between, as an array."""
     at = [(n - 1) * float(p) for p in shares]

@@ -1,7 +1,8 @@
 """Series in a given order: running and rolling values, differences, scaling, stacking and integrals.
 
-``order`` is a column without ties. With ``by``, each group is a series and one task's work; without, the rows are one series of any
-length, taken in blocks of positions.
+``order`` is a column without ties. With ``by``, each group is a series, else the rows are one. A series of any length is taken in blocks of
+positions, over which sums, lags and smoothed values are carried on. Groups that are all short (of a block at most), or whose order is
+no number or time, are one window each.
 """
 
 from __future__ import annotations
@@ -11,21 +12,29 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from statloom.core import BLOCK, double, over_blocks, prefix_sums, with_position, with_stats
+from statloom import core
+from statloom.core import double, is_ordinal, joined, over_blocks, prefix_sums, with_position, with_stats
+
+
+def _short(df: DataFrame, order: str, by: tuple[str, ...]) -> bool:
+    """Whether a plain window is enough for each group."""
+    if not by:
+        return False
+    return not is_ordinal(df, order) or (df.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0) <= core.BLOCK
 
 
 def _running(df: DataFrame, x: Column, order: str, by: tuple[str, ...], name: str, product: bool = False) -> DataFrame:
-    if by:
+    if _short(df, order, by):
         window = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
         return df.withColumn(name, (F.product if product else F.sum)(x).over(window))
-    return prefix_sums(with_position(df, order, "_position"), "_position", x, name, product).drop("_position")
+    return prefix_sums(with_position(df, order, "_position", by), "_position", x, name, product, by).drop("_position")
 
 
 def _looking_back(df: DataFrame, order: str, by: tuple[str, ...], back: int, **columns) -> DataFrame:
-    if by:
+    if _short(df, order, by):
         window = Window.partitionBy(*by).orderBy(order)
         return df.withColumns({n: f(window) for n, f in columns.items()})
-    return over_blocks(with_position(df, order, "_position"), "_position", back, **columns).drop("_position")
+    return over_blocks(with_position(df, order, "_position", by), "_position", back, by, **columns).drop("_position")
 
 
 def cumulative_sum(df: DataFrame, x: str, order: str, by: tuple[str, ...] = (), name: str = "cumulative") -> DataFrame:
@@ -41,10 +50,8 @@ def rolling_mean(df: DataFrame, x: str, order: str, window: int, by: tuple[str,
     if window < 1:
         return df.withColumn(name, F.lit(None).cast("double")).where(F.lit(False))
     made = _looking_back(df, order, by, window - 1, **{name: lambda w: F.avg(double(x)).over(w.rowsBetween(1 - window, 0))})
-    if by:
-        all_ = Window.partitionBy(*by)
-        return made.withColumn(name, F.when(F.count(F.lit(1)).over(all_) < window, F.avg(double(x)).over(all_)).otherwise(F.col(name)))
-    return with_stats(made, _n=F.count(F.lit(1)), _mean=F.avg(double(x))).withColumn(name, F.when(F.col("_n") < window, F.col("_mean")).otherwise(F.col(name))).drop("_n", "_mean")
+    whole = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), F.avg(double(x)).alias("_mean"))
+    return joined(made, whole, by).withColumn(name, F.when(F.col("_n") < window, F.col("_mean")).otherwise(F.col(name))).drop("_n", "_mean")
 
 
 def exponential_mean(df: DataFrame, x: str, order: str, alpha: float | None = None, span: int | None = None, by: tuple[str, ...] = (), name: str = "smoothed") -> DataFrame:
@@ -56,11 +63,11 @@ def exponential_mean(df: DataFrame, x: str, order: str, alpha: float | None = No
     if not 0 < alpha <= 1:
         raise ValueError("alpha must be in (0, 1]")
     keep = df.columns
-    if by:
+    if _short(df, order, by):
         ordered = df.withColumn("_position", F.row_number().over(Window.partitionBy(*by).orderBy(order)) - 1)
     else:
-        ordered = with_position(df, order, "_position")
-    ordered = ordered.withColumn("_block", F.floor(F.col("_position") / BLOCK))
+        ordered = with_position(df, order, "_position", by)
+    ordered = ordered.withColumn("_block", F.floor(F.col("_position") / core.BLOCK))
     key = [*by, "_block"]
     schema = StructType([*ordered.schema.fields, StructField("_own", DoubleType()), StructField("_fade", DoubleType())])
 
@@ -88,7 +95,7 @@ def exponential_mean(df: DataFrame, x: str, order: str, alpha: float | None = No
 
     kinds = ", ".join(f"`{c}` {ordered.schema[c].dataType.simpleString()}" for c in key)
     carried = ends.groupBy(*(by or [F.lit(0).alias("_all")])).applyInPandas(link, f"{kinds}, _carried double")
-    return parts.join(carried, key).withColumn(name, F.col("_own") + F.col("_fade") * F.col("_carried")).select(*keep, name)
+    return joined(parts, carried, key).withColumn(name, F.col("_own") + F.col("_fade") * F.col("_carried")).select(*keep, name)
 
 
 def diff(df: DataFrame, x: str, order: str, lag: int = 1, by: tuple[str, ...] = (), name: str = "diff") -> DataFrame:

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from statloom.functions import distributions as D
 from statloom.functions import linalg
 from statloom.functions import vectors as V
 from statloom.models.kmeans import KMeans
@@ -46,20 +45,30 @@ def averaged_by_label(spark, d):
     return rounded(means.select("label", F.posexplode("mean").alias("position", "mean")), 5)
 
 
-@query("""SELECT * FROM (VALUES ('matrix_b', 0, 2.0), ('matrix_b', 1, 4.25), ('matrix_b', 2, 6.0), ('columns_y', 0, 7.0), ('columns_y', 1, 8.5), ('zeros', 0, 0.0), ('zeros', 1, 0.0), ('ones', 0, 1.0), ('ones', 1, 1.0),
-('identity', 0, 1.0), ('identity', 1, 0.0), ('identity', 2, 0.0), ('identity', 3, 1.0), ('reshaped', 0, 3.0), ('reshaped', 1, 4.0)) AS v(kind, position, x)""")
+@query("""SELECT 'panel' AS kind, vec_id AS key, CAST(i - 1 AS BIGINT) AS position, CAST(embedding[i] AS DOUBLE) AS x FROM embeddings, (SELECT unnest(range(1, 65)) AS i)
+UNION ALL SELECT 'reshaped', vec_id, CAST(i - 1 AS BIGINT), CAST(embedding[24 + i] AS DOUBLE) FROM embeddings, (SELECT unnest(range(1, 9)) AS i)
+UNION ALL SELECT 'columns', n_nationkey, row_number() OVER (ORDER BY n_nationkey) - 1, CAST(n_regionkey AS DOUBLE) FROM nation
+UNION ALL SELECT 'matrix', r_regionkey, row_number() OVER (ORDER BY r_regionkey) - 1, CAST(length(r_name) AS DOUBLE) FROM region
+UNION ALL SELECT 'identity', n_nationkey, CAST(i AS BIGINT), CASE WHEN i = n_regionkey * 6 THEN 1.0 ELSE 0.0 END FROM nation, (SELECT unnest(range(0, 25)) AS i) WHERE i // 5 = n_regionkey
+UNION ALL SELECT 'ones', c_custkey, 0, CAST(c_acctbal + 1 AS DOUBLE) FROM customer
+UNION ALL SELECT 'zeros', c_custkey, 0, CAST(c_acctbal AS DOUBLE) FROM customer""")
 def constructed_frames(spark, d):
-    """Tables from columns and matrices, and generated vectors as rows."""
-    one = spark.range(1)
-    panel = lambda v, kind: frame.to_panel(one.select(v.alias("v")), "v", "x").select(F.lit(kind).alias("kind"), F.col("position").cast("long"), "x")
-    matrix = frame.from_matrix(spark, [[1.5, 2.0], [3.0, 4.25], [5.0, 6.0]], ["a", "b"]).select(F.lit("matrix_b").alias("kind"), F.col("position").cast("long"), F.col("b").alias("x"))
-    columns = frame.from_columns(spark, {"y": [7.0, 8.5], "x": [1.0, 2.0]}).select(F.lit("columns_y").alias("kind"), F.col("position").cast("long"), F.col("y").alias("x"))
-    made = [matrix, columns, panel(V.zeros(2), "zeros"), panel(V.ones(2), "ones"), panel(V.flattened(V.identity(2)), "identity")]
-    made.append(panel(F.get(V.reshaped(F.array(*map(F.lit, (1.0, 2.0, 3.0, 4.0))), 2, 2), F.lit(1)), "reshaped"))
-    out = made[0]
-    for m in made[1:]:
-        out = out.unionByName(m)
-    return out.withColumn("position", F.col("position").cast("int"))
+    """Tables from vectors, columns and matrices, and generated vectors and matrices met with those of tables."""
+    kind = lambda df, name: df.select(F.lit(name).alias("kind"), F.col("key").cast("long"), F.col("position").cast("long"), F.col("x").cast("double"))
+    vectors = T(spark, d, "embeddings").select(F.col("vec_id").alias("key"), F.col("embedding").alias("v"))
+    panel = vectors.select("key", F.posexplode(V.as_doubles("v")).alias("position", "x"))
+    reshaped = vectors.select("key", F.posexplode(F.get(V.reshaped(V.as_doubles("v"), 8, 8), F.lit(3))).alias("position", "x"))
+    nations = sorted(T(spark, d, "nation").select("n_nationkey", "n_regionkey").collect())  # 25 rows at every size
+    columns = frame.from_columns(spark, {"key": [r[0] for r in nations], "x": [r[1] for r in nations]})
+    regions = sorted(T(spark, d, "region").select("r_regionkey", F.length("r_name")).collect())
+    matrix = frame.from_matrix(spark, [[float(k), float(n)] for k, n in regions], ["key", "x"])
+    units = T(spark, d, "nation").select(F.col("n_nationkey").alias("key"), "n_regionkey", F.posexplode(V.flattened(V.identity(5))).alias("position", "x")).where("position div 5 = n_regionkey")
+    balance = T(spark, d, "customer").select(F.col("c_custkey").alias("key"), F.array(F.col("c_acctbal").cast("double")).alias("v"))
+    shifted = lambda w: balance.select("key", F.posexplode(V.add("v", w)).alias("position", "x"))
+    out = kind(panel, "panel")
+    for df, name in ((reshaped, "reshaped"), (columns, "columns"), (matrix, "matrix"), (units, "identity"), (shifted(V.ones(1)), "ones"), (shifted(V.zeros(1)), "zeros")):
+        out = out.unionByName(kind(df, name))
+    return out
 
 
 @query(f"""WITH p AS (SELECT c_acctbal, row_number() OVER (ORDER BY c_custkey) - 1 AS i FROM customer), n AS (SELECT count(*) AS n FROM customer),
@@ -95,12 +104,6 @@ def retrieve_by_text(spark, d):
     return index.retrieve("UNITED KINGDOM", 25).select(F.explode("hits").alias("h")).select("h.label", r("h.score", 5).alias("score"))
 
 
-@query("SELECT 3.5::DOUBLE AS poisson_mean, 3.5::DOUBLE AS poisson_variance, 4.0::DOUBLE AS binomial_mean, 2.4::DOUBLE AS binomial_variance")
-def distribution_moments(spark, d):
-    found = {"poisson_mean": D.poisson_mean(3.5), "poisson_variance": D.poisson_variance(3.5), "binomial_mean": D.binomial_mean(10, 0.4), "binomial_variance": D.binomial_variance(10, 0.4)}
-    return rounded(spark.range(1).select(*(F.lit(float(v)).alias(k) for k, v in found.items())))
-
-
 @query("""WITH c AS (SELECT date_trunc('month', o_orderdate) AS m, count(*) AS n FROM orders GROUP BY 1), s AS (SELECT row_number() OVER (ORDER BY m) - 1 AS p, CAST(n AS DOUBLE) AS x FROM c),
 z AS (SELECT CAST(2 ** ceil(log2(count(*))) AS BIGINT) AS n FROM s), b AS (SELECT unnest(range(0, (SELECT n FROM z))) AS k)
 SELECT k AS bin, round(sqrt(sum(x * cos(2 * pi() * k * p / n)) ** 2 + sum(x * sin(2 * pi() * k * p / n)) ** 2), 4) + 0.0 AS magnitude, round(sum(x * cos(2 * pi() * k * p / n)) / any_value(n), 7) + 0.0 AS inverse FROM s, z, b GROUP BY k""")

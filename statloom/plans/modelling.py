@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from statloom.core import with_stats
 from statloom.functions import bayes
 from statloom.functions import distributions as D
 from statloom.models.bayes import GaussianNaiveBayes, class_stats
@@ -245,7 +246,25 @@ def kmeans_two_steps(spark, d):
     return rounded(spark.createDataFrame(rows, "cluster int, x double, y double, inertia double"), 4, inertia=1)
 
 
-@query()
+def _lloyd(steps):
+    """So many steps of Lloyd's iterations of c0 (k, c, m) over v (p, e), for all k at once."""
+    out = []
+    for t in range(steps + 1):
+        out.append(f"a{t} AS (SELECT k, p, arg_min(c, (d, c)) AS c, min(d) AS d FROM (SELECT k, p, c, list_sum([(x[1] - x[2]) ** 2 for x in list_zip(e, m)]) AS d FROM v, c{t}) GROUP BY k, p)")
+        if t < steps:
+            out.append(f"c{t + 1} AS (SELECT k, c, list(x ORDER BY i) AS m FROM (SELECT k, c, i, avg(e[i]) AS x FROM a{t} JOIN v USING (p), (SELECT unnest(range(1, 65)) AS i) GROUP BY k, c, i) GROUP BY k, c)")
+    return ", ".join(out)
+
+
+#: The first centroids are the first rows of a shuffle that swaps each place, from the last on, with one drawn by a congruential generator.
+SHUFFLE = """v AS (SELECT embedding::DOUBLE[] AS e, row_number() OVER (ORDER BY vec_id) - 1 AS p FROM embeddings),
+s(i, state, l) AS (SELECT count(*) - 1, CAST(42 AS UHUGEINT), range(0, count(*)) FROM v
+UNION ALL SELECT i - 1, state, [CASE WHEN x = i THEN l[j + 1] WHEN x = j THEN l[i + 1] ELSE l[x + 1] END for x in range(0, len(l))]
+FROM (SELECT i, l, state, CAST(state % CAST(i + 1 AS UHUGEINT) AS BIGINT) AS j FROM (SELECT i, l, (state * CAST(6364136223846793005 AS UHUGEINT) + CAST(1442695040888963407 AS UHUGEINT)) % CAST(18446744073709551616 AS UHUGEINT) AS state FROM s WHERE i >= 1))),
+c0 AS (SELECT k, c, e AS m FROM (SELECT k, l, unnest(range(0, k)) AS c FROM s, (SELECT unnest([2, 3, 4]) AS k) WHERE i = 0) JOIN v ON p = l[c + 1])"""
+
+
+@query(f"WITH RECURSIVE {SHUFFLE}, {_lloyd(5)} SELECT CAST(k AS INTEGER) AS k, round(sum(d), 4) + 0.0 AS inertia FROM a5 GROUP BY k")
 def kmeans_elbow(spark, d):
     df = _embeddings(spark, d)
     rows = KMeans.elbow(df, "embedding", range(2, 5), "vec_id", iterations=5, seed=42)
@@ -302,14 +321,14 @@ def classification_averages(spark, d):
 # Distributions and Bayes
 
 
-def _k(spark, n):
-    return spark.range(n).select(F.col("id").alias("k"))
-
-
-@query("SELECT k, round(exp(-0.5 * z * z) / (2 * sqrt(2 * pi())), 8) + 0.0 AS pdf, round(-0.5 * z * z - ln(2) - 0.5 * ln(2 * pi()), 6) + 0.0 AS log_pdf FROM (SELECT k, (k / 10.0 - 5 - 1) / 2 AS z FROM (SELECT unnest(range(0, 100)) AS k))")
+@query("""WITH s AS (SELECT avg(c_acctbal / 1000) AS m, stddev_samp(c_acctbal / 1000) AS d FROM customer), z AS (SELECT c_custkey, d, (c_acctbal / 1000 - m) / d AS z FROM customer, s)
+SELECT c_custkey, round(exp(-0.5 * z * z) / (d * sqrt(2 * pi())), 8) + 0.0 AS pdf, round(-0.5 * z * z - ln(d) - 0.5 * ln(2 * pi()), 6) + 0.0 AS log_pdf FROM z""")
 def normal_pdf_logpdf(spark, d):
-    x = F.col("k") / 10 - 5
-    return rounded(_k(spark, 100).select("k", D.normal_pdf_column(x, 1, 2).alias("pdf"), D.normal_log_pdf_column(x, 1, 2).alias("log_pdf")), 8, log_pdf=6)
+    """Densities of the balances under a normal distribution that is fitted to them."""
+    x = F.col("c_acctbal") / 1000
+    customers = T(spark, d, "customer").select("c_custkey", "c_acctbal")
+    m, sd = customers.agg(F.avg(x), F.stddev_samp(x)).first()
+    return rounded(customers.select("c_custkey", D.normal_pdf_column(x, m, sd).alias("pdf"), D.normal_log_pdf_column(x, m, sd).alias("log_pdf")), 8, log_pdf=6)
 
 
 def _horner(c, x):
@@ -319,37 +338,89 @@ def _horner(c, x):
     return f"({out})"
 
 
-@query(f"""WITH p AS (SELECT k, (k + 1) / 201.0 AS p FROM (SELECT unnest(range(0, 200)) AS k)), q AS (SELECT k, CAST(p AS DOUBLE) AS p, CAST(p - 0.5 AS DOUBLE) AS c, sqrt(-2 * ln(least(p, 1 - p))) AS t FROM p)
-SELECT k, round(CASE WHEN p < {D.TAIL} THEN {_horner(D.QUANTILE_C, 't')} / {_horner((*D.QUANTILE_D, 1.0), 't')} WHEN p > 1 - {D.TAIL} THEN -{_horner(D.QUANTILE_C, 't')} / {_horner((*D.QUANTILE_D, 1.0), 't')} ELSE c * {_horner(D.QUANTILE_A, '(c * c)')} / {_horner((*D.QUANTILE_B, 1.0), '(c * c)')} END, 7) + 0.0 AS z FROM q""")
+#: Each part's share in the order of keys, as a probability that is neither 0 nor 1.
+SHARE = "p AS (SELECT p_partkey AS k, CAST(p_partkey + 1 AS DOUBLE) / (max(p_partkey) OVER () + 2) AS p FROM part)"
+
+
+def _shares(spark, d):
+    parts = with_stats(T(spark, d, "part").select("p_partkey"), _most=F.max("p_partkey"))
+    return parts.select("p_partkey", ((F.col("p_partkey") + 1).cast("double") / (F.col("_most") + 2)).alias("p"))
+
+
+@query(f"""WITH {SHARE}, q AS (SELECT k, p, p - 0.5 AS c, sqrt(-2 * ln(least(p, 1 - p))) AS t FROM p)
+SELECT k AS p_partkey, round(CASE WHEN p < {D.TAIL} THEN {_horner(D.QUANTILE_C, 't')} / {_horner((*D.QUANTILE_D, 1.0), 't')} WHEN p > 1 - {D.TAIL} THEN -{_horner(D.QUANTILE_C, 't')} / {_horner((*D.QUANTILE_D, 1.0), 't')} ELSE c * {_horner(D.QUANTILE_A, '(c * c)')} / {_horner((*D.QUANTILE_B, 1.0), '(c * c)')} END, 7) + 0.0 AS z FROM q""")
 def normal_quantile(spark, d):
-    return rounded(_k(spark, 200).select("k", D.normal_quantile_column((F.col("k") + 1) / 201.0).alias("z")), 7)
+    return rounded(_shares(spark, d).select("p_partkey", D.normal_quantile_column(F.col("p")).alias("z")), 7)
 
 
-@query("WITH k AS (SELECT unnest(range(0, 30)) AS k), p AS (SELECT k, exp(k * ln(3.5) - 3.5 - lgamma(k + 1)) AS pmf FROM k) SELECT k, round(pmf, 8) + 0.0 AS pmf, round(sum(pmf) OVER (ORDER BY k), 8) + 0.0 AS cdf FROM p")
+ORDERS = "n AS (SELECT c_custkey, c_nationkey, count(o_orderkey) AS k FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1, 2), r AS (SELECT c_nationkey, avg(k) AS rate, count(*) AS n, avg(CASE WHEN k > 8 THEN 1.0 ELSE 0.0 END) AS p FROM n GROUP BY 1)"
+
+
+def _orders_by_customer(spark, d):
+    """(c_custkey, c_nationkey, k), k being the customer's number of orders; and by nation their mean, number, and the share of those with more than 8."""
+    orders = T(spark, d, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count("*").alias("k"))
+    n = T(spark, d, "customer").select("c_custkey", "c_nationkey").join(orders, "c_custkey", "left").withColumn("k", F.coalesce("k", F.lit(0)))
+    return n, n.groupBy("c_nationkey").agg(F.avg("k").alias("rate"), F.count("*").alias("n"), F.avg(F.when(F.col("k") > 8, 1.0).otherwise(0.0)).alias("p"))
+
+
+@query(f"""WITH {ORDERS} SELECT c_custkey, round(exp(k * ln(rate) - rate - lgamma(k + 1)), 8) + 0.0 AS pmf,
+round(list_sum([exp(j * ln(rate) - rate - lgamma(j + 1)) for j in range(0, k + 1)]), 8) + 0.0 AS cdf FROM n JOIN r USING (c_nationkey)""")
 def poisson_pmf_cdf(spark, d):
-    return rounded(_k(spark, 30).select("k", D.column(D.poisson_pmf, 3.5)("k").alias("pmf"), D.column(D.poisson_cdf, 3.5)("k").alias("cdf")), 8)
+    """How likely each customer's number of orders is, if orders come at its nation's rate."""
+    n, rates = _orders_by_customer(spark, d)
+    made = n.join(rates, "c_nationkey")
+    return rounded(made.select("c_custkey", D.column(D.poisson_pmf)("k", "rate").alias("pmf"), D.column(D.poisson_cdf)("k", "rate").alias("cdf")), 8)
+
 
+LINES = "l AS (SELECT l_orderkey, count(*) AS n, count(*) FILTER (l_discount > 0.05) AS k FROM lineitem GROUP BY 1), s AS (SELECT sum(k) / sum(n) AS p FROM l)"
 
-@query("WITH k AS (SELECT unnest(range(0, 11)) AS k), p AS (SELECT k, exp(lgamma(11) - lgamma(k + 1) - lgamma(11 - k) + k * ln(0.4) + (10 - k) * ln(0.6)) AS pmf FROM k) SELECT k, round(pmf, 8) + 0.0 AS pmf, round(sum(pmf) OVER (ORDER BY k), 8) + 0.0 AS cdf FROM p")
+
+@query(f"""WITH {LINES} SELECT l_orderkey, round(exp(lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1) + k * ln(p) + (n - k) * ln(1 - p)), 8) + 0.0 AS pmf,
+round(list_sum([exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln(p) + (n - j) * ln(1 - p)) for j in range(0, k + 1)]), 8) + 0.0 AS cdf FROM l, s""")
 def binomial_pmf_cdf(spark, d):
-    return rounded(_k(spark, 11).select("k", D.column(D.binomial_pmf, 10, 0.4)("k").alias("pmf"), D.column(D.binomial_cdf, 10, 0.4)("k").alias("cdf")), 8)
+    """How likely an order's number of much discounted lines is, of its number of lines and at the share of all lines."""
+    lines = T(spark, d, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("n"), F.count_if(F.col("l_discount") > 0.05).alias("k"))
+    made = with_stats(lines, p=F.sum("k") / F.sum("n"))
+    return rounded(made.select("l_orderkey", D.column(D.binomial_pmf)("k", "n", "p").alias("pmf"), D.column(D.binomial_cdf)("k", "n", "p").alias("cdf")), 8)
 
 
-@query("SELECT k, round(1 - exp(-k / 4.0), 8) + 0.0 AS chi2_df2, round(0.5 + atan(k / 2.0 - 5) / pi(), 8) + 0.0 AS t_df1 FROM (SELECT unnest(range(0, 40)) AS k)")
+@query("SELECT c_custkey, round(CASE WHEN c_acctbal > 0 THEN 1 - exp(-c_acctbal / 2000) ELSE 0 END, 8) + 0.0 AS chi2_df2, round(0.5 + atan(c_acctbal / 1000) / pi(), 8) + 0.0 AS t_df1 FROM customer")
 def chi2_t_closed_forms(spark, d):
-    return rounded(_k(spark, 40).select("k", D.column(D.chi_squared_cdf, 2)(F.col("k") / 2).alias("chi2_df2"), D.column(D.t_cdf, 1)(F.col("k") / 2 - 5).alias("t_df1")), 8)
+    """Distribution functions of the balances, in thousands, with degrees of freedom that have a closed form."""
+    x = F.col("c_acctbal").cast("double") / 1000
+    return rounded(T(spark, d, "customer").select("c_custkey", D.column(D.chi_squared_cdf, 2)(x).alias("chi2_df2"), D.column(D.t_cdf, 1)(x).alias("t_df1")), 8)
+
+
+#: The distribution function of the normal distribution less a half: a series of positive terms.
+ERROR = "sign(x) * exp(-x * x / 2) / sqrt(2 * pi()) * list_sum([exp((2 * n + 1) * ln(greatest(abs(x), 1e-300)) - (n + 1) * ln(2) - lgamma(n + 1.5) + 0.5 * ln(pi())) for n in range(0, 150)])"
 
 
-@query()
+@query(f"""WITH {SHARE}, x AS (SELECT k, p, 8 * p - 4 AS x FROM p), j AS (SELECT unnest(range(0, 60)) AS j), a AS (SELECT j, sum(exp(j * ln(3.5) - 3.5 - lgamma(j + 1))) OVER (ORDER BY j) AS c FROM j),
+b AS (SELECT j, sum(exp(lgamma(11) - lgamma(j + 1) - lgamma(11 - j) + j * ln(0.4) + (10 - j) * ln(0.6))) OVER (ORDER BY j) AS c FROM j WHERE j <= 10)
+SELECT k AS p_partkey, round(0.5 + {ERROR}, 6) + 0.0 AS normal_cdf, round((2 * p - 1) / sqrt(2 * p * (1 - p)), 6) + 0.0 AS t_quantile,
+CAST((SELECT count(*) FROM a WHERE c < p) AS DOUBLE) AS poisson, CAST((SELECT count(*) FROM b WHERE c < p) AS DOUBLE) AS binomial FROM x""")
 def distribution_quantiles(spark, d):
-    p = (F.col("k") + 1) / 41.0
-    return rounded(_k(spark, 40).select("k", D.column(D.normal_cdf)(F.col("k") / 5 - 4).alias("normal_cdf"), D.column(D.t_quantile, 5)(p).alias("t_quantile"), D.column(D.poisson_quantile, 3.5)(p).alias("poisson"), D.column(D.binomial_quantile, 10, 0.4)(p).alias("binomial")))
+    p = F.col("p")
+    return rounded(_shares(spark, d).select("p_partkey", D.column(D.normal_cdf)(8 * p - 4).alias("normal_cdf"), D.column(D.t_quantile, 2)(p).alias("t_quantile"), D.column(D.poisson_quantile, 3.5)(p).alias("poisson"), D.column(D.binomial_quantile, 10, 0.4)(p).alias("binomial")))
+
+
+@query(f"WITH {ORDERS} SELECT c_nationkey, round(rate, 6) + 0.0 AS poisson_mean, round(rate, 6) + 0.0 AS poisson_variance, round(n * p, 6) + 0.0 AS binomial_mean, round(n * p * (1 - p), 6) + 0.0 AS binomial_variance FROM r")
+def distribution_moments(spark, d):
+    """Of each nation's number of orders a customer, and of its customers with more than 8."""
+    _, rates = _orders_by_customer(spark, d)
+    one = {"poisson_mean": D.poisson_mean, "poisson_variance": D.poisson_variance}
+    two = {"binomial_mean": D.binomial_mean, "binomial_variance": D.binomial_variance}
+    return rounded(rates.select("c_nationkey", *(D.column(f)("rate").alias(n) for n, f in one.items()), *(D.column(f)("n", "p").alias(n) for n, f in two.items())))
 
 
-@query("SELECT k, round(p * 0.95 / (p * 0.95 + (1 - p) * 0.02), 8) + 0.0 AS posterior FROM (SELECT k, (k + 1) / 100.0 AS p FROM (SELECT unnest(range(0, 50)) AS k))")
+@query("""WITH c AS (SELECT o_orderpriority AS priority, count(*) AS n, count(*) FILTER (o_orderstatus = 'F') AS f FROM orders GROUP BY 1)
+SELECT priority, round(f / sum(f) OVER (), 8) + 0.0 AS posterior, round(f / sum(f) OVER (), 8) + 0.0 AS from_rates FROM c""")
 def bayes_posterior(spark, d):
-    p = (F.col("k") + 1) / 100
-    return rounded(_k(spark, 50).select("k", bayes.posterior_column(p, F.lit(0.95), p * 0.95 + (1 - p) * 0.02).alias("posterior")), 8)
+    """Of a finished order, the probability of each priority: by the evidence, and by rates among the priority and all others."""
+    c = T(spark, d, "orders").groupBy(F.col("o_orderpriority").alias("priority")).agg(F.count("*").alias("n"), F.count_if(F.col("o_orderstatus") == "F").alias("f"))
+    c = with_stats(c, _n=F.sum("n"), _f=F.sum("f"))
+    prior, true, false, evidence = F.col("n") / F.col("_n"), F.col("f") / F.col("n"), (F.col("_f") - F.col("f")) / (F.col("_n") - F.col("n")), F.col("_f") / F.col("_n")
+    return rounded(c.select("priority", bayes.posterior_column(prior, true, evidence).alias("posterior"), bayes.posterior_column(prior, true, prior * true + (1 - prior) * false).alias("from_rates")), 8)
 
 
 @query("WITH c AS (SELECT l_returnflag AS flag, count(*) / (SELECT count(*) FROM lineitem) AS prior, avg(CASE WHEN l_discount > 0.05 THEN 1.0 ELSE 0 END) AS likelihood FROM lineitem GROUP BY 1) SELECT flag, round(prior * likelihood / sum(prior * likelihood) OVER (), 6) + 0.0 AS posterior FROM c")

@@ -262,16 +262,45 @@ def fourier_inverse(spark, d):
     return rounded(signal.fourier_inverse(signal.padded_rows(_all(spark, d), "value", "position"), "value", "position"), 5)
 
 
-@query("SELECT i AS position, round(1.5 + 2 * sin(2 * pi() * 5 * i / 100), 6) + 0.0 AS x FROM (SELECT unnest(range(0, 200)) AS i)")
+@query("""WITH l AS (SELECT l_orderkey * 10 + l_linenumber AS line, l_quantity > 1 AS many, l_quantity AS x FROM lineitem)
+SELECT line, many, round(sum(x) OVER w, 4) + 0.0 AS cumulative, round(avg(x) OVER (w ROWS BETWEEN 29 PRECEDING AND CURRENT ROW), 6) + 0.0 AS rolling FROM l WINDOW w AS (PARTITION BY many ORDER BY line)""")
+def series_of_a_hot_group(spark, d):
+    """Running sums and rolling means of two groups, one of which has nearly all lines: beyond 65,536 rows it goes block by block."""
+    lines = T(spark, d, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("line"), (F.col("l_quantity") > 1).alias("many"), F.col("l_quantity").alias("x"))
+    summed = series.cumulative_sum(lines, "x", "line", ("many",))
+    return rounded(series.rolling_mean(summed, "x", "line", 30, ("many",)).drop("x"), 6, cumulative=4)
+
+
+@query("SELECT p AS position, round(1.5 + 2 * sin(2 * pi() * 5 * p / 100), 6) + 0.0 AS wave, round(value * (1.5 + 2 * sin(2 * pi() * 5 * p / 100)), 5) + 0.0 AS modulated FROM (SELECT value, row_number() OVER (ORDER BY event_id) - 1 AS p FROM events)")
 def sine_wave(spark, d):
-    return rounded(generators.sine_wave(spark, 5, 100, 200, 2.0, 1.5))
+    """All events modulated by a wave that is as long as they are."""
+    events = _all(spark, d)
+    wave = generators.sine_wave(spark, 5, 100, events.count(), 2.0, 1.5)
+    made = events.join(wave, "position").select("position", F.col("x").alias("wave"), (F.col("value") * F.col("x")).alias("modulated"))
+    return rounded(made, 6, modulated=5)
 
 
-@query()
+@query("""SELECT kind, count(*) AS n, CAST(count(*) AS BIGINT) AS in_range, true AS mean_fits, true AS spread_fits
+FROM part, (SELECT unnest(['uniform', 'normal', 'exponential', 'binomial', 'integers']) AS kind) GROUP BY kind""")
 def random_series(spark, d):
-    parts = {"uniform": generators.uniform(spark, 100, -1, 1, 1), "normal": generators.normal(spark, 100, 5, 2, 2), "exponential": generators.exponential(spark, 100, 2, 3), "binomial": generators.binomial(spark, 100, 10, 0.3, 4), "integers": generators.integers(spark, 100, 3, 9, 5)}
+    """For each generator, noise for every part: how many numbers are in its range, and whether mean and spread are what they should be (within 8 standard errors)."""
+    parts = with_position(T(spark, d, "part").select("p_partkey"), "p_partkey")
+    n = parts.count()
+    wanted = {  # the generator's series, range, mean and variance
+        "uniform": (generators.uniform(spark, n, -1, 1, 1), -1, 1, 0, 1 / 3),
+        "normal": (generators.normal(spark, n, 5, 2, 2), -1e9, 1e9, 5, 4),
+        "exponential": (generators.exponential(spark, n, 2, 3), 0, 1e9, 0.5, 0.25),
+        "binomial": (generators.binomial(spark, n, 10, 0.3, 4), 0, 10, 3, 2.1),
+        "integers": (generators.integers(spark, n, 3, 9, 5), 3, 8, 5.5, 35 / 12),
+    }
     made = None
-    for name, df in parts.items():
-        df = df.select(F.lit(name).alias("kind"), "position", F.col("x").cast("double").alias("x"))
-        made = df if made is None else made.union(df)
+    for name, (df, low, high, mean, variance) in wanted.items():
+        noise = parts.join(df, "position").select(F.col("x").cast("double").alias("x"))
+        found = noise.agg(
+            F.count("*").alias("n"),
+            F.count_if(F.col("x").between(low, high)).alias("in_range"),
+            (F.abs(F.avg("x") - mean) < 8 * F.sqrt(F.lit(float(variance)) / F.count("*"))).alias("mean_fits"),
+            (F.abs(F.var_pop("x") / variance - 1) < 8 * F.sqrt(9.0 / F.count("*"))).alias("spread_fits"),
+        ).select(F.lit(name).alias("kind"), "*")
+        made = found if made is None else made.union(found)
     return made

@@ -4,10 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from statloom.core import with_position
+from statloom.core import joined, with_position
 from statloom.operators import aggregates as A
 from statloom.operators import frame, groups
-from statloom.operators.selection import joined
 from statloom.operators.series import sorted_indices
 from statloom.plans.registry import query, r, rounded
 from statloom.sources.files import table as T
@@ -285,6 +284,19 @@ def argsort(spark, d):
     return sorted_indices(T(spark, d, "customer"), "c_acctbal", "c_custkey")
 
 
+@query("SELECT p_partkey, p_brand, row_number() OVER (ORDER BY p_brand, p_partkey) - 1 AS position FROM part")
+def positions_by_brand(spark, d):
+    """Places in the order of a text and a number."""
+    return frame.ranked(T(spark, d, "part").select("p_partkey", "p_brand"), "p_brand", "p_partkey")
+
+
+@query("SELECT l_orderkey, l_linenumber, row_number() OVER (ORDER BY l_returnflag DESC, l_quantity, l_orderkey, l_linenumber) - 1 AS position FROM lineitem")
+def positions_of_hot_values(spark, d):
+    """Places in an order whose first column has three values for all rows."""
+    lines = T(spark, d, "lineitem").select("l_returnflag", "l_quantity", "l_orderkey", "l_linenumber")
+    return frame.ranked(lines, F.desc("l_returnflag"), "l_quantity", "l_orderkey", "l_linenumber").select("l_orderkey", "l_linenumber", "position")
+
+
 @query("SELECT event_id, CAST(trunc(value) AS INTEGER) AS label FROM events")
 def labels_column(spark, d):
     return T(spark, d, "events").select("event_id", frame.labels("value").alias("label"))

@@ -160,17 +160,27 @@ def solve_two_by_two(spark, d):
     return rounded(made.select("n_nationkey", "determinant", F.get("x", F.lit(0)).alias("x1"), F.get("x", F.lit(1)).alias("x2"), F.get(F.get("i", F.lit(0)), F.lit(0)).alias("inverse11")))
 
 
-@query()
+def _laplace(n):
+    """The determinant of m[i][j], i and j from 1, as a sum over permutations in SQL."""
+    from itertools import permutations
+
+    signs = {p: (-1) ** sum(p[i] > p[j] for i in range(n) for j in range(i + 1, n)) for p in permutations(range(n))}
+    return " + ".join(f"({s}) * " + " * ".join(f"m[{i + 1}][{j + 1}]" for i, j in enumerate(p)) for p, s in signs.items())
+
+
+@query(f"""WITH e AS (SELECT vec_id, {E_} AS e FROM embeddings), m AS (SELECT vec_id, [[e[i * 4 + j + 1] + CASE WHEN i = j THEN 1.5 ELSE 0 END for j in range(0, 4)] for i in range(0, 4)] AS m FROM e)
+SELECT vec_id, CAST(0 AS DOUBLE) AS error, round({_laplace(4)}, 5) + 0.0 AS from_pivots, round(ln(abs({_laplace(4)})), 5) + 0.0 AS log_abs FROM m""")
 def lu_reconstruct(spark, d):
-    """Largest error of P A - L U for 4 x 4 matrices of lineitem values, by return flag."""
-    li = T(spark, d, "lineitem").groupBy("l_returnflag").agg(F.array_sort(F.collect_set("l_quantity")).alias("v"))
-    m = li.select("l_returnflag", F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: F.transform(F.sequence(F.lit(0), F.lit(3)), lambda j: F.get("v", i * 7 + j * j) + F.when(i == j, 10.0).otherwise(0.0))).alias("m"))
+    """Largest error of P A - L U for 4 x 4 matrices of each embedding's components, and determinants from the pivots."""
+    row = lambda i: F.array(*(F.get("embedding", F.lit(i * 4 + j)).cast("double") + F.lit(1.5 if i == j else 0.0) for j in range(4)))
+    m = _vectors(spark, d).select("vec_id", F.array(*map(row, range(4))).alias("m"))
 
     def error(a):
         f = linalg.lu(a)
         return float(abs(a[f.permutation] - f.lower @ f.upper).max())
 
-    return m.select("l_returnflag", linalg.column(error)("m").alias("error"), linalg.column(linalg.condition_number)("m").alias("condition"), linalg.column(lambda a: linalg.log_determinant(a).log_abs)("m").alias("log_abs"))
+    made = m.select("vec_id", linalg.column(error)("m").alias("error"), linalg.column(lambda a: linalg.lu(a).determinant)("m").alias("from_pivots"), linalg.column(lambda a: linalg.log_determinant(a).log_abs)("m").alias("log_abs"))
+    return rounded(made, 5)
 
 
 @query("""SELECT c_custkey, round(sin(x), 6) + 0.0 AS sin, round(cos(x), 6) + 0.0 AS cos, round(tan(x), 3) + 0.0 AS tan, floor(x) + 0.0 AS floor, ceil(x) + 0.0 AS ceil, round(x) + 0.0 AS round,
@@ -204,11 +214,15 @@ def fractions(spark, d):
     return sizes.select("p_size", fraction_column(F.col("p_size") / 24).alias("f")).select("p_size", "f.*")
 
 
-@query("SELECT i AS position, CAST(CASE WHEN i = 0 THEN 0.5 ELSE 0 END AS DOUBLE) AS first_row, CAST(1 + i * 0.25 AS DOUBLE) AS stepped, round(-1 + CAST(i AS DOUBLE) * 2 / 7, 6) + 0.0 AS spaced, CAST(2.5 AS DOUBLE) AS filled FROM (SELECT CAST(unnest(range(0, 8)) AS INTEGER) AS i)")
+@query(f"""WITH e AS (SELECT vec_id, {E_} AS e FROM embeddings) SELECT vec_id, round(list_inner_product(e, [CAST(1 + i * 0.25 AS DOUBLE) for i in range(0, 64)]), 4) + 0.0 AS stepped,
+round(list_inner_product(e, [-1 + CAST(i AS DOUBLE) * 2 / 63 for i in range(0, 64)]), 5) + 0.0 AS spaced, round(list_sum(e) * 2.5, 5) + 0.0 AS filled, round(e[2], 6) + 0.0 AS on_diagonal, CAST(0 AS DOUBLE) AS off_diagonal FROM e""")
 def generated_vectors(spark, d):
-    diagonal = F.get(V.diagonal(V.full(8, 0.5)), F.lit(0))
-    zipped = F.arrays_zip(diagonal.alias("first_row"), V.arange(1, 3, 0.25).alias("stepped"), V.linspace(-1, 1, 8).alias("spaced"), V.full(8, 2.5).alias("filled"))
-    return rounded(spark.range(1).select(F.posexplode(zipped).alias("position", "z")).select("position", "z.*"))
+    """Products of the embeddings with generated vectors, and the first three components of each on a diagonal."""
+    diagonal = V.diagonal(F.slice("embedding", 1, 3))
+    at = lambda i, j: F.get(F.get(diagonal, F.lit(i)), F.lit(j))
+    products = {"stepped": V.arange(1, 17, 0.25), "spaced": V.linspace(-1, 1, 64), "filled": V.full(64, 2.5)}
+    made = _vectors(spark, d).select("vec_id", *(V.dot("embedding", v).alias(n) for n, v in products.items()), at(1, 1).alias("on_diagonal"), at(1, 2).alias("off_diagonal"))
+    return rounded(made, 5, stepped=4, on_diagonal=6)
 
 
 # Texts

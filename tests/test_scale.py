@@ -179,3 +179,89 @@ def test_spectra_of_whole_tables(spark, n, windowed):
 def test_transform_of_a_wrong_size(spark):
     with pytest.raises(ValueError, match="power of two"):
         signal.fourier(spark.range(3).select("id", F.lit(1.0).alias("x")), "x", "id")
+
+
+@pytest.mark.parametrize("block", [1 << 16, 40])
+def test_series_of_one_hot_group(spark, monkeypatch, block):
+    """A group that holds nearly all rows goes over many blocks; its neighbours are short, and one has no name."""
+    from statloom import core
+    from statloom.operators import series as S
+
+    monkeypatch.setattr(core, "BLOCK", block)
+    rng = np.random.default_rng(2)
+    held = {"hot": rng.uniform(0.5, 1.5, 700), "short": rng.uniform(0.5, 1.5, 30), None: rng.uniform(0.5, 1.5, 55), "one": np.array([2.0])}
+    rows = [(g, k * 7 + len(str(g)), float(x)) for g, values in held.items() for k, x in enumerate(values)]
+    df = spark.createDataFrame(rows, "g string, t long, x double").repartition(4)
+    by = ("g",)
+
+    def series(made, name):
+        out = {}
+        for r in made.orderBy("t").collect():
+            out.setdefault(r["g"], []).append(r[name])
+        return out
+
+    def smoothed(v):
+        out = [v[0]]
+        for x in v[1:]:
+            out.append(0.2 * x + 0.8 * out[-1])
+        return out
+
+    rolling = lambda v: [np.mean(v[max(0, k - 49) : k + 1]) if len(v) >= 50 else np.mean(v) for k in range(len(v))]
+    for made, name, want in (
+        (S.cumulative_sum(df, "x", "t", by), "cumulative", np.cumsum),
+        (S.cumulative_product(df, "x", "t", by), "cumulative", np.cumprod),
+        (S.rolling_mean(df, "x", "t", 50, by), "rolling", rolling),
+        (S.exponential_mean(df, "x", "t", alpha=0.2, by=by), "smoothed", smoothed),
+        (S.diff(df, "x", "t", 3, by), "diff", lambda v: v[3:] - v[:-3]),
+        (S.percent_change(df, "x", "t", 1, by), "change", lambda v: (v[1:] / v[:-1] - 1) * 100),
+        (S.cumulative_trapezoidal(df, "x", "t", 0.5, by), "integral", lambda v: np.concatenate([[0], np.cumsum((v[1:] + v[:-1]) / 4)])),
+    ):
+        found = series(made, name)
+        for g, values in held.items():
+            assert np.allclose(found.get(g, []), want(values), rtol=1e-9), (name, g)
+    if block == 40:
+        plan = S.cumulative_sum(df, "x", "t", by)._jdf.queryExecution().optimizedPlan().toString()
+        windows = [line for line in plan.splitlines() if line.strip(" :+-").startswith("Window")]
+        assert windows and all("_place_" in w or "_prefix_" in w for w in windows)
+    assert S.cumulative_sum(df.withColumn("t", F.lpad(F.col("t").cast("string"), 9, "0")), "x", "t", by).count() == len(rows)
+
+
+def test_array_forms_of_distributions():
+    """The array forms are the functions of numbers, also where those are undefined."""
+    from statloom.functions import distributions as D
+
+    rng = np.random.default_rng(6)
+    grids = {
+        D.normal_cdf: [rng.normal(0, 3, 200), rng.normal(0, 1, 200), rng.uniform(-0.2, 3, 200)],
+        D.chi_squared_cdf: [rng.uniform(-2, 60, 400), rng.uniform(-1, 40, 400)],
+        D.t_cdf: [np.append(rng.normal(0, 3, 399), 0.0), rng.uniform(-0.5, 30, 400)],
+        D.poisson_pmf: [rng.integers(-2, 60, 300).astype(float), rng.uniform(-1, 40, 300)],
+        D.poisson_cdf: [rng.integers(-2, 60, 300).astype(float), rng.uniform(-1, 40, 300)],
+        D.binomial_pmf: [rng.integers(-1, 20, 400).astype(float), rng.integers(0, 20, 400).astype(float), np.append(rng.uniform(-0.1, 1.1, 396), [0, 1, 0, 1])],
+        D.binomial_cdf: [rng.integers(-1, 20, 400).astype(float), rng.integers(0, 20, 400).astype(float), np.append(rng.uniform(-0.1, 1.1, 396), [0, 1, 0, 1])],
+    }
+    assert grids.keys() == D.ARRAYS.keys()
+    for f, columns in grids.items():
+        defined, whole = D.ARRAYS[f]
+        with np.errstate(all="ignore"):
+            found = D._where(defined(*columns), whole, *columns)
+        for got, *row in zip(found, *columns):
+            want = f(*(int(v) if f in (D.poisson_pmf, D.binomial_pmf, D.binomial_cdf, D.poisson_cdf) and k < (1 if f in (D.poisson_pmf, D.poisson_cdf) else 2) else v for k, v in enumerate(row)))
+            assert (np.isnan(got) and want is None) or got == pytest.approx(want, rel=1e-9, abs=1e-12), (f.__name__, row)
+
+
+def test_ranked(spark):
+    """Texts, descending numbers, nulls, NaN and one value that all rows share but for a second column; positions are without gaps."""
+    from statloom.operators import frame
+
+    rng = np.random.default_rng(7)
+    rows = [(k, rng.choice(["b", "a", None]), float(rng.choice([1.0, 2.0, float("nan")])), "hot") for k in range(500)]
+    df = spark.createDataFrame(rows, "k long, s string, x double, h string").repartition(7)
+    found = frame.ranked(df, "s", F.desc("x"), "k", name="at").orderBy("at").collect()
+    place = {None: 0, "a": 1, "b": 2}
+    want = sorted(rows, key=lambda r: (place[r[1]], 0 if r[2] != r[2] else -r[2] + 3, r[0]))
+    assert [r["at"] for r in found] == list(range(500)) and [r["k"] for r in found] == [r[0] for r in want]
+    hot = frame.ranked(df, "h", "k")
+    assert [tuple(r) for r in hot.select("k", "position").orderBy("k").collect()] == [(k, k) for k in range(500)]
+    assert frame.ranked(df.where("k < 0"), "h").count() == 0
+    assert sorted(r["position"] for r in frame.ranked(df, "h").collect()) == list(range(500))
