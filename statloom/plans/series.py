@@ -262,13 +262,13 @@ def fourier_inverse(spark, d):
     return rounded(signal.fourier_inverse(signal.padded_rows(_all(spark, d), "value", "position"), "value", "position"), 5)
 
 
-@query("""WITH l AS (SELECT l_orderkey * 10 + l_linenumber AS line, l_quantity > 1 AS many, l_quantity AS x FROM lineitem)
-SELECT line, many, round(sum(x) OVER w, 4) + 0.0 AS cumulative, round(avg(x) OVER (w ROWS BETWEEN 29 PRECEDING AND CURRENT ROW), 6) + 0.0 AS rolling FROM l WINDOW w AS (PARTITION BY many ORDER BY line)""")
+@query("""WITH e AS (SELECT event_id, value > 2 AS many, value AS x FROM events)
+SELECT event_id, many, round(sum(x) OVER (w ROWS UNBOUNDED PRECEDING), 3) + 0.0 AS cumulative, round(avg(x) OVER (w ROWS BETWEEN 29 PRECEDING AND CURRENT ROW), 6) + 0.0 AS rolling FROM e WINDOW w AS (PARTITION BY many ORDER BY event_id)""")
 def series_of_a_hot_group(spark, d):
-    """Running sums and rolling means of two groups, one of which has nearly all lines: beyond 65,536 rows it goes block by block."""
-    lines = T(spark, d, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("line"), (F.col("l_quantity") > 1).alias("many"), F.col("l_quantity").alias("x"))
-    summed = series.cumulative_sum(lines, "x", "line", ("many",))
-    return rounded(series.rolling_mean(summed, "x", "line", 30, ("many",)).drop("x"), 6, cumulative=4)
+    """Running sums and rolling means of two groups, one of which has nearly all events: beyond 65,536 rows it goes block by block."""
+    events = T(spark, d, "events").select("event_id", (F.col("value") > 2).alias("many"), F.col("value").alias("x"))
+    summed = series.cumulative_sum(events, "x", "event_id", ("many",))
+    return rounded(series.rolling_mean(summed, "x", "event_id", 30, ("many",)).drop("x"), 6, cumulative=3)
 
 
 @query("SELECT p AS position, round(1.5 + 2 * sin(2 * pi() * 5 * p / 100), 6) + 0.0 AS wave, round(value * (1.5 + 2 * sin(2 * pi() * 5 * p / 100)), 5) + 0.0 AS modulated FROM (SELECT value, row_number() OVER (ORDER BY event_id) - 1 AS p FROM events)")
