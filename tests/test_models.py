@@ -75,6 +75,10 @@ def test_saved_scalers_and_neighbours(spark, rows, tmp_path):
         assert type(scaler).from_json(scaler.to_json()) == scaler
     model = KNearestNeighbours.fit(rows, "id", "x", "label", 5, "cosine", "distance")
     model.save(str(tmp_path / "knn"))
+    scaler.save(str(tmp_path / "scaler"), spark)
+    assert FeatureScaler.load(str(tmp_path / "scaler"), spark) == scaler
+    with pytest.raises(ValueError, match="length"):
+        model.neighbours(spark.createDataFrame([(1, [1.0]), (2, [1.0, 2.0])], "id long, x array<double>"), "id", "x")
     again = KNearestNeighbours.load(spark, str(tmp_path / "knn"))
     assert (again.k, again.metric, again.weight) == (5, "cosine", "distance") and again.train.count() == 90
 
@@ -104,7 +108,8 @@ def test_bounds(spark, monkeypatch):
     with pytest.raises(ValueError):
         groups.contingency(df, "id", "x", 9999)
     assert groups.contingency(df, "id", "x", 10_000).count() == 10_000
-    monkeypatch.setattr(signal, "LARGEST", 99)
+    monkeypatch.setattr(signal, "GROUP", 4)  # a series has no bound: its blocks have
+    assert signal.fourier(df.where("id < 64"), "x", "id").agg(F.max("bin")).first()[0] == 63
     with pytest.raises(ValueError):
         signal.fourier(df, "x", "id")
 
