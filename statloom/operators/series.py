@@ -15,6 +15,9 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 from statloom import core
 from statloom.core import double, is_ordinal, joined, over_blocks, prefix_sums, with_position, with_stats
 
+#: A rolling window of more rows than this is compared with the series' lengths first, as each of its rows is read for every position.
+WIDE = 1 << 10
+
 
 def _short(df: DataFrame, order: str, by: tuple[str, ...]) -> bool:
     """Whether a plain window is enough for each group."""
@@ -46,11 +49,16 @@ def cumulative_product(df: DataFrame, x: str, order: str, by: tuple[str, ...] =
 
 
 def rolling_mean(df: DataFrame, x: str, order: str, window: int, by: tuple[str, ...] = (), name: str = "rolling") -> DataFrame:
-    """Mean of the last ``window`` values, of fewer at the start; of the whole series if it is shorter; no rows if window < 1."""
+    """Mean of the last ``window`` values, of fewer at the start; of the whole series if it is shorter; no rows if window < 1.
+
+    A wide window that no series fills takes one aggregate and no window of rows.
+    """
     if window < 1:
         return df.withColumn(name, F.lit(None).cast("double")).where(F.lit(False))
-    made = _looking_back(df, order, by, window - 1, **{name: lambda w: F.avg(double(x)).over(w.rowsBetween(1 - window, 0))})
     whole = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), F.avg(double(x)).alias("_mean"))
+    if window > WIDE and (whole.agg(F.max("_n")).first()[0] or 0) < window:
+        return joined(df, whole, by).withColumn(name, F.col("_mean")).drop("_n", "_mean")
+    made = _looking_back(df, order, by, window - 1, **{name: lambda w: F.avg(double(x)).over(w.rowsBetween(1 - window, 0))})
     return joined(made, whole, by).withColumn(name, F.when(F.col("_n") < window, F.col("_mean")).otherwise(F.col(name))).drop("_n", "_mean")
 
 

@@ -29,7 +29,9 @@ def rolling_mean_50_whole(spark, d):
 
 @query("SELECT s_suppkey, round(avg(s_acctbal) OVER (), 6) + 0.0 AS rolling FROM supplier")
 def rolling_window_larger_than_n(spark, d):
-    return rounded(series.rolling_mean(T(spark, d, "supplier"), "s_acctbal", "s_suppkey", 5000).select("s_suppkey", "rolling"))
+    """The window is larger than the table, however many suppliers there are."""
+    suppliers = T(spark, d, "supplier").select("s_suppkey", "s_acctbal")
+    return rounded(series.rolling_mean(suppliers, "s_acctbal", "s_suppkey", max(5000, suppliers.count() + 1)).select("s_suppkey", "rolling"))
 
 
 @query("SELECT event_id, round(value - lag(value, 2) OVER w, 6) + 0.0 AS diff FROM events WINDOW w AS (PARTITION BY event_type ORDER BY event_id) QUALIFY lag(event_id, 2) OVER w IS NOT NULL")

@@ -265,3 +265,19 @@ def test_ranked(spark):
     assert [tuple(r) for r in hot.select("k", "position").orderBy("k").collect()] == [(k, k) for k in range(500)]
     assert frame.ranked(df.where("k < 0"), "h").count() == 0
     assert sorted(r["position"] for r in frame.ranked(df, "h").collect()) == list(range(500))
+
+
+def test_rolling_window_larger_than_n_of_more_suppliers(spark, tmp_path):
+    """The window grows with the table, and a window that no series fills is an aggregate; one that only some fill is rolled for these."""
+    from statloom.operators import series as S
+    from statloom.plans import catalogue
+
+    suppliers = spark.range(6000).select(F.col("id").alias("s_suppkey"), (F.col("id") % 97).cast("double").alias("s_acctbal"))
+    suppliers.repartition(3).write.parquet(f"{tmp_path}/supplier.parquet")
+    made = catalogue.QUERIES["rolling_window_larger_than_n"](spark, str(tmp_path))
+    assert {r["rolling"] for r in made.collect()} == {round(sum(k % 97 for k in range(6000)) / 6000, 6)} and made.count() == 6000
+    assert "Window" not in made._jdf.queryExecution().optimizedPlan().toString()
+    groups = spark.range(1600).select("id", F.when(F.col("id") < 1300, "long").alias("g"), F.col("id").cast("double").alias("x"))
+    found = {r["id"]: r["rolling"] for r in S.rolling_mean(groups, "x", "id", 1200, ("g",)).collect()}
+    assert len(found) == 1600 and found[1299] == np.mean(range(100, 1300)) and found[0] == 0 and {found[k] for k in range(1300, 1600)} == {1449.5}
+    assert {r["rolling"] for r in S.rolling_mean(groups, "x", "id", 1400, ("g",)).collect()} == {649.5, 1449.5}
