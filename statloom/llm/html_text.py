@@ -7,8 +7,9 @@ a short paragraph. From a surge on, to both sides, the text is kept up to the di
 alone at the ends of what is kept go. A line that the windows leave out stays if it isn't links alone and lies in the same
 element as lines that are kept: a short paragraph beside a list of links, say.
 
-If the page names an article or a main part (an element, else one by class or id), the lines are those inside it: text outside is left
-out, however long, and a line inside weighs as much more as a dive is, so that no window dives before the part ends and nothing in it is left out.
+If the page names an article or a main part (an element, else one by class or id), what lies outside counts as empty lines as well, however
+long. Windows, surges and dives are taken as on any page, and a check follows: a line inside the part that the dives cut off is put back, as
+nothing in the part may be left out.
 
 Character references are decoded, white space inside a block becomes one space, blocks are joined by an empty line. Null or empty
 html gives an empty text; unclosed and truncated markup is read as far as it goes. Repeated rows give equal texts, empty tables none. The whole
@@ -219,15 +220,11 @@ def lines(html: str) -> tuple[list[tuple[str, int, int]], list[int]]:
     return out, parents
 
 
-def main_lines(found: list[tuple[str, int, int]], parents: Sequence[int] = ()) -> list[str]:
-    """The lines between surges and dives of the windowed weights, and those in one element with them."""
-    named = max((rank for text, rank, _ in found if text), default=0)
-    if named:  # what the part excludes is no line of it
-        found, parents = [x for x in found if x[0] and x[1] == named], ()
-    if not any(text for text, _, _ in found):
-        return []
-    weight = np.array([size + DIVE if named else size for _, _, size in found], float)
-    weight[[not text for text, _, _ in found]] = 0
+def surge_to_dive(weight: np.ndarray) -> np.ndarray:
+    """Which lines lie between the dives on both sides of a surge of the windowed weights; lines without weight at the ends go."""
+    kept = np.zeros(len(weight), bool)
+    if not weight.any():
+        return kept
     total = np.concatenate([np.zeros(WINDOW), np.cumsum(weight), np.full(WINDOW - 1, weight.sum())])
     windows = total[WINDOW:] - total[:-WINDOW]  # windows[i] ends at line i, and begins WINDOW - 1 before
     heaviest = windows.max()
@@ -236,18 +233,28 @@ def main_lines(found: list[tuple[str, int, int]], parents: Sequence[int] = ()) -
     # runs of windows over the dive, of which those with a surge are kept
     start = np.flatnonzero(over & ~np.concatenate([[False], over[:-1]]))
     stop = np.flatnonzero(over & ~np.concatenate([over[1:], [False]])) + 1
-    kept = np.zeros(len(found), bool)
     for a, b in zip(start, stop):
         if windows[a:b].max() < surge:
             continue
-        first, last = max(0, a - WINDOW + 1), min(len(found), b)
+        first, last = max(0, a - WINDOW + 1), min(len(weight), b)
         own = np.flatnonzero(weight[first:last] > 0)  # the ends: neither excluded nor links alone
         if len(own):
             kept[first + own[0] : first + own[-1] + 1] = True
-    if len(parents):
+    return kept
+
+
+def main_lines(found: list[tuple[str, int, int]], parents: Sequence[int] = ()) -> list[str]:
+    """The lines between surges and dives of the windowed weights, and by the check that follows those in one element, or the named part, with them."""
+    named = max((rank for text, rank, _ in found if text), default=0)
+    inside = np.array([bool(text) and rank == named for text, rank, _ in found], bool)
+    weight = np.where(inside, [size for _, _, size in found], 0.0)
+    kept = surge_to_dive(weight)
+    if named:
+        kept |= inside
+    elif len(parents):
         held = np.asarray(parents)
         kept |= (weight > 0) & np.isin(held, held[kept & (weight > 0)])
-    return [text for (text, _, _), stays in zip(found, kept) if stays and text]
+    return [text for (text, _, _), stays, own in zip(found, kept, inside) if stays and own]
 
 
 def extract(html: str | None) -> str:

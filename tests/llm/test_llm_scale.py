@@ -369,6 +369,18 @@ def test_html_without_its_article_element(spark, data):
         assert html_text.extract(bare) == html_text.extract(r["html"])
 
 
+def test_windows_decide_inside_a_named_part(spark, data):
+    """Surges and dives of a line's own weight give the text that an article names, before the check; the check puts back what they cut off."""
+    for r in spark.read.parquet(f"{data}/pages.parquet").collect():
+        found, _ = html_text.lines(r["html"])
+        weight = np.array([size if text and rank == 2 else 0 for text, rank, size in found], float)
+        kept = html_text.surge_to_dive(weight)
+        assert [x[0] for x, stays in zip(found, kept) if stays and x[0] and x[1] == 2] == html_text.main_lines(found)
+    found = [("x" * n, 2, size) for n, size in ((300, 300), (9, 0), (9, 0), (9, 0), (9, 0), (8, 8))]  # four lines of links, then a short one
+    assert html_text.surge_to_dive(np.array([size for _, _, size in found], float)).tolist() == [True] + [False] * 5
+    assert html_text.main_lines([("y" * 900, 0, 900), *found]) == [x[0] for x in found]
+
+
 def test_a_line_between_two_runs_comes_once():
     assert html_text.main_lines([("x" * n, 0, n) for n in (300, 0, 8, 0, 300)]) == ["x" * 300, "x" * 8, "x" * 300]
 
