@@ -1,5 +1,7 @@
 """Order statistics, cells, the inverted file and transforms of long series: against brute force, with bounds so small that every step is taken."""
 
+import math
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -250,6 +252,31 @@ def test_array_forms_of_distributions():
             assert (np.isnan(got) and want is None) or got == pytest.approx(want, rel=1e-9, abs=1e-12), (f.__name__, row)
 
 
+def test_array_forms_of_quantiles(spark):
+    """As the functions of numbers, also in far tails, at the ends and where undefined; and as closed forms, without a call for each value."""
+    from statloom.functions import distributions as D
+
+    rng = np.random.default_rng(8)
+    p = np.concatenate([rng.uniform(0, 1, 200), 10.0 ** -rng.uniform(1, 13, 60), 1 - 10.0 ** -rng.uniform(1, 13, 60), [0.5, 0.2, 0.8, 0.0, 1.0, -0.1, 1.1, math.nan]])
+    cases = [(D.t_quantile, (df,)) for df in (0.1, 1.0, 2.0, 7.5, 300.0, -1.0)] + [(D.poisson_quantile, (r,)) for r in (0.3, 3.5, 90.0, 0.0)]
+    cases += [(D.binomial_quantile, (n, q)) for n, q in ((10, 0.4), (0, 0.3), (10, 0.0), (10, 1.0), (200, 0.01), (10, 1.5))]
+    for f, fixed in cases:
+        defined, whole = D.QUANTILES[f]
+        columns = [p, *(np.full(len(p), float(v)) for v in fixed)]
+        with np.errstate(all="ignore"):
+            found = D._where(defined(*columns), whole, *columns)
+        for got, x in zip(found, p):
+            want = f(float(x), *fixed)
+            assert (np.isnan(got) and want is None) or got == pytest.approx(want, rel=1e-10, abs=1e-11), (f.__name__, fixed, x)
+    q = np.concatenate([np.arange(1, 40) / (1 << 23), np.arange(1, 64) / 64, 0.5 + np.arange(-9, 10) / (1 << 23)])
+    closed = (2 * q - 1) / np.sqrt(2 * q * (1 - q))
+    with np.errstate(all="ignore"):
+        assert np.allclose(D._t_quantile_array(q, np.full(len(q), 2.0)), closed, rtol=1e-11, atol=1e-12)
+    assert [D.t_quantile(float(x), 2) for x in q] == pytest.approx(closed.tolist(), rel=1e-11, abs=1e-11)
+    df = spark.createDataFrame([(float(x),) for x in q] + [(None,)], "p double")
+    assert [r[0] for r in df.select(D.column(D.t_quantile, 2)("p")).collect()] == [*map(pytest.approx, closed), None]
+
+
 def test_ranked(spark):
     """Texts, descending numbers, nulls, NaN and one value that all rows share but for a second column; positions are without gaps."""
     from statloom.operators import frame
