@@ -2,8 +2,10 @@
 
 import math
 import random
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -169,6 +171,30 @@ def test_neighbours_against_all_distances(spark, monkeypatch, metric):
     assert KNearestNeighbours.fit(rows, "id", "x", "label", 6, metric).neighbours(asked.where("id < 0"), "id", "x").collect() == []
 
 
+@pytest.mark.parametrize("metric", ["euclidean", "cosine"])
+@pytest.mark.parametrize("tile", [1 << 18, 64])
+def test_a_task_gives_the_k_nearest_only(monkeypatch, metric, tile):
+    """Of any number of copies and queries, over many batches: the first k by distance and id, whose order is that of texts here."""
+    from statloom.models import neighbours as N
+
+    monkeypatch.setattr(N, "TILE", tile)
+    draw = np.random.default_rng(9)
+    rows = np.concatenate([np.repeat(draw.standard_normal((3, 8)), 150, axis=0), draw.standard_normal((150, 8)), 1e6 * draw.standard_normal((5, 8))])
+    if metric == "cosine":
+        rows /= np.sqrt((rows**2).sum(1, keepdims=True))
+    ids = [str(k) for k in draw.permutation(len(rows))]
+    asked = rows[::9]
+    batches = [pa.record_batch({"neighbour": ids[a : a + 40], "label": list(range(len(rows)))[a : a + 40], "b": pa.array(rows[a : a + 40].tolist())}) for a in range(0, len(rows), 40)]
+    shipped = SimpleNamespace(value=(pa.array(range(len(asked))), asked))
+    found = pa.Table.from_batches(list(N._nearest(shipped, 8, 6, metric)(iter(batches)))).to_pylist()
+    assert len(found) == 6 * len(asked)
+    for q, own in enumerate(asked):
+        total = np.cumsum(rows * own if metric == "cosine" else np.square(rows - own), axis=1)[:, -1]
+        distance = np.sqrt(total) if metric == "euclidean" else np.where(1 - total < 1e-12, 0.0, 1 - total)
+        want = sorted(zip(distance.tolist(), ids))[:6]
+        assert [(r["distance"], r["neighbour"]) for r in found if r["query"] == q] == want
+
+
 def test_tokens_against_a_split_by_characters(spark):
     """Punctuation goes at the ends of tokens only; a long run of it within a token takes no quadratic time."""
     space, draw = " \t\n\u0085 　", random.Random(5)
