@@ -17,6 +17,7 @@ import os
 import zlib
 from codecs import charmap_decode
 from collections.abc import Iterator
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -118,30 +119,29 @@ class TokenIds:
         return [np.array(e.ids, "<u4").tobytes() for e in self.whole.encode_batch_fast(pieces, add_special_tokens=False)] if pieces else []
 
     def _learn(self, pieces: list[str]) -> None:
-        names, words, tails, odd = [], [], [], []
-        for piece in pieces:
-            word = piece.rstrip(self.MARKS)
-            if self.plain and word.isalpha() and (word.isascii() or max(word) < "\u0100"):
-                names.append(piece)
-                words.append(word)
-                tails.append(piece[len(word) :])
-            else:
-                odd.append(piece)
+        bare = [piece.rstrip(self.MARKS) for piece in pieces]
+        fine = [self.plain and word.isalpha() and (word.isascii() or max(word) < "\u0100") for word in bare]
+        odd = [piece for piece, own in zip(pieces, fine) if not own]
+        names, words = list(compress(pieces, fine)), list(compress(bare, fine))
+        tails = [name[len(word) :] for name, word in zip(names, words)]
         self.young.update(zip(odd, self._whole(odd)))
         if len(self.marks) > 10_000:
             self.marks = {"": b""}
         new = [m for m in set(tails) if m not in self.marks]
         self.marks.update(zip(new, self._whole(new)))
-        lines = [charmap_decode(" ".join(words[k : k + 512]).lower().encode(), "strict", self.byte_level)[0] for k in range(0, len(words), 512)]
-        if not lines:
+        if not names:
             return
+        words = "\n".join(words).lower().split("\n")
+        different = list(dict.fromkeys(words))  # a word is met with several marks, and in either case
+        lines = [charmap_decode(" ".join(different[k : k + 512]).encode(), "strict", self.byte_level)[0] for k in range(0, len(different), 512)]
         ids = np.concatenate([np.array(e.ids, "<u4") for e in self.merges.encode_batch_fast(lines, add_special_tokens=False)])
         cuts = ((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist()
-        if len(cuts) != len(words):  # a word whose end is no token of its own
+        if len(cuts) != len(different):  # a word whose end is no token of its own
             self.young.update(zip(names, self._whole(names)))
             return
         raw, marks = ids.tobytes(), self.marks
-        self.young.update((name, raw[a:b] + marks[tail]) for name, tail, a, b in zip(names, tails, [0, *cuts], cuts))
+        found = {word: raw[a:b] for word, a, b in zip(different, [0, *cuts], cuts)}
+        self.young.update((name, found[word] + marks[tail]) for name, word, tail in zip(names, words, tails))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if not self.pieces:
@@ -152,7 +152,7 @@ class TokenIds:
             self.old, self.young = self.young, {"": b""}
         new = need.difference(self.young)
         if new and self.old:
-            again = new.intersection(self.old)
+            again = self.old.keys() & new  # walks through new, where an intersection with a dict walks through the dict
             self.young.update((p, self.old[p]) for p in again)
             new -= again
         if new:

@@ -6,6 +6,7 @@ import re
 import time
 import zlib
 from collections import Counter, defaultdict
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
@@ -369,6 +370,26 @@ def test_html_without_its_article_element(spark, data):
         assert html_text.extract(bare) == html_text.extract(r["html"])
 
 
+def test_a_word_is_merged_once():
+    """With whatever marks and in either case; and what is met again moves on without a walk through all that was kept. Ids are the tokenizer's own."""
+    import public_tokenizers
+
+    from statloom.llm import packing
+
+    class Walked(dict):
+        def __iter__(self):
+            raise AssertionError("walks through the dictionary")
+
+    ids = packing.TokenIds(public_tokenizers.path("word_bpe_49k.json"))
+    seen, merges = [], ids.merges
+    ids.merges = SimpleNamespace(encode_batch_fast=lambda lines, **options: seen.extend(w for line in lines for w in line.split(" ")) or merges.encode_batch_fast(lines, **options))
+    texts = ["Zorbing zorbing, zorbing. (zorbing) ZORBING!", "\u00c9lan \u00e9lan, x1 zorbing;"]
+    want = [np.array(e.ids, "<u4").tobytes() for e in ids.whole.encode_batch_fast(texts, add_special_tokens=False)]
+    assert ids.encode(texts) == want and seen.count("zorbing") == 1 and len(seen) == len(set(seen))
+    ids.young, ids.old = {"": b""}, Walked(ids.young)
+    assert ids.encode(texts) == want and len(seen) == len(set(seen))
+
+
 def test_windows_decide_inside_a_named_part(spark, data):
     """Surges and dives of a line's own weight give the text that an article names, before the check; the check puts back what they cut off."""
     for r in spark.read.parquet(f"{data}/pages.parquet").collect():
