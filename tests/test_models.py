@@ -195,6 +195,21 @@ def test_a_task_gives_the_k_nearest_only(monkeypatch, metric, tile):
         assert [(r["distance"], r["neighbour"]) for r in found if r["query"] == q] == want
 
 
+def test_a_task_holds_k_rows_for_each_query_only():
+    """Rows that are all nearer than those before, then copies of one row: what is held doesn't grow with the rows met."""
+    from statloom.models import neighbours as N
+
+    asked = np.eye(4)
+    near = N._Near(pa.array(range(4)), asked, 7, "cosine")
+    for step in range(30):
+        rows = np.repeat(asked, 25, axis=0) + 1 / (1 + min(step, 20))
+        rows /= np.sqrt((rows**2).sum(1, keepdims=True))
+        near.offer(rows, pa.array(range(1000 * step, 1000 * step + 100)), pa.array([0] * 100))
+        assert len(near.query) == len(near.distance) == len(near.neighbour) == len(near.label) == 4 * 7
+    found = next(near.nearest()).to_pylist()
+    assert all(r["neighbour"] // 1000 == 20 and r["neighbour"] % 1000 - 25 * r["query"] in range(7) for r in found)
+
+
 def test_tokens_against_a_split_by_characters(spark):
     """Punctuation goes at the ends of tokens only; a long run of it within a token takes no quadratic time."""
     space, draw = " \t\n\u0085 　", random.Random(5)
