@@ -210,6 +210,24 @@ def test_a_task_holds_k_rows_for_each_query_only():
     assert all(r["neighbour"] // 1000 == 20 and r["neighbour"] % 1000 - 25 * r["query"] in range(7) for r in found)
 
 
+@pytest.mark.parametrize("blocks", [2, 8])
+def test_a_task_sorts_one_share_of_one_block(spark, monkeypatch, blocks):
+    """No two blocks or shares come to one task, and the neighbours are those of a single block."""
+    from statloom.models import neighbours as N
+
+    draw = np.random.default_rng(4)
+    df = spark.createDataFrame([(i, v, i % 3) for i, v in enumerate(draw.standard_normal((400, 4)).tolist())], "id long, x array<double>, label int")
+    asked = df.where("id % 2 = 0")
+    dealt = N._met(asked.selectExpr("id as query", "x as a"), df.selectExpr("id as neighbour", "label", "x as b"), blocks)
+    tasks = dealt.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n"), F.count_distinct("block", "share").alias("pairs")).collect()
+    assert len(tasks) >= blocks and {r["pairs"] for r in tasks} == {1} and sum(r["n"] for r in tasks) >= 400 * blocks + 200
+    model, found = KNearestNeighbours.fit(df, "id", "x", "label", 5), []
+    for block in (64 << 20, 200 * 64 // blocks):
+        monkeypatch.setattr(N, "BLOCK_BYTES", block)
+        found.append(sorted(map(tuple, model.neighbours(asked, "id", "x").collect())))
+    assert found[0] == found[1] and len(found[0]) == 5 * 200
+
+
 def test_tokens_against_a_split_by_characters(spark):
     """Punctuation goes at the ends of tokens only; a long run of it within a token takes no quadratic time."""
     space, draw = " \t\n\u0085 　", random.Random(5)
